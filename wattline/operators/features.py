@@ -83,11 +83,11 @@ def add_rolling(
 
 def transform(
     df: DataFrame, *, series: str = "series_id", ts: str = "ts", target: str = "y",
-    exog: Sequence[str] = (), cfg: Config = DEFAULTS, holidays: bool = True,
+    exog: Sequence[str] = (), keep: Sequence[str] = (), cfg: Config = DEFAULTS, holidays: bool = True,
     drop_incomplete: bool = True, plan: str = "auto", chunk_rows: int | None = None,
 ) -> DataFrame:
     """All features in one pass: every lag and frame shares one window sort, and rows
-    with any null are dropped at the end."""
+    with any null are dropped at the end. ``keep`` names columns to carry along unchanged."""
     lags, windows = sorted(set(cfg.lags)), sorted(set(cfg.windows))
 
     def build(w):
@@ -101,8 +101,8 @@ def transform(
 
     out = _windowed(df, series, ts, max(*lags, *windows), build, plan, chunk_rows)
     out = out.withColumns({**calendar_columns(F.col(ts), holidays=holidays, country=cfg.holiday_country), **_diffs(lags)})
-    out = out.select(series, ts, target, *exog, *feature_names(exog=(), cfg=cfg), *_exog_features(exog, cfg))
-    return out.na.drop("any") if drop_incomplete else out
+    out = out.select(series, ts, target, *keep, *feature_names(exog, cfg))
+    return out.na.drop("any", subset=[target, *feature_names(exog, cfg)]) if drop_incomplete else out
 
 
 def _exog_features(exog: Sequence[str], cfg: Config) -> list[str]:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from wattline.config import DEFAULTS, Config
 from wattline.functions.calendar import calendar_columns
-from wattline.operators.ordering import quantiles, tail
+from wattline.operators import outlier_models
+from wattline.operators.ordering import choose_plan, quantiles, tail
 from wattline.operators.reports import anomaly_rate, method_breakdown, severity
+from wattline.session import reliable
 
 log = logging.getLogger(__name__)
 
@@ -96,15 +98,24 @@ def detect(
     """Input rows with one ``anomaly_<method>`` flag per method, score and verdict.
 
     An unknown method raises. ``skip_failed`` leaves out a method whose plan cannot be
-    built instead of raising. Rows with a null target are never flagged."""
+    built instead of raising. Rows with a null target are never flagged.
+
+    The model-based methods read the input several times, so it is checkpointed once for
+    them; their flags join back on (series, time), which must be unique."""
     methods = list(methods or cfg.anomaly_methods)
-    unknown = [m for m in methods if m not in METHODS]
+    unknown = [m for m in methods if m not in ROW_METHODS and m not in MODEL_METHODS]
     if unknown:
         raise ValueError(f"unknown anomaly methods: {unknown}")
-    out, used = df, []
+    out, used, base = df, [], None
     for method in methods:
+        name = f"anomaly_{method}"
         try:
-            out = METHODS[method](out, exog=exog, series=series, ts=ts, target=target, cfg=cfg)
+            if method in ROW_METHODS:
+                out = ROW_METHODS[method](out, series=series, target=target, cfg=cfg)
+            else:
+                base = base if base is not None else reliable(df.select(series, ts, target, *outlier_models.used_exog(df, exog)))
+                flags = MODEL_METHODS[method](base, exog=exog, series=series, ts=ts, target=target, cfg=cfg)
+                out = out.join(flags, [series, ts], "left").withColumn(name, F.coalesce(name, F.lit(0)))
             used.append(method)
         except Exception:
             if not skip_failed:
@@ -122,12 +133,61 @@ def overall(flagged: DataFrame) -> DataFrame:
     return anomaly_rate(flagged)
 
 
-def _flag_join(df: DataFrame, flags: DataFrame, name: str, series: str, ts: str) -> DataFrame:
-    return df.join(flags, [series, ts], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+def _scored(df, exog, series, ts, target):
+    """Features, their count and the plan for the cut-off quantile, sized on the input."""
+    exog = outlier_models.used_exog(df, exog)
+    x = standardised(df, exog=exog, series=series, ts=ts, target=target)
+    return x, 4 + len(exog), choose_plan(df, [series])
+
+
+def isolation_forest_flags(
+    df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
+    trees: int = 100, contamination: float = 0.05, seed: int = 42,
+) -> DataFrame:
+    """Flags ``(series, ts, flag)``: 1 for the most isolated share of each series."""
+    x, _, plan = _scored(df, exog, series, ts, target)
+    scores = reliable(outlier_models.isolation_scores(x, trees=trees, seed=seed, series=series, ts=ts))
+    name = "anomaly_isolation_forest"
+    return outlier_models.flag_top_share(scores, contamination, name, value="score", series=series, ts=ts, plan=plan)
+
+
+def lof_scores(
+    df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
+    neighbors: int = 20, **kw,
+) -> DataFrame:
+    x, dims, _ = _scored(df, exog, series, ts, target)
+    return outlier_models.lof_scores(x, dims, neighbors=neighbors, series=series, ts=ts, **kw)
+
+
+def lof_flags(
+    df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
+    neighbors: int = 20, contamination: float = 0.05,
+) -> DataFrame:
+    """Flags: 1 for the largest local outlier factors of each series."""
+    x, dims, plan = _scored(df, exog, series, ts, target)
+    scores = reliable(outlier_models.lof_scores(x, dims, neighbors=neighbors, series=series, ts=ts))
+    return outlier_models.flag_top_share(scores, contamination, "anomaly_lof", value="lof", series=series, ts=ts, plan=plan)
 
 
-METHODS = {
-    "zscore": lambda df, exog, series, ts, target, cfg: zscore_flags(
+def one_class_svm_flags(
+    df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
+    nu: float = 0.05, seed: int = 42,
+) -> DataFrame:
+    """Flags: 1 for the share ``nu`` furthest outside the fitted region of each series."""
+    x, dims, plan = _scored(df, exog, series, ts, target)
+    scores = reliable(outlier_models.one_class_scores(x, dims, nu=nu, seed=seed, series=series, ts=ts))
+    name = "anomaly_one_class_svm"
+    return outlier_models.flag_top_share(scores, nu, name, value="score", series=series, ts=ts, plan=plan)
+
+
+ROW_METHODS = {
+    "zscore": lambda df, series, target, cfg: zscore_flags(
         df, series=series, target=target, threshold=cfg.zscore_threshold),
-    "iqr": lambda df, exog, series, ts, target, cfg: iqr_flags(df, series=series, target=target, k=cfg.iqr_multiplier),
+    "iqr": lambda df, series, target, cfg: iqr_flags(df, series=series, target=target, k=cfg.iqr_multiplier),
+}
+MODEL_METHODS = {
+    "isolation_forest": lambda df, cfg, **kw: isolation_forest_flags(
+        df, trees=cfg.forest_trees, contamination=cfg.contamination, seed=cfg.seed, **kw),
+    "lof": lambda df, cfg, **kw: lof_flags(df, neighbors=cfg.lof_neighbors, contamination=cfg.contamination, **kw),
+    "one_class_svm": lambda df, cfg, **kw: one_class_svm_flags(df, nu=cfg.svm_nu, seed=cfg.seed, **kw),
 }

@@ -26,6 +26,9 @@ def voted(spark, sf_dir):
 
 
 def meters(body):
+    """Flag CTEs over the meter readings, then ``body`` (more CTEs or a plain select)."""
+    if not body.strip().lower().startswith("select"):
+        body = "," + body
     return with_views("meter_readings", FLAG_CTES.format(source="meter_readings", z=3.0) + body)
 
 

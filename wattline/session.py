@@ -39,10 +39,8 @@ def get_session(app: str = "wattline", master: str | None = None, **conf: str) -
     return configure(builder.getOrCreate())
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that values fixed at
-    this point (row ids, sampled range bounds) survive a lost executor."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for cut lineage: the session's own, or a temporary one in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,4 +49,11 @@ def reliable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="wattline-ckpt-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, so that values fixed at
+    this point (row ids, sampled range bounds) survive a lost executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

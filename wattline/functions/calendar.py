@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,31 +26,34 @@ def epoch_us(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter date by the anonymous algorithm."""
-    div = lambda x, k: F.floor(x / k).cast("int")
-    golden = year % 19
-    century, rest = div(year, 100), year % 100
-    epact = (
-        golden * 19 + century - div(century, 4)
-        - div(century - div(century + 8, 25) + 1, 3) + 15
-    ) % 30
-    weekday = (32 + (century % 4) * 2 + div(rest, 4) * 2 - epact - rest % 4) % 7
-    shift = div(golden + epact * 11 + weekday * 22, 451)
-    ordinal = epact + weekday - shift * 7 + 114
-    return F.make_date(year, div(ordinal, 31), ordinal % 31 + 1)
+def easter_day_of_year(year: int) -> int:
+    """Day of the year of Gregorian Easter Sunday, by the anonymous algorithm."""
+    golden, (century, rest) = year % 19, divmod(year, 100)
+    epact = (golden * 19 + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
+    weekday = (32 + (century % 4) * 2 + rest // 4 * 2 - epact - rest % 4) % 7
+    month, day = divmod(epact + weekday - (golden + epact * 11 + weekday * 22) // 451 * 7 + 114, 31)
+    return date(year, month, day + 1).timetuple().tm_yday
+
+
+FIRST_YEAR, LAST_YEAR = 1900, 2200
+
+
+def easter_offset(day: Column) -> Column:
+    """Days since that year's Easter Sunday; null outside the covered years. The table is
+    one constant array, where the algorithm as nested columns would repeat its terms."""
+    table = F.lit([easter_day_of_year(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)])
+    return F.dayofyear(day) - F.get(table, F.year(day) - FIRST_YEAR)
 
 
 def is_holiday(ts: Column, country: str = "DE") -> Column:
     """1 on a national holiday, else 0. Only the German calendar is built in."""
     if country != "DE":
         raise ValueError(f"no holiday calendar for {country!r}")
-    date = ts.cast("date")
-    month_day = F.month(date) * 100 + F.dayofmonth(date)
+    day = ts.cast("date")
+    month_day = F.month(day) * 100 + F.dayofmonth(day)
     flag = month_day.isin([m * 100 + d for m, d in FIXED_HOLIDAYS])
-    flag = flag | F.datediff(date, easter_sunday(F.year(date))).isin(EASTER_OFFSETS)
-    for y, m, d in SINGLE_HOLIDAYS:
-        flag = flag | (date == F.make_date(F.lit(y), F.lit(m), F.lit(d)))
+    flag = flag | F.coalesce(easter_offset(day).isin(EASTER_OFFSETS), F.lit(False))
+    flag = flag | day.isin([date(*d) for d in SINGLE_HOLIDAYS])
     return flag.cast("int")
 
 

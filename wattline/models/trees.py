@@ -89,7 +89,7 @@ class TreeModel:
         rows = table.select(
             "treeID", f"{node}.id", f"{node}.prediction", f"{node}.leftChild", f"{node}.rightChild",
             F.col(f"{node}.rawCount").cast("double").alias("count"), f"{node}.split.featureIndex",
-            F.col(f"{node}.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+            F.get(f"{node}.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         )
         if table.count() > MAX_MODEL_NODES:
             raise ValueError("ensemble too large to ship to tasks")

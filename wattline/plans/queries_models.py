@@ -32,8 +32,8 @@ OLS_SQL = """
           window w as (partition by series_id order by ts)),
     v as (select series_id, ts, y, a, b from l where b is not null),
     m as (select series_id, avg(y) as my, avg(a) as ma, avg(b) as mb, var_pop(a) as va, var_pop(b) as vb,
-                 covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as by from v group by series_id),
-    c as (select *, (ay * vb - by * ab) / (va * vb - ab * ab) as ca, (by * va - ay * ab) / (va * vb - ab * ab) as cb from m),
+                 covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as ty from v group by series_id),
+    c as (select *, (ay * vb - ty * ab) / (va * vb - ab * ab) as ca, (ty * va - ay * ab) / (va * vb - ab * ab) as cb from m),
     d as (select *, my - ca * ma - cb * mb as c0 from c)"""
 
 

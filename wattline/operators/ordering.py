@@ -72,15 +72,15 @@ def positions(
     ranged = reliable(ranged).withColumn("_part", F.shiftright("_id", _ROW_BITS))
     # One row per (key, range partition): at most keys + partitions rows.
     parts = ranged.groupBy(*keys, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
+        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")
     )
     w = Window.partitionBy(*keys)
     parts = parts.withColumn(
-        "_before", F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        "_before", F.sum("_rows").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     )
     if total:
-        parts = parts.withColumn(total, F.sum("_n").over(w))
-    out = ranged.join(parts.drop("_n"), [*keys, "_part"]).withColumn(
+        parts = parts.withColumn(total, F.sum("_rows").over(w))
+    out = ranged.join(parts.drop("_rows"), [*keys, "_part"]).withColumn(
         pos, F.col("_id") - F.col("_first") + F.coalesce("_before", F.lit(0))
     )
     return out.drop("_id", "_part", "_first", "_before")

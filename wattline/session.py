@@ -19,12 +19,12 @@ RUNTIME_CONF = {
     # a hot series sends at most n rows per map task.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Inferred constraints grow exponentially over a wide projection of one column, which
+    # is what calendar features are: planning a join on such a frame would not end.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
-CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -58,13 +58,5 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that values fixed at
     this point (row ids, sampled range bounds) survive a lost executor."""
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    # A checkpoint also carries over what the optimizer inferred about its columns. For a wide
-    # projection of one column (calendar features) that set grows exponentially.
-    inferred = spark.conf.get(CONSTRAINTS)
-    spark.conf.set(CONSTRAINTS, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        spark.conf.set(CONSTRAINTS, inferred)
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from datetime import date
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ FIRST_YEAR, LAST_YEAR = 1900, 2200
 def easter_offset(day: Column) -> Column:
     """Days since that year's Easter Sunday; null outside the covered years. The table is
     one constant array, where the algorithm as nested columns would repeat its terms."""
-    table = F.lit([easter_day_of_year(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)])
+    days = [easter_day_of_year(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)]
+    table = F.lit(np.array(days, dtype="int32"))  # one literal, not one per year
     return F.dayofyear(day) - F.get(table, F.year(day) - FIRST_YEAR)
 
 

@@ -102,7 +102,9 @@ def transform(
     out = _windowed(df, series, ts, max(*lags, *windows), build, plan, chunk_rows)
     out = out.withColumns({**calendar_columns(F.col(ts), holidays=holidays, country=cfg.holiday_country), **_diffs(lags)})
     out = out.select(series, ts, target, *keep, *feature_names(exog, cfg))
-    return out.na.drop("any", subset=[target, *feature_names(exog, cfg)]) if drop_incomplete else out
+    # calendar columns are never null, so only the others need checking
+    nullable = [target, *[c for c in feature_names(exog, cfg) if c not in CALENDAR_COLUMNS]]
+    return out.na.drop("any", subset=nullable) if drop_incomplete else out
 
 
 def _exog_features(exog: Sequence[str], cfg: Config) -> list[str]:

@@ -43,9 +43,31 @@ def iqr_flags(
     return df.join(q, series, "left").withColumn(out, flag).drop("_q1", "_q3")
 
 
-def statistical_flags(df: DataFrame, *, series: str = "series_id", target: str = "y", cfg: Config = DEFAULTS) -> DataFrame:
-    out = zscore_flags(df, series=series, target=target, threshold=cfg.zscore_threshold)
-    return iqr_flags(out, series=series, target=target, k=cfg.iqr_multiplier)
+def statistical_flags(
+    df: DataFrame, *, series: str = "series_id", target: str = "y", methods: Sequence[str] = ("zscore", "iqr"),
+    cfg: Config = DEFAULTS, plan: str = "auto",
+) -> DataFrame:
+    """Both one-dimensional flags from one aggregate and one join when the series are small
+    enough to hold their values in a buffer each; else one method after the other."""
+    plan = choose_plan(df, [series], plan)
+    if plan == "chunked" or len(methods) < 2:
+        out = df
+        if "zscore" in methods:
+            out = zscore_flags(out, series=series, target=target, threshold=cfg.zscore_threshold)
+        if "iqr" in methods:
+            out = iqr_flags(out, series=series, target=target, k=cfg.iqr_multiplier, plan=plan)
+        return out
+    stats = df.groupBy(series).agg(
+        F.avg(target).alias("_m"), F.stddev_samp(target).alias("_s"),
+        F.percentile(target, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
+    )
+    y, (q1, q3) = F.col(target), (F.col("_q")[0], F.col("_q")[1])
+    z = F.abs((y - F.col("_m")) / (F.col("_s") + F.lit(EPSILON)))
+    spread = (q3 - q1) * F.lit(cfg.iqr_multiplier)
+    flags = {"zscore": z > F.lit(cfg.zscore_threshold), "iqr": (y < q1 - spread) | (y > q3 + spread)}
+    out = df.join(stats, series, "left")
+    out = out.withColumns({f"anomaly_{m}": F.coalesce(flags[m].cast("int"), F.lit(0)) for m in methods})
+    return out.drop("_m", "_s", "_q")
 
 
 def _feature_columns(df: DataFrame, exog: Sequence[str], ts: str, target: str) -> list:
@@ -106,21 +128,24 @@ def detect(
     unknown = [m for m in methods if m not in ROW_METHODS and m not in MODEL_METHODS]
     if unknown:
         raise ValueError(f"unknown anomaly methods: {unknown}")
-    out, used, base = df, [], None
-    for method in methods:
+    rows = [m for m in methods if m in ROW_METHODS]
+    modelled = [m for m in methods if m in MODEL_METHODS]
+    plan = choose_plan(df, [series])
+    out = statistical_flags(df, series=series, target=target, methods=rows, cfg=cfg, plan=plan) if rows else df
+    used = list(rows)
+    if modelled:
+        base = reliable(df.select(series, ts, target, *outlier_models.used_exog(df, exog)))
+    for method in modelled:
         name = f"anomaly_{method}"
         try:
-            if method in ROW_METHODS:
-                out = ROW_METHODS[method](out, series=series, target=target, cfg=cfg)
-            else:
-                base = base if base is not None else reliable(df.select(series, ts, target, *outlier_models.used_exog(df, exog)))
-                flags = MODEL_METHODS[method](base, exog=exog, series=series, ts=ts, target=target, cfg=cfg)
-                out = out.join(flags, [series, ts], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-            used.append(method)
+            flags = MODEL_METHODS[method](base, exog=exog, series=series, ts=ts, target=target, cfg=cfg, plan=plan)
         except Exception:
             if not skip_failed:
                 raise
             log.exception("method %s failed", method)
+            continue
+        out = out.join(flags, [series, ts], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        used.append(method)
     return vote(out, used) if used else out
 
 
@@ -133,19 +158,19 @@ def overall(flagged: DataFrame) -> DataFrame:
     return anomaly_rate(flagged)
 
 
-def _scored(df, exog, series, ts, target):
+def _scored(df, exog, series, ts, target, plan):
     """Features, their count and the plan for the cut-off quantile, sized on the input."""
     exog = outlier_models.used_exog(df, exog)
     x = standardised(df, exog=exog, series=series, ts=ts, target=target)
-    return x, 4 + len(exog), choose_plan(df, [series])
+    return x, 4 + len(exog), choose_plan(df, [series], plan)
 
 
 def isolation_forest_flags(
     df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
-    trees: int = 100, contamination: float = 0.05, seed: int = 42,
+    trees: int = 100, contamination: float = 0.05, seed: int = 42, plan: str = "auto",
 ) -> DataFrame:
     """Flags ``(series, ts, flag)``: 1 for the most isolated share of each series."""
-    x, _, plan = _scored(df, exog, series, ts, target)
+    x, _, plan = _scored(df, exog, series, ts, target, plan)
     scores = reliable(outlier_models.isolation_scores(x, trees=trees, seed=seed, series=series, ts=ts))
     name = "anomaly_isolation_forest"
     return outlier_models.flag_top_share(scores, contamination, name, value="score", series=series, ts=ts, plan=plan)
@@ -155,36 +180,32 @@ def lof_scores(
     df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
     neighbors: int = 20, **kw,
 ) -> DataFrame:
-    x, dims, _ = _scored(df, exog, series, ts, target)
+    x, dims, _ = _scored(df, exog, series, ts, target, "plain")
     return outlier_models.lof_scores(x, dims, neighbors=neighbors, series=series, ts=ts, **kw)
 
 
 def lof_flags(
     df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
-    neighbors: int = 20, contamination: float = 0.05,
+    neighbors: int = 20, contamination: float = 0.05, plan: str = "auto",
 ) -> DataFrame:
     """Flags: 1 for the largest local outlier factors of each series."""
-    x, dims, plan = _scored(df, exog, series, ts, target)
+    x, dims, plan = _scored(df, exog, series, ts, target, plan)
     scores = reliable(outlier_models.lof_scores(x, dims, neighbors=neighbors, series=series, ts=ts))
     return outlier_models.flag_top_share(scores, contamination, "anomaly_lof", value="lof", series=series, ts=ts, plan=plan)
 
 
 def one_class_svm_flags(
     df: DataFrame, *, exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
-    nu: float = 0.05, seed: int = 42,
+    nu: float = 0.05, seed: int = 42, plan: str = "auto",
 ) -> DataFrame:
     """Flags: 1 for the share ``nu`` furthest outside the fitted region of each series."""
-    x, dims, plan = _scored(df, exog, series, ts, target)
+    x, dims, plan = _scored(df, exog, series, ts, target, plan)
     scores = reliable(outlier_models.one_class_scores(x, dims, nu=nu, seed=seed, series=series, ts=ts))
     name = "anomaly_one_class_svm"
     return outlier_models.flag_top_share(scores, nu, name, value="score", series=series, ts=ts, plan=plan)
 
 
-ROW_METHODS = {
-    "zscore": lambda df, series, target, cfg: zscore_flags(
-        df, series=series, target=target, threshold=cfg.zscore_threshold),
-    "iqr": lambda df, series, target, cfg: iqr_flags(df, series=series, target=target, k=cfg.iqr_multiplier),
-}
+ROW_METHODS = ("zscore", "iqr")
 MODEL_METHODS = {
     "isolation_forest": lambda df, cfg, **kw: isolation_forest_flags(
         df, trees=cfg.forest_trees, contamination=cfg.contamination, seed=cfg.seed, **kw),

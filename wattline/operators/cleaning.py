@@ -21,13 +21,16 @@ def dedup_first(
     """Keep the first row of every (series, ts) by ``ingest_order``.
 
     An aggregate rather than a window: copies are combined on the map side, so a
-    timestamp repeated many times is not one big task. Without ``ingest_order`` the
-    tie-break is the row content, which is at least repeatable."""
+    timestamp repeated many times is not one big task. ``ingest_order`` must be unique among
+    copies; without it the smallest row content wins, which is at least repeatable."""
     rest = [c for c in df.columns if c not in (series, ts)]
     if not rest:
         return df.dropDuplicates([series, ts])
-    order = F.col(ingest_order) if ingest_order else F.struct(*rest)
-    kept = df.groupBy(series, ts).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    if ingest_order:
+        # Per column, so that fixed-width rows stay in a hash aggregate without sorting.
+        rest_cols = [F.min_by(c, ingest_order).alias(c) for c in rest if c != ingest_order]
+        return df.groupBy(series, ts).agg(*rest_cols, F.min(ingest_order).alias(ingest_order)).select(*df.columns)
+    kept = df.groupBy(series, ts).agg(F.min(F.struct(*rest)).alias("_row"))
     return kept.select(*[F.col(c) if c in (series, ts) else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

@@ -135,7 +135,9 @@ def tree_shap(df: DataFrame, model: TreeModel, *, max_rows: int | None = DEFAULT
                 phi = games.value.values(np.stack(part["_x"].to_numpy()))
                 yield part[["series_id", "ts"]].assign(base=games.value.base, phi=list(phi))
 
-    rows = sample.select("series_id", "ts", _array(model.features).alias("_x")).mapInPandas(explain, schema)
+    # few rows and much work for each: spread them over the cluster first
+    spread = sample.select("series_id", "ts", _array(model.features).alias("_x")).repartition("series_id", "ts")
+    rows = spread.mapInPandas(explain, schema)
     names = F.array(*[F.lit(c) for c in model.features])
     pair = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("shap"))).alias("e")
     return rows.select("series_id", "ts", "base", pair).select("series_id", "ts", "base", "e.feature", "e.shap")
@@ -175,7 +177,7 @@ def kernel_shap(
     features = list(model.features)
     masks, weights = coalitions(len(features), budget, seed)
     m = len(features)
-    sample = head(df, max_rows).select("series_id", "ts", _array(features).alias("_x"))
+    sample = head(df, max_rows).select("series_id", "ts", _array(features).alias("_x")).repartition("series_id", "ts")
     base_rows = head(background if background is not None else df, background_rows)
     pool = base_rows.groupBy("series_id").agg(F.collect_list(_array(features)).alias("_pool"))
     sets = [(-1, [False] * m), (-2, [True] * m), *[(i, row.tolist()) for i, row in enumerate(masks)]]

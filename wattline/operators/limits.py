@@ -10,7 +10,8 @@ stretch of one key is sequential. Everything else is not, and is settled on the
   the bucket in front as its seed. Runs are independent of each other: one hot key is
   split at every calm bucket.
 * Runs are sorted by Spark and streamed through ``mapInPandas`` holding only the last
-  ``max_events`` accepted times, so memory does not grow with the run.
+  ``max_events`` accepted times. Rejected stretches are skipped by binary search, so the
+  sequential work grows with the accepted events, which the limit itself bounds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,18 +66,28 @@ def sliding_limit(
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, deque()
         for batch in batches:
-            ok, retry = [], []
-            for run, t, seeded in zip(zip(batch[key], batch["_run"]), batch["_t"], batch["_seed"]):
+            times = batch["_t"].to_numpy()
+            ok, retry = np.ones(len(batch), dtype=bool), np.zeros(len(batch), dtype="int64")
+            new_run = (batch[key] != batch[key].shift()) | (batch["_run"] != batch["_run"].shift())
+            starts = [*np.flatnonzero(new_run.to_numpy()), len(batch)]
+            for first, end in zip(starts, starts[1:]):
+                run = (batch[key].iloc[first], batch["_run"].iloc[first])
                 if run != current:
                     current, recent = run, deque()
-                while recent and recent[0] < t - span:
-                    recent.popleft()
-                full = len(recent) >= max_events and not seeded
-                ok.append(not full)
-                retry.append(int((span - (t - recent[0])) // 1_000_000) if full else None)
-                if not full:
-                    recent.append(t)
-            out = batch[columns].assign(accepted=ok, retry_after_seconds=pd.array(retry, dtype="Int64"))
+                i = first
+                while i < end:
+                    while recent and recent[0] < times[i] - span:
+                        recent.popleft()
+                    if len(recent) < max_events:
+                        recent.append(times[i])
+                        i += 1
+                        continue
+                    # Full until the oldest accepted event leaves: skip there in one step.
+                    free = first + int(np.searchsorted(times[first:end], recent[0] + span, side="right"))
+                    ok[i:free] = False
+                    retry[i:free] = (span - (times[i:free] - recent[0])) // 1_000_000
+                    i = free
+            out = batch[columns].assign(accepted=ok, retry_after_seconds=pd.Series(retry, index=batch.index, dtype="Int64").mask(ok))
             yield out[~batch["_seed"].to_numpy(dtype=bool)]
 
     return calm.unionByName(busy.mapInPandas(decide, schema))

@@ -21,7 +21,7 @@ from wattline.operators.neighbours import LEAF_ROWS, knn
 
 SUBSAMPLE = 256
 POOL_ROWS = 4096
-SCORE_BUCKET_ROWS = 100_000
+SCORE_BUCKET_ROWS = 50_000
 FIT_BUCKET_ROWS = 4096
 FOURIER_FEATURES = 256
 FIT_STEPS = 300
@@ -88,6 +88,8 @@ def isolation_scores(
     w = Window.partitionBy(series).orderBy(h, ts)
     pool = x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= POOL_ROWS).drop("_rn")
     drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # Without this the trees of a series would stay in the task that picked its pool.
+    drawn = drawn.repartition(series, "tree")
     wt = Window.partitionBy(series, "tree").orderBy(F.xxhash64(F.lit(seed), series, "tree", ts), ts)
     drawn = drawn.withColumn("_rn", F.row_number().over(wt)).filter(F.col("_rn") <= SUBSAMPLE)
     drawn = drawn.select(series, "tree", "_rn", "x")

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from wattline.config import DEFAULTS, replace
 from wattline.operators import anomaly, cleaning, features, limits, metrics, reports
-from wattline.operators.ordering import tail
+from wattline.operators.ordering import choose_plan, tail
 from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
 from wattline.plans.queries_cleaning import IQR_CTE
+from wattline.session import reliable
 
 LAGS = DEFAULTS.lags
 WINDOWS = DEFAULTS.windows
@@ -228,9 +229,11 @@ FLAGSHIP_CFG = replace(DEFAULTS, lags=(1, 2, 3, 24, 25), windows=(7, 24))
     where load_t_25 is not null and rolling_std_7 is not null"""))
 def flagship(spark, sf_dir):
     """Clean, build features and flag outliers in one plan."""
-    cleaned = cleaning.clean(views.load_hourly(spark, sf_dir))
-    flagged = anomaly.statistical_flags(cleaned)
-    out = features.transform(flagged, keep=["anomaly_zscore", "anomaly_iqr"], cfg=FLAGSHIP_CFG)
+    # statistics, flags and windows all read the clean series, so it is written once
+    cleaned = reliable(cleaning.clean(views.load_hourly(spark, sf_dir)))
+    plan = choose_plan(cleaned, ["series_id"])
+    flagged = anomaly.statistical_flags(cleaned, plan=plan)
+    out = features.transform(flagged, keep=["anomaly_zscore", "anomaly_iqr"], cfg=FLAGSHIP_CFG, plan=plan)
     return out.select(
         "series_id", "ts", F.round("y", 4).alias("y"), "hour", "is_weekend", F.round("load_t_1", 4).alias("load_t_1"),
         F.round("load_t_24", 4).alias("load_t_24"), F.round("rolling_mean_24", 4).alias("rolling_mean_24"),

@@ -8,6 +8,7 @@ from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
 from wattline.plans.queries_anomaly import FLAG_CTES
+from wattline.session import reliable
 
 PUBLIC = ["series_id", "rule_no", "category", "priority", "title", "description", "estimated_saving_pct", "actions"]
 
@@ -109,36 +110,35 @@ def loads(spark, sf_dir):
     return views.load_by_type(spark, sf_dir)
 
 
-def as_forecast(spark, sf_dir):
-    return loads(spark, sf_dir).withColumnRenamed("y", "forecast")
+def as_forecast(series):
+    return series.withColumnRenamed("y", "forecast")
 
 
-def importances(spark, sf_dir):
+def importances(series):
     """Mean load by hour class, read as the importance of six features."""
     hour = F.hour("ts") % 6
     name = F.when(hour == 0, "hour_sin").when(hour == 1, "rolling_mean_7").when(hour == 2, "load_t_24")
     name = name.when(hour == 3, "is_weekend").when(hour == 4, "month").otherwise("load_t_1")
-    return loads(spark, sf_dir).groupBy("series_id", name.alias("feature")).agg(F.avg("y").alias("mean_abs_shap"))
+    return series.groupBy("series_id", name.alias("feature")).agg(F.avg("y").alias("mean_abs_shap"))
 
 
-def rule_parts(spark, sf_dir):
-    flagged = anomaly.detect(loads(spark, sf_dir), methods=("zscore", "iqr"))
-    return {
-        "peak_shift": lambda: recommend.peak_shift(as_forecast(spark, sf_dir), cfg=TUNED, min_ratio=RATIO),
-        "offpeak_storage": lambda: recommend.offpeak_storage(as_forecast(spark, sf_dir), share=NIGHT_SHARE),
-        "week_trend": lambda: recommend.week_trend(loads(spark, sf_dir), min_change=CHANGE),
-        "top_decile": lambda: recommend.top_decile(loads(spark, sf_dir), cfg=TUNED),
-        "weekend_gap": lambda: recommend.weekend_gap(loads(spark, sf_dir), share=GAP_SHARE),
-        "anomaly_rate": lambda: recommend.anomaly_share(flagged, threshold=ANOMALY_PCT, high=4.0),
-        "drivers": lambda: recommend.driver_rules(importances(spark, sf_dir), top=2),
-        "general": lambda: recommend.general_rules(loads(spark, sf_dir)),
-    }
+RULES = {
+    "peak_shift": lambda s: recommend.peak_shift(as_forecast(s), cfg=TUNED, min_ratio=RATIO),
+    "offpeak_storage": lambda s: recommend.offpeak_storage(as_forecast(s), share=NIGHT_SHARE),
+    "week_trend": lambda s: recommend.week_trend(s, min_change=CHANGE),
+    "top_decile": lambda s: recommend.top_decile(s, cfg=TUNED),
+    "weekend_gap": lambda s: recommend.weekend_gap(s, share=GAP_SHARE),
+    "anomaly_rate": lambda s: recommend.anomaly_share(
+        anomaly.detect(s, methods=("zscore", "iqr")), threshold=ANOMALY_PCT, high=4.0),
+    "drivers": lambda s: recommend.driver_rules(importances(s), top=2),
+    "general": recommend.general_rules,
+}
 
 
 def _register(name, key, ctes, body):
     @query(name, with_views("load_by_type", ctes + " " + body))
     def run(spark, sf_dir):
-        return public(rule_parts(spark, sf_dir)[key]())
+        return public(RULES[key](loads(spark, sf_dir)))
 
     return run
 
@@ -166,10 +166,10 @@ ALL_ROWS = f"""
 
 
 def generated(spark, sf_dir):
-    flagged = anomaly.detect(loads(spark, sf_dir), methods=("zscore", "iqr"))
-    return recommend.generate(
-        as_forecast(spark, sf_dir), loads(spark, sf_dir), flagged, importances(spark, sf_dir), cfg=TUNED
-    )
+    """All rules; the loads feed every one of them, so they are written once."""
+    base = reliable(loads(spark, sf_dir))
+    flagged = anomaly.detect(base, methods=("zscore", "iqr"))
+    return recommend.generate(as_forecast(base), base, flagged, importances(base), cfg=TUNED)
 
 
 @query("recommendations", with_views("load_by_type", ALL_CTE + "," + ALL_ROWS + "\n    select * from final"))

@@ -103,9 +103,9 @@ def test_recommendation_rules(spark):
 def test_rising_consumption(spark):
     pdf = raw(400, 0, exog=False)
     pdf.loc[232:, "y"] *= 1.5
-    rows = recommend.week_trend(frame(spark, pdf)).collect()
+    rows = recommend.week_trend(recommend.history_profile(frame(spark, pdf))).collect()
     assert len(rows) == 1 and "Week-over-Week" in rows[0]["title"]
-    assert recommend.week_trend(frame(spark, pdf.iloc[:100])).count() == 0
+    assert recommend.week_trend(recommend.history_profile(frame(spark, pdf.iloc[:100]))).count() == 0
 
 
 def test_run_publish_dashboard_and_reload(spark, tmp_path):

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.config import DEFAULTS, Config
-from wattline.operators.ordering import quantiles, tail
+from wattline.operators.ordering import choose_plan, quantiles
 from wattline.operators.reports import implemented_only, safe_concat
+from wattline.session import reliable
 
 COLUMNS = [
     "series_id", "rule_no", "category", "priority", "title", "description", "estimated_saving_pct", "action_items"
 ]
-WEEK = 168
+DAY, WEEK = 24, 168
 EPSILON = 1e-8
 
 # Categories, texts and action lists of the rules. ``%s`` places take
@@ -165,77 +166,89 @@ def _rows(
     )
 
 
-def peak_shift(forecast: DataFrame, *, ts: str = "ts", cfg: Config = DEFAULTS, min_ratio: float = 1.15) -> DataFrame:
-    """Mean peak-hour forecast over the threshold and over ``min_ratio`` times off-peak."""
-    peak = F.hour(ts).isin(list(cfg.peak_hours))
-    agg = forecast.groupBy("series_id").agg(
-        F.coalesce(F.avg(F.when(peak, F.col("forecast"))), F.lit(0.0)).alias("p"),
-        F.coalesce(F.avg(F.when(~peak, F.col("forecast"))), F.lit(0.0)).alias("o"),
+def forecast_profile(forecast: DataFrame, *, ts: str = "ts", cfg: Config = DEFAULTS) -> DataFrame:
+    """One pass over a forecast: peak, off-peak, night and overall means per series."""
+    hour, load = F.hour(ts), F.col("forecast")
+    peak = hour.isin(list(cfg.peak_hours))
+    return forecast.groupBy("series_id").agg(
+        F.coalesce(F.avg(F.when(peak, load)), F.lit(0.0)).alias("peak_mean"),
+        F.coalesce(F.avg(F.when(~peak, load)), F.lit(0.0)).alias("offpeak_mean"),
+        F.avg(F.when(hour.between(0, 5), load)).alias("night_mean"), F.avg(load).alias("mean"),
     )
-    agg = agg.filter((F.col("p") > cfg.load_shift_threshold) & (F.col("o") > 0)).withColumn("r", F.col("p") / F.col("o"))
-    fired = agg.filter(F.col("r") > min_ratio)
+
+
+def peak_shift(profile: DataFrame, *, cfg: Config = DEFAULTS, min_ratio: float = 1.15) -> DataFrame:
+    """Mean peak-hour forecast over the threshold and over ``min_ratio`` times off-peak."""
+    peak, off = F.col("peak_mean"), F.col("offpeak_mean")
+    fired = profile.filter((peak > cfg.load_shift_threshold) & (off > 0)).withColumn("ratio", peak / off)
+    fired = fired.filter(F.col("ratio") > min_ratio)
     return _rows(
-        fired, "peak_shift", 1, "HIGH", F.least(F.lit(15.0), (F.col("r") - 1) * 10),
-        description=[_whole(F.col("p")), F.format_string("%.1f", "r"), _whole(F.col("o"))],
+        fired, "peak_shift", 1, "HIGH", F.least(F.lit(15.0), (F.col("ratio") - 1) * 10),
+        description=[_whole(peak), F.format_string("%.1f", "ratio"), _whole(off)],
     )
 
 
-def offpeak_storage(forecast: DataFrame, *, ts: str = "ts", share: float = 0.75) -> DataFrame:
+def offpeak_storage(profile: DataFrame, *, share: float = 0.75) -> DataFrame:
     """Night mean (hours 0 to 5) under ``share`` of the overall mean."""
-    night = F.hour(ts).between(0, 5)
-    agg = forecast.groupBy("series_id").agg(
-        F.avg(F.when(night, F.col("forecast"))).alias("n"), F.avg("forecast").alias("a")
+    night, mean = F.col("night_mean"), F.col("mean")
+    below = F.format_string("%.0f", F.lit(100.0) * (1 - night / mean))
+    return _rows(
+        profile.filter(night < mean * share), "offpeak_storage", 2, "MEDIUM", 8.0, description=[_whole(night), below]
     )
-    fired = agg.filter(F.col("n") < F.col("a") * share)
-    below = F.format_string("%.0f", F.lit(100.0) * (1 - F.col("n") / F.col("a")))
-    return _rows(fired, "offpeak_storage", 2, "MEDIUM", 8.0, description=[_whole(F.col("n")), below])
 
 
-def week_trend(history: DataFrame, *, ts: str = "ts", target: str = "y", min_change: float = 10.0) -> DataFrame:
-    """Mean of the last 168 values against the 168 before (or the whole series if shorter)."""
-    known = history.filter(F.col(target).isNotNull())
-    totals = known.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("all_mean"))
-    w = Window.partitionBy("series_id").orderBy(F.col(ts).desc())
-    recent = known.select("series_id", ts, target).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2 * WEEK)
-    means = recent.groupBy("series_id").agg(
-        F.avg(F.when(F.col("rn") <= WEEK, F.col(target))).alias("last_mean"),
-        F.avg(F.when(F.col("rn") > WEEK, F.col(target))).alias("prev_mean"),
+def history_profile(
+    history: DataFrame, *, ts: str = "ts", target: str = "y", cfg: Config = DEFAULTS, plan: str = "auto"
+) -> DataFrame:
+    """One row per series for the history rules: totals, weekday and weekend means and the
+    high percentile from one aggregate, recent means from the newest two weeks of rows."""
+    known = history.filter(F.col(target).isNotNull()).select("series_id", ts, target)
+    plan = choose_plan(known, ["series_id"], plan)
+    y, weekend = F.col(target), F.weekday(ts) >= 5
+    aggs = [
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.avg(F.when(~weekend, y)).alias("weekday_mean"),
+        F.avg(F.when(weekend, y)).alias("weekend_mean"),
+    ]
+    if plan == "plain":
+        totals = known.groupBy("series_id").agg(*aggs, F.percentile(y, F.lit(cfg.high_percentile)).alias("high"))
+    else:
+        high = quantiles(known, target, {"high": cfg.high_percentile}, plan=plan)
+        totals = known.groupBy("series_id").agg(*aggs).join(high, "series_id")
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col(ts).desc()))
+    recent = known.withColumn("rn", rank).filter(F.col("rn") <= 2 * WEEK).groupBy("series_id").agg(
+        F.avg(F.when(F.col("rn") <= DAY, y)).alias("last_day"), F.avg(F.when(F.col("rn") <= WEEK, y)).alias("last_week"),
+        F.avg(F.when(F.col("rn") > WEEK, y)).alias("week_before"),
     )
-    joined = totals.filter(F.col("n") >= WEEK).join(means, "series_id")
-    prev = F.when(F.col("n") >= 2 * WEEK, F.col("prev_mean")).otherwise(F.col("all_mean"))
-    change = (F.col("last_mean") - F.col("prev")) / (F.col("prev") + EPSILON) * 100
-    fired = joined.withColumn("prev", prev).withColumn("change", change).filter(F.col("change") > min_change)
+    return totals.join(recent, "series_id")
+
+
+def week_trend(profile: DataFrame, *, min_change: float = 10.0) -> DataFrame:
+    """Mean of the last 168 values against the 168 before (or the whole series if shorter)."""
+    last = F.col("last_week")
+    before = F.when(F.col("n") >= 2 * WEEK, F.col("week_before")).otherwise(F.col("mean"))
+    fired = profile.filter(F.col("n") >= WEEK).withColumn("before", before)
+    fired = fired.withColumn("change", (last - F.col("before")) / (F.col("before") + EPSILON) * 100)
     return _rows(
-        fired, "week_trend", 3, "HIGH", F.col("change") * 0.5, title=[F.format_string("%.1f", "change")],
-        description=[_whole(F.col("last_mean")), _whole(F.col("prev"))],
+        fired.filter(F.col("change") > min_change), "week_trend", 3, "HIGH", F.col("change") * 0.5,
+        title=[F.format_string("%.1f", "change")], description=[_whole(last), _whole(F.col("before"))],
     )
 
 
-def top_decile(
-    history: DataFrame, *, ts: str = "ts", target: str = "y", cfg: Config = DEFAULTS, plan: str = "auto"
-) -> DataFrame:
+def top_decile(profile: DataFrame, *, cfg: Config = DEFAULTS) -> DataFrame:
     """Mean of the last 24 values over the high percentile, for series of 168 or more."""
-    known = history.filter(F.col(target).isNotNull()).select("series_id", ts, target)
-    count = known.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    limit = quantiles(known, target, {"limit": cfg.high_percentile}, plan=plan)
-    recent = tail(known, 24, ts=ts).groupBy("series_id").agg(F.avg(target).alias("recent"))
-    fired = (
-        count.filter(F.col("n") >= WEEK).join(limit, "series_id").join(recent, "series_id")
-        .filter(F.col("recent") > F.col("limit"))
-    )
+    recent, high = F.col("last_day"), F.col("high")
     percentile = F.lit(f"{cfg.high_percentile * 100:.1f}")
     return _rows(
-        fired, "top_decile", 4, "HIGH", 12.0, description=[_whole(F.col("recent")), percentile, _whole(F.col("limit"))]
+        profile.filter((F.col("n") >= WEEK) & (recent > high)), "top_decile", 4, "HIGH", 12.0,
+        description=[_whole(recent), percentile, _whole(high)],
     )
 
 
-def weekend_gap(history: DataFrame, *, ts: str = "ts", target: str = "y", share: float = 0.6) -> DataFrame:
-    weekend = F.weekday(ts) >= 5
-    agg = history.groupBy("series_id").agg(
-        F.avg(F.when(~weekend, F.col(target))).alias("wd"), F.avg(F.when(weekend, F.col(target))).alias("we")
-    )
-    fired = agg.filter((F.col("wd") > 0) & (F.try_divide("we", "wd") < share))
-    return _rows(fired, "weekend_gap", 5, "LOW", 5.0, description=[_whole(F.col("wd")), _whole(F.col("we"))])
+def weekend_gap(profile: DataFrame, *, share: float = 0.6) -> DataFrame:
+    """Weekend mean under ``share`` of the weekday mean."""
+    week, end = F.col("weekday_mean"), F.col("weekend_mean")
+    fired = profile.filter((week > 0) & (F.try_divide(end, week) < share))
+    return _rows(fired, "weekend_gap", 5, "LOW", 5.0, description=[_whole(week), _whole(end)])
 
 
 def anomaly_share(flagged: DataFrame, *, threshold: float = 5.0, high: float = 10.0) -> DataFrame:
@@ -288,13 +301,17 @@ def generate(
     importance: DataFrame | None = None, *, cfg: Config = DEFAULTS, plan: str = "auto",
 ) -> DataFrame:
     """All rules whose inputs are given, deduplicated by title, with ``position`` in
-    priority order (stable by rule) inside each series."""
+    priority order (stable by rule) inside each series.
+
+    The profiles have one row per series and feed several rules, so they are written once."""
     parts, sources = [], []
     if forecast is not None:
-        parts += [peak_shift(forecast, cfg=cfg), offpeak_storage(forecast)]
+        profile = reliable(forecast_profile(forecast, cfg=cfg))
+        parts += [peak_shift(profile, cfg=cfg), offpeak_storage(profile)]
         sources.append(forecast)
     if history is not None:
-        parts += [week_trend(history), top_decile(history, cfg=cfg, plan=plan), weekend_gap(history)]
+        profile = reliable(history_profile(history, cfg=cfg, plan=plan))
+        parts += [week_trend(profile), top_decile(profile, cfg=cfg), weekend_gap(profile)]
         sources.append(history)
     if anomalies is not None:
         parts.append(anomaly_share(anomalies))

@@ -123,11 +123,11 @@ def importances(series):
 
 
 RULES = {
-    "peak_shift": lambda s: recommend.peak_shift(as_forecast(s), cfg=TUNED, min_ratio=RATIO),
-    "offpeak_storage": lambda s: recommend.offpeak_storage(as_forecast(s), share=NIGHT_SHARE),
-    "week_trend": lambda s: recommend.week_trend(s, min_change=CHANGE),
-    "top_decile": lambda s: recommend.top_decile(s, cfg=TUNED),
-    "weekend_gap": lambda s: recommend.weekend_gap(s, share=GAP_SHARE),
+    "peak_shift": lambda s: recommend.peak_shift(recommend.forecast_profile(as_forecast(s)), cfg=TUNED, min_ratio=RATIO),
+    "offpeak_storage": lambda s: recommend.offpeak_storage(recommend.forecast_profile(as_forecast(s)), share=NIGHT_SHARE),
+    "week_trend": lambda s: recommend.week_trend(recommend.history_profile(s), min_change=CHANGE),
+    "top_decile": lambda s: recommend.top_decile(recommend.history_profile(s, cfg=TUNED), cfg=TUNED),
+    "weekend_gap": lambda s: recommend.weekend_gap(recommend.history_profile(s), share=GAP_SHARE),
     "anomaly_rate": lambda s: recommend.anomaly_share(
         anomaly.detect(s, methods=("zscore", "iqr")), threshold=ANOMALY_PCT, high=4.0),
     "drivers": lambda s: recommend.driver_rules(importances(s), top=2),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +60,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that values fixed at
-    this point (row ids, sampled range bounds) survive a lost executor."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage through a table in the shared checkpoint folder, so that values fixed at
+    this point (row ids, sampled range bounds) survive a lost executor.
+
+    A written table computes its input once (an RDD checkpoint runs the last stage
+    twice) and later reads prune its columns."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattline.config import DEFAULTS, Config
 from wattline.functions.calendar import epoch_us
 from wattline.operators.ordering import choose_plan, drop_halo, halo_chunks, quantiles
+from wattline.session import reliable
 
 log = logging.getLogger(__name__)
 
@@ -30,6 +31,8 @@ def dedup_first(
         # Per column, so that fixed-width rows stay in a hash aggregate without sorting.
         rest_cols = [F.min_by(c, ingest_order).alias(c) for c in rest if c != ingest_order]
         return df.groupBy(series, ts).agg(*rest_cols, F.min(ingest_order).alias(ingest_order)).select(*df.columns)
+    if len(rest) == 1:
+        return df.groupBy(series, ts).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
     kept = df.groupBy(series, ts).agg(F.min(F.struct(*rest)).alias("_row"))
     return kept.select(*[F.col(c) if c in (series, ts) else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
@@ -213,10 +216,14 @@ def clean(
     df: DataFrame, *, series: str = "series_id", ts: str = "ts", target: str = "y",
     ingest_order: str | None = None, winsorized: bool = True, cfg: Config = DEFAULTS, plan: str = "auto",
 ) -> DataFrame:
-    """Deduplicate, fill gaps, cap outliers."""
+    """Deduplicate, fill gaps, cap outliers.
+
+    The filled series is read twice for capping (bounds, then clipping), so it is written once."""
+    plan = choose_plan(df, [series], plan)  # duplicates only make this an upper bound
     out = dedup_first(df, series=series, ts=ts, ingest_order=ingest_order)
     if ingest_order:
         out = out.drop(ingest_order)
-    plan = choose_plan(out, [series], plan)
     out = fill_missing(out, cfg.missing_strategy, series=series, ts=ts, target=target, limit=cfg.interpolate_limit, plan=plan)
-    return winsorise(out, cfg.outlier_method, series=series, target=target, cfg=cfg, plan=plan) if winsorized else out
+    if not winsorized:
+        return out
+    return winsorise(reliable(out), cfg.outlier_method, series=series, target=target, cfg=cfg, plan=plan)

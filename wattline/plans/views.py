@@ -25,11 +25,16 @@ def _hour(c: str) -> Column:
     return F.date_trunc("hour", F.col(c)).cast("timestamp_ntz")
 
 
+def _named(series: str) -> Column:
+    """Series name tied to the row: a plain literal would be folded out of join keys."""
+    return F.when(F.col("ts").isNotNull(), F.lit(series)).alias("series_id")
+
+
 def load_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One series: all events, summed by hour."""
     ev = table(spark, sf_dir, "events")
     out = ev.groupBy(_hour("ts").alias("ts")).agg(F.sum(hundredths("value")).alias("y"))
-    return out.select(F.lit("all").alias("series_id"), "ts", "y")
+    return out.select(_named("all"), "ts", "y")
 
 
 def load_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ def load_exog(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ev.groupBy(_hour("ts").alias("ts")).agg(
         F.sum(hundredths("value")).alias("y"), share("click").alias("click"), share("view").alias("view")
     )
-    return out.select(F.lit("all").alias("series_id"), "ts", "y", "click", "view")
+    return out.select(_named("all"), "ts", "y", "click", "view")
 
 
 def load_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +82,4 @@ def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One daily series: order value by order date."""
     orders = table(spark, sf_dir, "orders")
     out = orders.groupBy(F.col("o_orderdate").alias("ts")).agg(F.sum(hundredths("o_totalprice")).alias("y"))
-    return out.select(F.lit("orders").alias("series_id"), "ts", "y")
+    return out.select(_named("orders"), "ts", "y")

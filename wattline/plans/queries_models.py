@@ -197,4 +197,4 @@ def tree_shap(spark, sf_dir):
 def kernel_shap(spark, sf_dir):
     train, _ = split_features(spark, sf_dir)
     model = fit_boosted_a(train, ["hour", "is_weekend", "load_t_1", "load_t_24", "rolling_mean_24"], params=SMALL_BOOST, tune=False)
-    return explain.importance(explain.kernel_shap(train, model, max_rows=20, background_rows=20, budget=64))
+    return explain.importance(explain.kernel_shap(train, model, max_rows=50, background_rows=50, budget=32))

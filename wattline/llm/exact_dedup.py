@@ -36,7 +36,7 @@ def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the one retained is verified."""
     open_entry = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        rows = pa.Table.from_arrays(batch.columns, batch.schema.names)  # batches differ in what may be null
         if open_entry is not None:
             rows = pa.concat_tables([open_entry, rows])
         rows = rows.combine_chunks()

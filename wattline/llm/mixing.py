@@ -36,12 +36,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     ranked = prefix_sums(sizes, ["source"], "source_size").select(
         "source", "source_size", F.col("total").alias("all_size"), weight.alias("weight"))
     ranked = ranked.select("*", (most * F.col("source_size")).alias("cap"), (most * F.col("source_size") / F.col("weight")).alias("ratio"))
-    by_cap = prefix_sums(ranked, ["ratio"], "cap").withColumnsRenamed({"before": "cap_before"}).drop("index", "total", "count")
-    both = prefix_sums(by_cap, ["ratio"], "weight").withColumnsRenamed({"before": "weight_before"})
+    by_cap = prefix_sums(ranked, ["ratio", "source"], "cap").withColumnsRenamed({"before": "cap_before"}).drop("index", "total", "count")
+    both = prefix_sums(by_cap, ["ratio", "source"], "weight").withColumnsRenamed({"before": "weight_before"})
     # a source is capped if the level that its predecessors leave is at or over its ratio
     level = (share * F.col("all_size") - F.col("cap_before")) / (F.col("total") - F.col("weight_before"))
-    levels = reliable(both.select("source", "source_size", "weight", "cap", "ratio", level.alias("level")))
-    found = levels.filter(F.col("level") < F.col("ratio")).agg(F.min(F.struct("ratio", "level"))["level"]).first()[0]  # one number
+    levels = reliable(both.select("source", "source_size", "weight", "cap", "ratio", "cap_before", level.alias("level")))
+    found = levels.filter(F.col("level") < F.col("ratio")).agg(F.min(F.struct("ratio", "cap_before", "level"))["level"]).first()[0]  # one number
     return levels.select("source", "source_size", F.least("cap", F.lit(found) * F.col("weight")).alias("target"))  # least skips a null
 
 
@@ -99,7 +99,7 @@ ordered as (
     sum(weight) over (order by cap / weight, source rows between current row and unbounded following) as weight_left,
     sum(source_size) over ()::double as all_size from weighted),
 levels as (select *, (1.5::double * all_size - cap_before) / weight_left as level from ordered),
-last as (select min_by(level, ratio) as level from levels where level < ratio),
+last as (select (select level from levels where level < ratio order by ratio, cap_before limit 1) as level),
 targets as (
   select l.source, l.source_size, case when last.level is null then l.cap else least(l.cap, last.level * l.weight) end as target
   from levels l cross join last)

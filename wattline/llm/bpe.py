@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .pieces import PieceEncoder, Recent, words
+from .pieces import PieceEncoder
 
 _OUT = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -132,16 +132,10 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.pieces = PieceEncoder(self._encode)
-        self._known = Recent(80 << 20)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        self._known.turn()
-        found = [words(p, self.pattern.findall) for p in pieces]
-        new = self._known.missing(set().union(*found))
-        self._known.learn(new, [array("I", ids).tobytes() for ids in self.replay.encode([w.encode() for w in new])])
-        get = self._known.get
-        return [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in found]
+        self.pieces = PieceEncoder(self._tokenize, self.pattern.findall)
+
+    def _tokenize(self, words: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.replay.encode([w.encode() for w in words])]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for data in self.pieces.run(texts):

@@ -53,42 +53,68 @@ class Recent:
         return self._young.get
 
 
-def words(piece: str, split: Callable[[str], list[str]]) -> list[str]:
-    """Matches of the byte-level pattern in a piece; ``split`` is asked unless it is a word with ASCII punctuation after it."""
-    core = piece.rstrip(punctuation)
-    if core[:1] == " " and core[1:].isalpha():  # str.isalpha is the pattern's class of letters
-        return [core] if len(core) == len(piece) else [core, piece[len(core):]]
-    return split(piece)
-
-
 class PieceEncoder:
-    """Concatenates the encoded pieces of texts. ``encode`` maps strings to bytes, many at once.
+    """Encodes whole texts by pieces that are tokenized once.
 
-    A text is split by built-in string methods alone, and most pieces are known already."""
+    ``tokenize`` gives the encoded form of words - matches of the byte-level pattern, with their space - and is called for many at
+    once; ``split`` gives the words of a string. A text is split by built-in string methods alone, and most pieces are
+    known already. A piece is known by its text without the space before it, and so is a word with a space."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit_bytes: int = 100 << 20):
-        self._encode, self._known = encode, Recent(limit_bytes)
+    def __init__(self, tokenize: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]], limit_bytes: int = 170 << 20):
+        self._tokenize, self._split = tokenize, split
+        self._known, self._bare = Recent(limit_bytes * 3 // 4), Recent(limit_bytes // 4)
 
     def run(self, texts: list[str]) -> Iterator[bytes]:
         """The encoded texts, in order."""
         known = self._known
         for block in _blocks(texts):
             known.turn()
+            self._bare.turn()
             heads, tails, values, unknown = [], [], [], set()
             for text in block:
                 head, *tail = text.split(" ") if _plain(text) else _CUT.split(text)
-                heads.append(head)
+                heads.append(self._split(head))
                 tails.append(tail)
                 values.append(own := list(map(known.get, tail)))
                 if None in own:
                     unknown.update(p for p, v in zip(tail, own, strict=True) if v is None)
-            new = known.missing(unknown)
-            known.learn(new, self._encode([" " + p for p in new]))
+            self._learn(known.missing(unknown), heads)
             get = known.get
-            for head, tail, own in zip(self._encode(heads), tails, values, strict=True):
+            for head, tail, own in zip(heads, tails, values, strict=True):
                 if None in own:
                     own = [v or get(p) for p, v in zip(tail, own, strict=True)]
-                yield head + b"".join(own)
+                yield self._joined(head) + b"".join(own)
+
+    def _learn(self, pieces: list[str], heads: list[list[str]]) -> None:
+        """Makes pieces known, and the words of them and of ``heads``."""
+        spaced, bare, composed, split = set(), set(), [], self._split
+        for piece in pieces:
+            if piece.isalpha():  # str.isalpha is the pattern's class of letters
+                spaced.add(piece)
+                continue
+            core = piece.rstrip(punctuation)
+            if core.isalpha():  # a word with ASCII punctuation after it, which is one match
+                spaced.add(core)
+                bare.add(piece[len(core):])
+                composed.append((piece, core, piece[len(core):]))
+            else:
+                composed.append((piece, None, split(" " + piece)))
+        for found in [*heads, *(words for _, core, words in composed if core is None)]:
+            for w in found:
+                if w[:1] == " " and len(w) > 1:
+                    spaced.add(w[1:])
+                else:
+                    bare.add(w)
+        spaced, bare = self._known.missing(spaced), self._bare.missing(bare)
+        encoded = self._tokenize([" " + w for w in spaced] + bare)
+        self._known.learn(spaced, encoded[:len(spaced)])
+        self._bare.learn(bare, encoded[len(spaced):])
+        word, other = self._known.get, self._bare.get
+        self._known.learn([c[0] for c in composed], [word(core) + other(rest) if core is not None else self._joined(rest) for _, core, rest in composed])
+
+    def _joined(self, words: list[str]) -> bytes:
+        word, other = self._known.get, self._bare.get
+        return b"".join([word(w[1:]) if w[:1] == " " and len(w) > 1 else other(w) for w in words])
 
 
 def _blocks(texts: list[str], size: int = 4 << 20) -> Iterator[list[str]]:

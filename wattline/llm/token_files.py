@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import create, file_system, new_folder, reliable, table
-from .pieces import PieceEncoder, Recent, words
+from .pieces import PieceEncoder
 
 BLOCK = 1024
 PERCENTILE = 98
@@ -183,33 +185,33 @@ class TokenFileReader:
         self._file.close()
 
 
+# Fixed value: the pattern of a byte-level pre-tokenizer.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class _Tokenizer:
-    """Whole texts by a tokenizer file: its pre-tokenizer splits and its model encodes each distinct word once."""
+    """Whole texts by a byte-level tokenizer file: its model encodes each distinct word once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._model = self._tokenizer.model
-        self._split = self._tokenizer.pre_tokenizer.pre_tokenize_str
-        # The pre-tokenizer spells bytes as letters: printable ones as they are, the others from 256 on.
+        tokenizer = Tokenizer.from_file(path)
+        before = json.loads(tokenizer.to_str())["pre_tokenizer"]
+        if tokenizer.normalizer is not None or before != before | {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}:
+            raise ValueError(f"{path} is no plain byte-level tokenizer")
+        self._model = tokenizer.model
+        # Bytes are spelled as letters: printable ones as they are, the others from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self._spelled = dict(zip([b for b in range(256) if b not in plain], range(256, 512), strict=False))
-        self._words, self.pieces = Recent(80 << 20), PieceEncoder(self._encode)
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        self._words.turn()
-        found = [words(p, self._matches) for p in pieces]
-        tokenize, spelled = self._model.tokenize, self._spelled
-        new = self._words.missing(set().union(*found))
-        spellings = [w.encode().decode("latin-1").translate(spelled) for w in new]
-        self._words.learn(new, [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spellings])
-        get = self._words.get
-        return [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in found]
-
-    def _matches(self, piece: str) -> list[str]:
-        return [piece[a:b] for _, (a, b) in self._split(piece)] if piece else []
+        self._space = " ".translate(self._spelled)
+        self.pieces = PieceEncoder(self._tokenize, regex.compile(BYTE_LEVEL).findall)
+
+    def _spelling(self, word: str) -> str:
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":
+            return self._space + word[1:]
+        return word.encode().decode("latin-1").translate(self._spelled)
+
+    def _tokenize(self, words: list[str]) -> list[bytes]:
+        tokenize = self._model.tokenize
+        return [array("I", [t.id for t in tokenize(s)]).tobytes() for s in map(self._spelling, words)]
 
 
 @functools.cache

@@ -23,16 +23,16 @@ class Config:
     test_size: float = 0.2
     seed: int = 42
     horizons: dict[str, int] = field(default_factory=lambda: {"24h": 24, "7d": 168, "30d": 720})
-    stat_train_rows: int = 5_000
-    stat_test_rows: int = 2_000
+    stat_train_rows: int | None = None
+    stat_test_rows: int | None = None
     anomaly_methods: tuple[str, ...] = ("zscore", "iqr", "isolation_forest", "lof", "one_class_svm")
     zscore_threshold: float = 3.0
     contamination: float = 0.05
     forest_trees: int = 100
     lof_neighbors: int = 20
     svm_nu: float = 0.05
-    explain_rows: int = 500
-    background_rows: int = 100
+    explain_rows: int | None = None
+    background_rows: int | None = None
     peak_hours: tuple[int, ...] = (15, 16, 17, 18)
     high_percentile: float = 0.90
     load_shift_threshold: float = 5_000.0

@@ -13,14 +13,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.config import DEFAULTS
 from wattline.models.linear import cross_products, dot, solve
 from wattline.operators.forecast import future_exog
-from wattline.operators.ordering import tail
+from wattline.operators.features import windowed
+from wattline.operators.ordering import choose_plan, tail
 from wattline.session import reliable
 
 # Model orders (p, d, q) and (P, D, Q, s).
@@ -47,28 +48,32 @@ def expanded_lags(short: int, long: int, s: int) -> list[int]:
 
 
 class ArimaModel:
-    """Coefficients and recent state per series."""
+    """Coefficients per series, and the newest training rows to start from.
+
+    ``table`` has the coefficients of the model and of the long autoregression that gives innovations from
+    observed values, so a forecast can start at the end of any history."""
 
     statistical = True
 
-    def __init__(self, name, table, state, ar, ma, weights, exog, series, ts) -> None:
+    def __init__(self, name, table, state, ar, ma, long, weights, exog, series, ts, target) -> None:
         self.name, self.table, self.state = name, table, state
-        self.ar, self.ma, self.weights, self.exog = ar, ma, weights, list(exog)
-        self.series, self.ts = series, ts
+        self.ar, self.ma, self.long, self.weights, self.exog = ar, ma, long, weights, list(exog)
+        self.series, self.ts, self.target = series, ts, target
 
     def forecast(self, history: DataFrame | None, horizon: int, *, exog: Sequence[str] = (), future: DataFrame | None = None) -> DataFrame:
-        """``horizon`` steps after the training rows, clipped at zero. ``future`` gives known
-        exogenous values as ``series, step, ts, <exog>``; else they follow the profile of
+        """``horizon`` steps after the last row of ``history``, clipped at zero; without a history, after the training rows.
+        ``future`` gives known exogenous values as ``series, step, ts, <exog>``; else they follow the profile of
         ``history``."""
         if future is None:
             future = future_exog(history, horizon, self.exog, series=self.series, ts=self.ts)
-        need = [self.series, self.ts, "_y", "_w", "_e", *self.exog]
-        past = self.state.select(*need).withColumn("step", F.lit(0))
-        coming = future.select(
-            self.series, self.ts, *[F.lit(None).cast("double").alias(c) for c in ("_y", "_w", "_e")], *self.exog, "step"
-        )
-        frame = past.unionByName(coming).join(self.table.select(self.series, "coef"), self.series)
-        ar, ma, weights, exog_cols, series, ts = self.ar, self.ma, self.weights, self.exog, self.series, self.ts
+        if history is None:
+            past = self.state
+        else:
+            past = _recent(history, self.target, self.exog, _reach(self.ar, self.ma, self.long, self.weights), self.series, self.ts)
+        past = past.withColumn("step", F.lit(0))
+        coming = future.select(self.series, self.ts, F.lit(None).cast("double").alias("_y"), *self.exog, "step")
+        frame = past.unionByName(coming).join(self.table.select(self.series, "coef", "long_coef"), self.series)
+        ar, ma, long, weights, exog_cols, series, ts = self.ar, self.ma, self.long, self.weights, self.exog, self.series, self.ts
         schema = T.StructType([
             self.state.schema[series], T.StructField("step", T.IntegerType()), self.state.schema[ts],
             T.StructField("forecast", T.DoubleType()),
@@ -76,12 +81,16 @@ class ArimaModel:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["step", ts], kind="stable").reset_index(drop=True)
-            coef = np.asarray(pdf["coef"].iloc[0])
-            y, w = pdf["_y"].to_numpy(dtype=float).copy(), pdf["_w"].to_numpy(dtype=float).copy()
-            e = np.nan_to_num(pdf["_e"].to_numpy(dtype=float))
-            xs = pdf[exog_cols].to_numpy(dtype=float) if exog_cols else np.zeros((len(pdf), 0))
-            start = int((pdf["step"] == 0).sum())
-            for i in range(start, len(pdf)):
+            coef, first = np.asarray(pdf["coef"].iloc[0]), np.asarray(pdf["long_coef"].iloc[0])
+            y, n = pdf["_y"].to_numpy(dtype=float).copy(), len(pdf)
+            xs = pdf[exog_cols].to_numpy(dtype=float) if exog_cols else np.zeros((n, 0))
+            start, deepest = int((pdf["step"] == 0).sum()), max(weights)
+            w, e = np.full(n, np.nan), np.zeros(n)
+            for i in range(deepest, start):
+                w[i] = sum(c * y[i - k] for k, c in weights.items())
+            for i in range(deepest + max(long), start):
+                e[i] = np.nan_to_num(w[i] - first @ w[[i - k for k in long]])
+            for i in range(start, n):
                 x = [w[i - k] if i >= k else 0.0 for k in ar] + [e[i - k] if i >= k else 0.0 for k in ma]
                 x += [sum(c * xs[i - k, j] for k, c in weights.items() if i >= k) for j in range(xs.shape[1])]
                 w[i] = coef @ np.nan_to_num(np.asarray(x))
@@ -96,9 +105,9 @@ class ArimaModel:
         self.table.write.mode("overwrite").parquet(f"{path}/coefficients")
         self.state.write.mode("overwrite").parquet(f"{path}/state")
         spark = self.table.sparkSession
-        info = [(self.name, self.ar, self.ma, list(self.weights), list(self.weights.values()), self.exog)]
+        info = [(self.name, self.ar, self.ma, self.long, list(self.weights), list(self.weights.values()), self.exog, self.target)]
         spark.createDataFrame(
-            info, "name string, ar array<int>, ma array<int>, wk array<int>, wv array<double>, exog array<string>"
+            info, "name string, ar array<int>, ma array<int>, long array<int>, wk array<int>, wv array<double>, exog array<string>, target string"
         ).write.mode("overwrite").parquet(f"{path}/info")
 
     @classmethod
@@ -106,16 +115,25 @@ class ArimaModel:
         i = spark.read.parquet(f"{path}/info").first()
         return cls(
             i["name"], spark.read.parquet(f"{path}/coefficients"), spark.read.parquet(f"{path}/state"), list(i["ar"]),
-            list(i["ma"]), dict(zip(i["wk"], i["wv"])), list(i["exog"]), series, ts,
+            list(i["ma"]), list(i["long"]), dict(zip(i["wk"], i["wv"])), list(i["exog"]), series, ts, i["target"],
         )
 
 
+def _reach(ar, ma, long, weights) -> int:
+    """Rows that the first step and the innovations before it look back on."""
+    return max([*ar, *ma, 1]) + max(long) + max(weights) + 1
+
+
+def _recent(df: DataFrame, target: str, exog: Sequence[str], rows: int, series: str, ts: str) -> DataFrame:
+    return tail(df.select(series, ts, F.col(target).cast("double").alias("_y"), *exog), rows, series=series, ts=ts)
+
+
 def fit_arima(
     df: DataFrame, *, name: str = "ARIMA", order: tuple | None = None, seasonal: tuple | None = None,
     exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
-    max_rows: int = DEFAULTS.stat_train_rows,
+    max_rows: int | None = DEFAULTS.stat_train_rows, plan: str = "auto", chunk_rows: int | None = None,
 ) -> ArimaModel:
-    """Fit on the newest ``max_rows`` rows per series, which also bounds every window here."""
+    """Fit on all rows of each series, or on the newest ``max_rows``. Lags of a series too long for one task come from chunks."""
     (p, d, q), (sp, sd, sq, s) = ORDERS[name]
     if order:
         p, d, q = order
@@ -124,29 +142,36 @@ def fit_arima(
     exog = list(exog) if name == "SARIMAX" else []
     ar, ma = expanded_lags(p, sp, s), expanded_lags(q, sq, s)
     weights = difference_weights(d, sd, s)
-    w = Window.partitionBy(series).orderBy(ts)
+    rows = df.select(series, ts, F.col(target).cast("double").alias("_y"), *exog)
+    if max_rows is not None:
+        rows = tail(rows, max_rows, series=series, ts=ts)
+    plan = choose_plan(rows, [series], plan)
+    lagged = lambda frame, before, build: windowed(frame, series, ts, before, build, plan, chunk_rows)
 
-    def differenced(c: str):
+    def differenced(c: str, w):
         total = F.lit(0.0)
         for k, v in weights.items():
             total = total + (F.lag(c, k).over(w) if k else F.col(c)) * F.lit(v)
         return total
 
-    base = tail(df.select(series, ts, F.col(target).cast("double").alias("_y"), *exog), max_rows, series=series, ts=ts)
-    base = base.withColumns({"_w": differenced("_y"), **{f"_x_{c}": differenced(c) for c in exog}})
+    base = lagged(rows, max(weights), lambda w: {"_w": differenced("_y", w), **{f"_x_{c}": differenced(c, w) for c in exog}})
     long = sorted({*range(1, max(8, 2 * (p + q)) + 1), *([s - 1, s, s + 1, 2 * s, 2 * s + 1] if s else [])})
     stage1 = [f"_l{k}" for k in long]
-    base = base.withColumns({f"_l{k}": F.lag("_w", k).over(w) for k in long})
+    base = lagged(base, max(long), lambda w: {f"_l{k}": F.lag("_w", k).over(w) for k in long})
     usable = base.na.drop(subset=["_w", *stage1])
     first = solve(cross_products(usable, [*stage1, "_w"], series=series), len(stage1), series=series, intercept=False)
-    first = first.select(series, F.col("coef").alias("_c"))
-    base = base.join(first, series).withColumn("_e", F.col("_w") - dot(stage1, F.col("_c"))).drop("_c", *stage1)
-    # Innovations feed both the second regression and the forecast state.
+    first = reliable(first.select(series, F.col("coef").alias("long_coef")))
+    base = base.join(first, series).withColumn("_e", F.col("_w") - dot(stage1, F.col("long_coef"))).drop("long_coef", *stage1)
+    # The second regression reads the innovations twice.
     base = reliable(base)
-    lags = {f"_a{k}": F.lag("_w", k).over(w) for k in ar} | {f"_m{k}": F.lag("_e", k).over(w) for k in ma}
-    cols = [*lags, *[f"_x_{c}" for c in exog]]
-    second = base.withColumns(lags).na.drop(subset=["_w", *cols])
-    table = reliable(solve(cross_products(second, [*cols, "_w"], series=series), len(cols), series=series, intercept=False))
-    reach = max([*ar, *ma, *weights, 1]) + max(weights) + 1
-    state = tail(base.select(series, ts, "_y", "_w", "_e", *exog), reach, series=series, ts=ts)
-    return ArimaModel(name, table, state, ar, ma, weights, exog, series, ts)
+    if ar or ma:
+        base = lagged(base, max([*ar, *ma]), lambda w: {f"_a{k}": F.lag("_w", k).over(w) for k in ar} | {f"_m{k}": F.lag("_e", k).over(w) for k in ma})
+    cols = [*[f"_a{k}" for k in ar], *[f"_m{k}" for k in ma], *[f"_x_{c}" for c in exog]]
+    if cols:
+        second = base.na.drop(subset=["_w", *cols])
+        table = solve(cross_products(second, [*cols, "_w"], series=series), len(cols), series=series, intercept=False)
+        table = reliable(table.join(first, series))
+    else:  # differences alone: nothing to estimate
+        table = reliable(first.withColumn("coef", F.array().cast("array<double>")))
+    state = reliable(_recent(rows.withColumnRenamed("_y", target), target, exog, _reach(ar, ma, long, weights), series, ts))
+    return ArimaModel(name, table, state, ar, ma, long, weights, exog, series, ts, target)

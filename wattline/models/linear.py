@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HELD_SERIES = 256
 RCOND = 1e-10
 
 
@@ -30,26 +29,26 @@ def cross_products(df: DataFrame, cols: Sequence[str], *, series: str = "series_
     ])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
+        held, own = None, np.zeros((size, size))
 
         def emit() -> pd.DataFrame:
-            rows = [(sid, i, g[i, upper[i]]) for sid, g in held.items() for i in range(size)]
-            held.clear()
-            return pd.DataFrame(rows, columns=[series, "i", "vs"])
+            return pd.DataFrame([(held, i, own[i, upper[i]]) for i in range(size)], columns=[series, "i", "vs"])
 
         for batch in batches:
             values = batch[cols].to_numpy(dtype=float)
             z = np.hstack([np.ones((len(values), 1)), values])
             for sid, rows in batch.groupby(series, sort=False).indices.items():
-                part = z[rows]
-                held[sid] = held.get(sid, 0.0) + part.T @ part
-            if len(held) > HELD_SERIES:
-                yield emit()
-        if held:
+                if held is not None and sid != held:
+                    yield emit()
+                    own = np.zeros((size, size))
+                held, part = sid, z[rows]
+                own = own + part.T @ part
+        if held is not None:
             yield emit()
 
     numeric = [F.col(c).cast("double").alias(c) for c in cols]
-    parts = df.select(series, *numeric).mapInPandas(partial, schema)
+    # sorted, so a task holds one series at a time and gives one partial matrix for each
+    parts = df.select(series, *numeric).filter(F.col(series).isNotNull()).sortWithinPartitions(series).mapInPandas(partial, schema)
     flat = parts.select(series, "i", F.posexplode("vs").alias("k", "v"))
     return flat.groupBy(series, "i", (F.col("i") + F.col("k")).alias("j")).agg(F.sum("v").alias("v"))
 
@@ -128,6 +127,9 @@ class LinearModel:
     def scorer(self):
         return lambda x, own: float(own["_b0"] + np.asarray(own["_b"]) @ x)
 
+    def matrix_scorer(self):
+        return lambda x, own: own["_b0"] + x @ np.asarray(own["_b"])
+
     def importances(self) -> DataFrame:
         """Absolute z-score coefficients, long form."""
         names = F.array(*[F.lit(f) for f in self.features])

@@ -39,6 +39,7 @@ class Selection:
     metrics: DataFrame
     best: DataFrame
     models: dict[str, Any] = field(default_factory=dict)
+    failed: dict[str, str] = field(default_factory=dict)
 
     def forecast(self, history: DataFrame, *, exog: Sequence[str] = (), cfg: Config = DEFAULTS) -> DataFrame:
         """Forecast every series with its own best model."""
@@ -62,7 +63,7 @@ def evaluate(model, test: DataFrame, *, target: str = "y", digits: int | None =
 def evaluate_points(model, test: DataFrame, *, target: str = "y") -> DataFrame:
     if not model.statistical:
         return model.transform(test)
-    ranked = positions(test, ["series_id"], ["ts"], pos="_i", plan="plain").withColumn("step", (F.col("_i") + 1).cast("int"))
+    ranked = positions(test, ["series_id"], ["ts"], pos="_i").withColumn("step", (F.col("_i") + 1).cast("int"))
     future = ranked.select("series_id", "ts", *model.exog, "step")
     points = model.forecast(None, 0, future=future).select("series_id", "step", F.col("forecast").alias("prediction"))
     return ranked.join(points, ["series_id", "step"])
@@ -82,10 +83,12 @@ def run(
     """Fit the enabled models on ``train`` and compare them on ``test``; a model that fails
     is logged and left out, and none left is an error.
 
-    ``options`` are keyword arguments per model name. Statistical models use the newest
-    training rows and the first test rows up to the configured caps."""
+    ``options`` are keyword arguments per model name. All models see the same rows; statistical ones the
+    newest training and first test rows only where the configuration says how many. Models that
+    failed are named in ``failed``."""
     options = options or {}
     fitted: dict[str, Any] = {}
+    failed: dict[str, str] = {}
     parts: list[DataFrame] = []
     for name in enabled:
         if name not in ALL_MODELS:
@@ -97,16 +100,17 @@ def run(
                 model, rows = FEATURE_MODELS[name](train, features, **options.get(name, {})), test
             else:
                 model = fit_arima(train, name=name, exog=exog, max_rows=cfg.stat_train_rows, **options.get(name, {}))
-                rows = head(test, cfg.stat_test_rows)
+                rows = test if cfg.stat_test_rows is None else head(test, cfg.stat_test_rows)
             # a few numbers per series, fixed here so that a failing model shows now
             parts.append(reliable(evaluate(model, rows)))
             fitted[name] = model
-        except Exception:
+        except Exception as error:
             log.exception("model %s failed", name)
+            failed[name] = f"{type(error).__name__}: {error}"
     if not fitted:
         raise RuntimeError("no model could be trained")
     metrics = safe_concat(parts)
-    return Selection(metrics, select_best(metrics), fitted)
+    return Selection(metrics, select_best(metrics), fitted, failed)
 
 
 def predict_raw(model, rows: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:

@@ -12,8 +12,10 @@ import random
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -63,6 +65,10 @@ class TreeModel:
         shipped = SparkSession.getActiveSession().sparkContext.broadcast(self.nodes())
         return lambda x, own: float(shipped.value.predict(np.asarray(x)[None, :])[0])
 
+    def matrix_scorer(self):
+        shipped = SparkSession.getActiveSession().sparkContext.broadcast(self.nodes())
+        return lambda x, own: shipped.value.predict(x)
+
     def importances(self) -> list[tuple[str, float]]:
         """Impurity importances, summing to one."""
         return list(zip(self.features, map(float, self.ensemble.featureImportances.toArray())))
@@ -271,7 +277,7 @@ def boosted_b_candidates(n: int, seed: int) -> list[dict]:
 def fit_boosted_b(
     train: DataFrame, features: Sequence[str], *, target: str = "y", series: str = "series_id", ts: str = "ts",
     params: dict | None = None, tune: bool = True, trials: int = BOOSTED_B_TRIALS, candidates: list[dict] | None = None,
-    seed: int = 42,
+    seed: int = 42, parallelism: int = 4,
 ) -> TreeModel:
     """Second boosted configuration; trials are compared on the newest rows of each series."""
     chosen = {**BOOSTED_B_DEFAULTS, **(params or {})}
@@ -281,11 +287,13 @@ def fit_boosted_b(
         evaluator = RegressionEvaluator(labelCol=target, metricName="rmse")
         newest = held.filter("_holdout")
         try:
-            scored = [
-                (evaluator.evaluate(_boosted(p, target, seed, "_holdout").fit(held).transform(newest)), i)
-                for i, p in enumerate(candidates or boosted_b_candidates(trials, seed))
-            ]
+            def score(i: int) -> tuple[float, int]:
+                return evaluator.evaluate(_boosted(settings[i], target, seed, "_holdout").fit(held).transform(newest)), i
+
+            settings = candidates or boosted_b_candidates(trials, seed)
+            with ThreadPool(parallelism) as pool:
+                scored = pool.map(inheritable_thread_target(score), range(len(settings)))
         finally:
             held.unpersist()
-        chosen = (candidates or boosted_b_candidates(trials, seed))[min(scored)[1]]
+        chosen = settings[min(scored)[1]]
     return _boost("BoostedB", chosen, assembled, features, target, series, ts, seed)

@@ -102,8 +102,10 @@ def points(flagged: DataFrame, *, series: str = "series_id", ts: str = "ts", tar
     )
 
 
-def report_points(flagged: DataFrame, *, last: int = 2000, series: str = "series_id", ts: str = "ts") -> DataFrame:
-    return points(tail(flagged, last, series=series, ts=ts), series=series, ts=ts)
+def report_points(flagged: DataFrame, *, last: int | None = None, series: str = "series_id", ts: str = "ts") -> DataFrame:
+    """All points, or the newest ``last`` of each series."""
+    rows = flagged if last is None else tail(flagged, last, series=series, ts=ts)
+    return points(rows, series=series, ts=ts)
 
 
 def vote(df: DataFrame, methods: Sequence[str]) -> DataFrame:

@@ -23,7 +23,8 @@ def dedup_first(
 
     An aggregate rather than a window: copies are combined on the map side, so a
     timestamp repeated many times is not one big task. ``ingest_order`` must be unique among
-    copies; without it the smallest row content wins, which is at least repeatable."""
+    copies. Files without an order of rows have none: then the smallest content wins, column by
+    column from the left, with nulls last, so a null never beats a value."""
     rest = [c for c in df.columns if c not in (series, ts)]
     if not rest:
         return df.dropDuplicates([series, ts])
@@ -33,7 +34,8 @@ def dedup_first(
         return df.groupBy(series, ts).agg(*rest_cols, F.min(ingest_order).alias(ingest_order)).select(*df.columns)
     if len(rest) == 1:
         return df.groupBy(series, ts).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
-    kept = df.groupBy(series, ts).agg(F.min(F.struct(*rest)).alias("_row"))
+    content = [c for name in rest for c in (F.col(name).isNull().alias(f"_null_{name}"), F.col(name))]
+    kept = df.groupBy(series, ts).agg(F.min(F.struct(*content)).alias("_row"))
     return kept.select(*[F.col(c) if c in (series, ts) else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,15 @@ from wattline.config import DEFAULTS
 from wattline.models.linear import LinearModel, fit_linear
 from wattline.models.trees import TreeModel, TreeNodes
 from wattline.operators.ordering import head
+from wattline.operators.outlier_models import bucketed, per_bucket
 
-BACKGROUND = DEFAULTS.background_rows
+# Background rows of the kernel method, drawn by hash from the whole series; a setting of the method.
+KERNEL_BACKGROUND = 100
+KERNEL_BUCKET_ROWS = 2_000
+
+
+def _first(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else head(df, rows)
 
 
 def _array(features: Sequence[str]):
@@ -29,20 +36,19 @@ def _long(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFr
     return df.select(*keys, pair).select(*keys, F.col("e.feature").alias("feature"), F.col("e.shap").alias("shap"))
 
 
-def background_means(df: DataFrame, features: Sequence[str], *, rows: int = BACKGROUND) -> DataFrame:
-    """Mean of each feature over the first rows of a series, as one array."""
-    first = head(df, rows)
-    return first.groupBy("series_id").agg(F.array(*[F.avg(F.col(c).cast("double")) for c in features]).alias("_bg"))
+def background_means(df: DataFrame, features: Sequence[str], *, rows: int | None = DEFAULTS.background_rows) -> DataFrame:
+    """Mean of each feature over the rows of a series (the first ``rows`` if given), as one array."""
+    return _first(df, rows).groupBy("series_id").agg(F.array(*[F.avg(F.col(c).cast("double")) for c in features]).alias("_bg"))
 
 
 def linear_shap(
-    df: DataFrame, model: LinearModel, *, background: DataFrame | None = None, background_rows: int = BACKGROUND,
-    max_rows: int = DEFAULTS.explain_rows, compat: bool = False,
+    df: DataFrame, model: LinearModel, *, background: DataFrame | None = None,
+    background_rows: int | None = DEFAULTS.background_rows, max_rows: int | None = DEFAULTS.explain_rows, compat: bool = False,
 ) -> DataFrame:
-    """Coefficient times distance from the background mean, for the first ``max_rows`` rows.
+    """Coefficient times distance from the background mean, for all rows or the first ``max_rows``.
 
     ``compat`` applies the z-score coefficients to unscaled features."""
-    sample = head(df, max_rows)
+    sample = _first(df, max_rows)
     means = background_means(background if background is not None else df, model.features, rows=background_rows)
     coef = model.table.select("series_id", F.col("scaled_coef" if compat else "coef").alias("_c"))
     phi = F.zip_with(
@@ -118,22 +124,25 @@ TREE_BATCH = 64
 
 def tree_shap(df: DataFrame, model: TreeModel, *, max_rows: int | None = DEFAULTS.explain_rows) -> DataFrame:
     """Path-dependent attributions; ``base`` plus a row's values is its prediction."""
-    sample = df if max_rows is None else head(df, max_rows)
+    sample = _first(df, max_rows)
     nodes = model.nodes()
     if (nodes.count <= 0).any():
         raise ValueError("ensemble without training counts")
-    games = SparkSession.getActiveSession().sparkContext.broadcast(PathGames(nodes, len(model.features)))
+    # The node arrays are shipped (their number is checked); paths are laid out in the tasks.
+    shipped, n_features = SparkSession.getActiveSession().sparkContext.broadcast(nodes), len(model.features)
     schema = T.StructType([
         df.schema["series_id"], df.schema["ts"], T.StructField("base", T.DoubleType()),
         T.StructField("phi", T.ArrayType(T.DoubleType())),
     ])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        games = None
         for batch in batches:
+            games = games or PathGames(shipped.value, n_features)
             for start in range(0, len(batch), TREE_BATCH):
                 part = batch.iloc[start:start + TREE_BATCH]
-                phi = games.value.values(np.stack(part["_x"].to_numpy()))
-                yield part[["series_id", "ts"]].assign(base=games.value.base, phi=list(phi))
+                phi = games.values(np.stack(part["_x"].to_numpy()))
+                yield part[["series_id", "ts"]].assign(base=games.base, phi=list(phi))
 
     # few rows and much work for each: spread them over the cluster first
     spread = sample.select("series_id", "ts", _array(model.features).alias("_x")).repartition("series_id", "ts")
@@ -147,6 +156,8 @@ def coalitions(n_features: int, budget: int, seed: int = 42) -> tuple[np.ndarray
     """Masks and weights of the Shapley kernel: every one-feature set and complement, then
     random sets in complementary pairs up to ``budget``."""
     m = n_features
+    if m == 1:  # the only feature takes the whole difference
+        return np.zeros((0, 1), bool), np.zeros(0)
     rng = np.random.default_rng(seed)
     masks = [np.eye(m, dtype=bool)[i] for i in range(m)]
     masks += [~a for a in masks] if m > 2 else []
@@ -166,55 +177,59 @@ def coalitions(n_features: int, budget: int, seed: int = 42) -> tuple[np.ndarray
 
 
 def kernel_shap(
-    df: DataFrame, model, *, background: DataFrame | None = None, background_rows: int = BACKGROUND,
-    max_rows: int = DEFAULTS.explain_rows, budget: int = 512, seed: int = 42,
+    df: DataFrame, model, *, background: DataFrame | None = None, background_rows: int = KERNEL_BACKGROUND,
+    max_rows: int | None = DEFAULTS.explain_rows, budget: int = 512, seed: int = 42,
 ) -> DataFrame:
     """Model-agnostic attributions by weighted least squares over feature sets.
 
-    Rows, sets and background rows are combined by exploding two bounded arrays, every
-    combination is scored by the model on Spark, and each row's small system is solved
-    in a group of ``budget`` lines."""
+    The background is ``background_rows`` rows of each series, drawn by hash from all of it. Rows are
+    spread over buckets; a task mixes them with sets and background in numpy blocks, scores the
+    blocks and gives one solved row each, so nothing but rows is shuffled."""
     features = list(model.features)
     masks, weights = coalitions(len(features), budget, seed)
     m = len(features)
-    sample = head(df, max_rows).select("series_id", "ts", _array(features).alias("_x")).repartition("series_id", "ts")
-    base_rows = head(background if background is not None else df, background_rows)
-    pool = base_rows.groupBy("series_id").agg(F.collect_list(_array(features)).alias("_pool"))
-    sets = [(-1, [False] * m), (-2, [True] * m), *[(i, row.tolist()) for i, row in enumerate(masks)]]
-    sets_col = F.array(*[
-        F.struct(F.lit(i).alias("set"), F.array(*[F.lit(bool(b)) for b in row]).alias("mask")) for i, row in sets
-    ])
-    combos = (
-        sample.join(pool, "series_id").select("series_id", "ts", "_x", "_pool", F.explode(sets_col).alias("_s"))
-        .select("series_id", "ts", "_x", "_s", F.explode("_pool").alias("_z"))
-    )
-    mixed = [
-        F.when(F.col("_s.mask")[i], F.col("_x")[i]).otherwise(F.col("_z")[i]).alias(c) for i, c in enumerate(features)
-    ]
-    scored = model.transform(combos.select("series_id", "ts", F.col("_s.set").alias("set"), *mixed))
-    means = scored.groupBy("series_id", "ts", "set").agg(F.avg("prediction").alias("v"))
+    sample = _first(df, max_rows).select("series_id", "ts", _array(features).alias("_x"))
+    given = background if background is not None else df
+    w = Window.partitionBy("series_id").orderBy(F.xxhash64(F.lit(seed), "series_id", "ts"), "ts")
+    pool = given.select("series_id", "ts", _array(features).alias("_z")).withColumn("_rn", F.row_number().over(w))
+    pool = pool.filter(F.col("_rn") <= background_rows).drop("ts")
+    params = model.parameters()
+    if params is not None:
+        pool = pool.join(params, "series_id")
+    score = model.matrix_scorer()
     schema = T.StructType([
         df.schema["series_id"], df.schema["ts"], T.StructField("base", T.DoubleType()),
         T.StructField("phi", T.ArrayType(T.DoubleType())),
     ])
-
-    def solve_row(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = dict(zip(pdf["set"], pdf["v"]))
-        base, full = v[-1], v[-2]
-        z = masks.astype(float)
-        y = np.array([v[i] for i in range(len(masks))]) - base
-        # the last feature takes what is left, so the values add up exactly
-        a = z[:, :-1] - z[:, [-1]]
-        b = y - z[:, -1] * (full - base)
-        root = np.sqrt(weights)
-        head_phi = np.linalg.lstsq(a * root[:, None], b * root, rcond=None)[0] if m > 1 else np.zeros(0)
-        phi = np.append(head_phi, (full - base) - head_phi.sum())
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "ts": [pdf["ts"].iloc[0]], "base": [base], "phi": [phi.tolist()]})
-
-    rows = means.groupBy("series_id", "ts").applyInPandas(solve_row, schema)
+    # the last feature takes what is left, so the values add up exactly
+    z = masks.astype(float)
+    root = np.sqrt(weights)[:, None]
+    solver = np.linalg.pinv((z[:, :-1] - z[:, [-1]]) * root) * root.T if m > 1 else np.zeros((0, 0))
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, own = np.stack(left["_x"].to_numpy()), right.sort_values("_rn")
+        back, row = np.stack(own["_z"].to_numpy()), own.iloc[0]
+        base, full = float(np.mean(score(back, row))), np.asarray(score(x, row), dtype=float)
+        phi = np.empty((len(x), m))
+        for start in range(0, len(x), 64):
+            part = x[start:start + 64]
+            values = np.empty((len(part), len(masks)))
+            for k, mask in enumerate(masks):
+                mixed = np.where(mask, part[:, None, :], back[None, :, :])
+                values[:, k] = np.asarray(score(mixed.reshape(-1, m), row)).reshape(len(part), -1).mean(axis=1)
+            gap = full[start:start + 64, None] - base
+            solved = (values - base - z[:, -1] * gap) @ solver.T if m > 1 else np.zeros((len(part), 0))
+            phi[start:start + 64] = np.hstack([solved, gap - solved.sum(axis=1, keepdims=True)])
+        return left[["series_id", "ts"]].assign(base=base, phi=list(phi))
+
+    rows = bucketed(sample, KERNEL_BUCKET_ROWS)
+    solved = (
+        rows.groupBy("series_id", "bucket").cogroup(per_bucket(rows, pool, "series_id").groupBy("_series", "_bucket"))
+        .applyInPandas(solve, schema)
+    )
     names = F.array(*[F.lit(c) for c in features])
     pair = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("shap"))).alias("e")
-    return rows.select("series_id", "ts", "base", pair).select("series_id", "ts", "base", "e.feature", "e.shap")
+    return solved.select("series_id", "ts", "base", pair).select("series_id", "ts", "base", "e.feature", "e.shap")
 
 
 def importance(shap: DataFrame) -> DataFrame:
@@ -238,7 +253,7 @@ def explainer_kind(model) -> str:
     return "TreeExplainer" if model.name in ("RandomForest", "BoostedA") else "KernelExplainer"
 
 
-def explain(df: DataFrame, model=None, *, features: Sequence[str] | None = None, max_rows: int = DEFAULTS.explain_rows, **kw) -> tuple[str, DataFrame]:
+def explain(df: DataFrame, model=None, *, features: Sequence[str] | None = None, max_rows: int | None = DEFAULTS.explain_rows, **kw) -> tuple[str, DataFrame]:
     """``(explainer kind, attributions)`` with the explainer chosen for the model."""
     kind = explainer_kind(model)
     if kind == "LinearExplainer":

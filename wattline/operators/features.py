@@ -33,7 +33,8 @@ def rolling_columns(target: str, windows: Sequence[int], w, *, prefix: str = "")
     return out
 
 
-def _windowed(df, series, ts, before, build, plan, chunk_rows) -> DataFrame:
+def windowed(df, series, ts, before, build, plan, chunk_rows) -> DataFrame:
+    """Columns of ``build(window)`` over rows that look back at most ``before`` rows."""
     extra = {} if chunk_rows is None else {"chunk_rows": chunk_rows}
     base, part = halo_chunks(df, [series], [ts], before=before, plan=plan, **extra)
     w = Window.partitionBy(*part).orderBy(ts)
@@ -54,7 +55,7 @@ def add_lags(
             cols.update(lag_columns(c, lags, w, prefix=c))
         return cols
 
-    out = _windowed(df, series, ts, max(lags), build, plan, chunk_rows)
+    out = windowed(df, series, ts, max(lags), build, plan, chunk_rows)
     return out.withColumns(_diffs(lags)) if diffs else out
 
 
@@ -78,7 +79,7 @@ def add_rolling(
             cols.update(rolling_columns(c, windows, w, prefix=f"{c}_"))
         return cols
 
-    return _windowed(df, series, ts, max(windows), build, plan, chunk_rows)
+    return windowed(df, series, ts, max(windows), build, plan, chunk_rows)
 
 
 def transform(
@@ -99,7 +100,7 @@ def transform(
             cols.update(rolling_columns(c, windows, w, prefix=f"{c}_"))
         return cols
 
-    out = _windowed(df, series, ts, max(*lags, *windows), build, plan, chunk_rows)
+    out = windowed(df, series, ts, max(*lags, *windows), build, plan, chunk_rows)
     out = out.withColumns({**calendar_columns(F.col(ts), holidays=holidays, country=cfg.holiday_country), **_diffs(lags)})
     out = out.select(series, ts, target, *keep, *feature_names(exog, cfg))
     # calendar columns are never null, so only the others need checking

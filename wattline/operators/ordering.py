@@ -27,6 +27,8 @@ from wattline.session import reliable
 
 MAX_GROUP_ROWS = 4_000_000
 CHUNK_ROWS = 500_000
+# Spark limits window groups on the map side up to its default threshold of 1,000 rows.
+GROUP_LIMIT_ROWS = 1_000
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
@@ -130,22 +132,29 @@ def drop_halo(df: DataFrame, *, keep_position: bool = False) -> DataFrame:
     return out if keep_position else out.drop("_pos")
 
 
+def _ends(df: DataFrame, low: int, high: int, *, series: str, ts: str, newest: bool) -> DataFrame:
+    """Rows ``low`` to ``high`` (exclusive) of each series, counted from its newest or oldest row."""
+    order = F.col(ts).desc() if newest else F.col(ts)
+    if high <= GROUP_LIMIT_ROWS:
+        # ``row_number() <= n`` becomes a group limit on the map side, so a hot series sends at most n rows per task
+        w = Window.partitionBy(series).orderBy(order)
+        out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= high)
+        return out.filter(F.col("_rn") > low).drop("_rn")
+    # more rows than a task should hold of a series: global positions from range partitions
+    ranked = positions(df, [series], [order], pos="_rn", plan="chunked")
+    return ranked.filter((F.col("_rn") >= low) & (F.col("_rn") < high)).drop("_rn")
+
+
 def tail(
     df: DataFrame, n: int, *, series: str = "series_id", ts: str = "ts", skip: int = 0
 ) -> DataFrame:
-    """Last ``n`` rows per series after skipping the newest ``skip`` rows.
-
-    ``row_number() <= n`` becomes a group limit on the map side, so a hot series
-    sends at most ``n + skip`` rows per task into the shuffle."""
-    w = Window.partitionBy(series).orderBy(F.col(ts).desc())
-    out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n + skip)
-    return out.filter(F.col("_rn") > skip).drop("_rn")
+    """Last ``n`` rows per series after skipping the newest ``skip`` rows; both plans give the same rows."""
+    return _ends(df, skip, n + skip, series=series, ts=ts, newest=True)
 
 
 def head(df: DataFrame, n: int, *, series: str = "series_id", ts: str = "ts") -> DataFrame:
-    """First ``n`` rows per series, with the same map-side group limit."""
-    w = Window.partitionBy(series).orderBy(F.col(ts))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """First ``n`` rows per series."""
+    return _ends(df, 0, n, series=series, ts=ts, newest=False)
 
 
 def quantiles(

@@ -1,8 +1,8 @@
 """Isolation forest, local outlier factor and one-class support vector scores per series.
 
 All three score every row. Fitting works on bounded groups: a forest samples 256 rows
-per tree, neighbours are searched leaf by leaf, and the one-class model is
-fitted per row bucket and averaged.
+per tree, neighbours are searched leaf by leaf, and the one-class model is an average of
+fits on buckets of about 256 rows. No rule depends on the size of a series.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from wattline.functions.calendar import epoch_us
 from wattline.operators.neighbours import LEAF_ROWS, knn
 
 SUBSAMPLE = 256
-POOL_ROWS = 4096
+# Rows that a tree draws before it keeps SUBSAMPLE of them; fewer than that have a chance of 1e-9.
+DRAWN = SUBSAMPLE + 6 * 16
 SCORE_BUCKET_ROWS = 50_000
-FIT_BUCKET_ROWS = 4096
+FIT_BUCKET_ROWS = 256
 FOURIER_FEATURES = 256
 FIT_STEPS = 300
 EULER = 0.5772156649015329
@@ -34,7 +35,7 @@ def bucketed(x: DataFrame, rows: int, *, series: str = "series_id", ts: str = "t
     return x.join(sizes, series).withColumn("bucket", F.pmod(F.xxhash64(ts), F.col("_buckets"))).drop("_buckets")
 
 
-def _per_bucket(rows: DataFrame, model: DataFrame, series: str) -> DataFrame:
+def per_bucket(rows: DataFrame, model: DataFrame, series: str) -> DataFrame:
     """Copy each series' model rows to every bucket the series has. Keys get names of their
     own, since both sides of the cogroup come from the same rows."""
     return model.join(rows.select(series, "bucket").distinct(), series).withColumnsRenamed(
@@ -83,12 +84,13 @@ def isolation_scores(
     """``(series, ts, score)``; higher is more isolated.
 
     Sampling and split draws are seeded by series and tree, not by partition."""
-    h = F.xxhash64(F.lit(seed), series, ts)
-    # Group limit on the map side: a hot series sends at most POOL_ROWS rows per task.
-    w = Window.partitionBy(series).orderBy(h, ts)
-    pool = x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= POOL_ROWS).drop("_rn")
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    # Without this the trees of a series would stay in the task that picked its pool.
+    sizes = x.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
+    top = 1 << 30
+    share = F.least(F.lit(1.0), F.lit(float(DRAWN)) / F.col("_n")) * top
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    # a row is copied for the trees that draw it only: about DRAWN * trees copies per series at any size
+    taken = F.filter(every, lambda t: F.pmod(F.xxhash64(F.lit(seed + 1), series, t, ts), F.lit(top)) < F.col("_share"))
+    drawn = x.join(sizes, series).withColumn("_share", share).withColumn("tree", F.explode(taken)).drop("_n", "_share")
     drawn = drawn.repartition(series, "tree")
     wt = Window.partitionBy(series, "tree").orderBy(F.xxhash64(F.lit(seed), series, "tree", ts), ts)
     drawn = drawn.withColumn("_rn", F.row_number().over(wt)).filter(F.col("_rn") <= SUBSAMPLE)
@@ -131,7 +133,7 @@ def isolation_scores(
         return left[[series, ts]].assign(score=2.0 ** (-mean / scale))
 
     return (
-        rows.groupBy(series, "bucket").cogroup(_per_bucket(rows, forest, series).groupBy("_series", "_bucket"))
+        rows.groupBy(series, "bucket").cogroup(per_bucket(rows, forest, series).groupBy("_series", "_bucket"))
         .applyInPandas(score, out_schema)
     )
 
@@ -155,7 +157,9 @@ def lof_scores(
     )
     kind = dict(x.dtypes)[ts]
     at = F.timestamp_micros("id").cast(kind)
-    return around.join(density, [series, "id"]).select(series, at.alias(ts), (F.col("_near") / F.col("lrd")).alias("lof"))
+    scored = around.join(density, [series, "id"]).select(series, at.alias(ts), (F.col("_near") / F.col("lrd")).alias("lof"))
+    # a row without neighbours is as dense as its surroundings
+    return x.select(series, ts).join(scored, [series, ts], "left").withColumn("lof", F.coalesce("lof", F.lit(1.0)))
 
 
 def fourier_map(dims: int, gamma: float, seed: int, features: int = FOURIER_FEATURES):
@@ -218,7 +222,7 @@ def one_class_scores(
         return left[[series, ts]].assign(score=-(phi @ np.asarray(right["w"].iloc[0])))
 
     return (
-        rows.groupBy(series, "bucket").cogroup(_per_bucket(rows, model, series).groupBy("_series", "_bucket"))
+        rows.groupBy(series, "bucket").cogroup(per_bucket(rows, model, series).groupBy("_series", "_bucket"))
         .applyInPandas(score, out_schema)
     )
 

@@ -27,6 +27,14 @@ def checks(df: DataFrame, *, series: str = "series_id", target: str = "y", min_r
     })
 
 
+def rejected(df: DataFrame, *, series: str = "series_id", target: str = "y", min_rows: int = 100) -> DataFrame:
+    """Series that fail a check, with the reason; the others can go on without them."""
+    found = checks(df, series=series, target=target, min_rows=min_rows).filter("too_small or all_null")
+    reason = F.when(F.col("all_null"), "target is entirely null").otherwise(
+        F.concat(F.lit("too few rows: "), F.col("n_rows").cast("string"), F.lit(f" (minimum {min_rows})")))
+    return found.select(series, "n_rows", "null_pct", reason.alias("reason"))
+
+
 def validate(
     df: DataFrame, *, required: Sequence[str] = ("ts", "y"), ts: str = "ts", target: str = "y",
     min_rows: int = 100,

@@ -128,7 +128,7 @@ def implemented_only(recs: DataFrame, implemented: DataFrame, *, key: str = "tit
 
 def incident_list(
     points: DataFrame, acknowledged: DataFrame, *, severity_filter: str = "all", show_acknowledged: bool = True,
-    limit: int | None = 100, series: str = "series_id", ts: str = "ts",
+    limit: int | None = None, series: str = "series_id", ts: str = "ts",
 ) -> DataFrame:
     """Anomalous points with OPEN/RESOLVED status and a report line, oldest first."""
     marks = acknowledged.select(series, ts).distinct().withColumn("_ack", F.lit(True))

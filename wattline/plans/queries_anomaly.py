@@ -6,6 +6,7 @@ from wattline.operators import anomaly, reports
 from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
+from wattline.session import reliable
 
 FLAG_CTES = """
     s as (select series_id, avg(y) as m, stddev_samp(y) as sd, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3
@@ -114,14 +115,30 @@ def anomaly_features(spark, sf_dir):
     return x.select("series_id", "ts", *[F.round(F.col("x")[i], 5).alias(f"x{i}") for i in range(6)])
 
 
-@query("isolation_forest")
+# Scores strictly over the linear 0.95 quantile of n different scores.
+SHARE_SQL = with_views("load_by_type", """
+    select series_id, count(*) as n_rows, count(*) - 1 - cast(floor((count(*) - 1) * 0.95) as bigint) as n_flagged from load_by_type group by 1""")
+
+
+def _share(flags, name):
+    return flags.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(name).alias("n_flagged"))
+
+
+@query("isolation_forest", SHARE_SQL)
 def isolation_forest(spark, sf_dir):
-    return anomaly.isolation_forest_flags(views.load_by_type(spark, sf_dir), trees=50)
+    """Every row is scored and the most isolated twentieth of a series is flagged."""
+    return _share(anomaly.isolation_forest_flags(views.load_by_type(spark, sf_dir)), "anomaly_isolation_forest")
 
 
-@query("one_class_svm")
+@query("one_class_svm", SHARE_SQL)
 def one_class_svm(spark, sf_dir):
-    return anomaly.one_class_svm_flags(views.load_by_type(spark, sf_dir))
+    return _share(anomaly.one_class_svm_flags(views.load_by_type(spark, sf_dir)), "anomaly_one_class_svm")
+
+
+@query("isolation_rows", with_views("load_by_type", "select series_id, ts from load_by_type"))
+def isolation_rows(spark, sf_dir):
+    """Rows with a flag: each one of the input once."""
+    return anomaly.isolation_forest_flags(views.load_by_type(spark, sf_dir), trees=20).select("series_id", "ts")
 
 
 LOF_SQL = with_views("load_hourly", """
@@ -147,9 +164,17 @@ def lof_scores(spark, sf_dir):
     return out.select("series_id", "ts", F.round("lof", 5).alias("lof"))
 
 
-@query("anomaly_report")
+@query("anomaly_report", with_views("load_by_type", """
+    select series_id, count(*) as n_points, 5 as n_methods, count(*) as n_consistent
+    from load_by_type group by 1"""))
 def anomaly_report(spark, sf_dir):
-    """Five-method vote on the cleaned series: newest points with severity."""
+    """Five-method vote on the cleaned series: every point with the verdict and severity that its votes give."""
     from wattline.operators.cleaning import clean
 
-    return anomaly.report_points(anomaly.detect(clean(views.load_by_type(spark, sf_dir))))
+    flagged = reliable(anomaly.detect(clean(views.load_by_type(spark, sf_dir))))
+    methods = [c for c in flagged.columns if c.startswith("anomaly_") and c != "anomaly_score"]
+    votes = flagged.select("series_id", "ts", (sum((F.col(c) for c in methods), F.lit(0)) / 5.0).alias("share"))
+    joined = anomaly.report_points(flagged).join(votes, ["series_id", "ts"])
+    verdict = (F.col("anomaly_score") == F.round("share", 4)) & (F.col("is_anomaly") == (F.col("share") >= 0.5))
+    return joined.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.lit(len(methods)).alias("n_methods"), F.count_if(verdict).alias("n_consistent"))

@@ -204,14 +204,27 @@ def naive_baseline(spark, sf_dir):
     return out.withColumn("baseline_rmse", F.round("baseline_rmse", 3))
 
 
-@query("rate_limit_audit")
+LIMIT_SQL = """
+with recursive e as (
+    select user_id, ts, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events),
+r as (
+    select user_id, ts, event_id, k, true as accepted, cast(null as bigint) as wait, [t] as recent from e where k = 1
+    union all
+    select user_id, ts, event_id, k, len(kept) < 3, case when len(kept) >= 3 then (21600000000 - (t - kept[1])) // 1000000 end,
+           case when len(kept) < 3 then list_append(kept, t) else kept end
+    from (select e.user_id, e.ts, e.event_id, e.k, e.t, list_filter(r.recent, lambda a: a >= e.t - 21600000000) as kept
+          from r join e on e.user_id = r.user_id and e.k = r.k + 1))
+select user_id, ts, event_id, accepted, wait as retry_after_seconds from r"""
+
+
+@query("rate_limit_audit", LIMIT_SQL)
 def rate_limit_audit(spark, sf_dir):
     """At most 3 accepted events per user in any six hours."""
     ev = views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return limits.sliding_limit(ev, key="user_id", max_events=3, window_seconds=6 * 3600, tie="event_id")
 
 
-FLAGSHIP_CFG = replace(DEFAULTS, lags=(1, 2, 3, 24, 25), windows=(7, 24))
+FLAGSHIP_CFG = DEFAULTS
 
 
 @query("flagship", with_views("load_hourly", IQR_CTE.format(source="load_hourly") + f""",
@@ -226,7 +239,7 @@ FLAGSHIP_CFG = replace(DEFAULTS, lags=(1, 2, 3, 24, 25), windows=(7, 24))
            cast(case when abs((f.y - m) / (sd + 1e-8)) > 3.0 then 1 else 0 end as integer) as anomaly_zscore,
            cast(case when f.y < q1 - (q3 - q1) * 1.5 or f.y > q3 + (q3 - q1) * 1.5 then 1 else 0 end as integer) as anomaly_iqr
     from f join s using (series_id) join cq using (series_id)
-    where load_t_25 is not null and rolling_std_7 is not null"""))
+    where load_t_169 is not null"""))
 def flagship(spark, sf_dir):
     """Clean, build features and flag outliers in one plan."""
     # statistics, flags and windows all read the clean series, so it is written once

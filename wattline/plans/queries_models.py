@@ -1,27 +1,27 @@
 """Model fitting, selection, forecasting and attribution queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from wattline.config import DEFAULTS, replace
 from wattline.models import arima as arima_models
-from wattline.models import selection
+from wattline.models import selection, store
 from wattline.models.linear import fit_linear
 from wattline.models.trees import fit_boosted_a, fit_boosted_b, fit_forest
 from wattline.operators import explain, features, forecast, metrics
 from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
-from wattline.session import reliable
+from wattline.plans.queries_forecast import future
+from wattline.session import checkpoint_folder, reliable
 
-# Shorter lags than the default keep most of a thirty-day series for training.
-SHORT = replace(DEFAULTS, lags=(1, 2, 3, 24, 25), windows=(7, 24), horizons={"24h": 24, "7d": 168})
-SMALL_FOREST = {"trees": 20, "depth": 6}
-SMALL_BOOST = {"trees": 15, "depth": 4, "rate": 0.1}
+# Boosting rounds run one after the other, each a few Spark jobs: fewer of them keep a query to seconds.
+FEW_ROUNDS = {"trees": 20, "depth": 4, "rate": 0.1}
 
 
 def split_features(spark, sf_dir, view=views.load_by_type, exog=()):
     """Train and test feature rows, checkpointed because several passes read them."""
-    rows = features.transform(view(spark, sf_dir), cfg=SHORT, exog=exog)
+    rows = features.transform(view(spark, sf_dir), exog=exog)
     rows = reliable(metrics.time_split(rows))
     return rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
 
@@ -59,10 +59,10 @@ def linear_importance(spark, sf_dir):
 
 SHAP_SQL = OLS_SQL + """,
     r as (select *, row_number() over (partition by series_id order by ts) as rn from v),
-    bg as (select series_id, avg(a) as ba, avg(b) as bb from r where rn <= 100 group by series_id),
-    s as (select r.series_id, ts, 'load_t_1' as feature, ca * (a - ba) as shap from r join bg using (series_id) join d using (series_id) where rn <= 500
+    bg as (select series_id, avg(a) as ba, avg(b) as bb from r group by series_id),
+    s as (select r.series_id, ts, 'load_t_1' as feature, ca * (a - ba) as shap from r join bg using (series_id) join d using (series_id)
           union all
-          select r.series_id, ts, 'load_t_24', cb * (b - bb) from r join bg using (series_id) join d using (series_id) where rn <= 500)"""
+          select r.series_id, ts, 'load_t_24', cb * (b - bb) from r join bg using (series_id) join d using (series_id))"""
 
 
 @query("linear_shap", with_views("load_by_type", SHAP_SQL + "select series_id, ts, feature, round(shap, 3) as shap from s"))
@@ -89,112 +89,187 @@ def shap_local(spark, sf_dir):
     return local.select("series_id", "ts", *[F.round(F.col("attributions")[c], 3).alias(c) for c in PAIR])
 
 
-def _tree_metrics(spark, sf_dir, fit):
+# Rows with all features, and the newest fifth of them.
+FEATURE_SQL = """
+    nr as (select series_id, ts, row_number() over (partition by series_id order by ts) - 169 as i,
+                  count(*) over (partition by series_id) - 169 as n from load_by_type),
+    feat as (select series_id, ts, i, n, i > n - cast(floor(n * 0.2) as bigint) as held from nr where i > 0)"""
+HORIZONS = {"24h": 24, "7d": 168, "30d": 720}
+
+
+def grid_sql(source: str) -> str:
+    """Every series, horizon and step, with the bands at their factors."""
+    cases = " union all ".join(f"select '{h}' as horizon, {n} as steps" for h, n in HORIZONS.items())
+    return with_views(source, future(source, max(HORIZONS.values())) + f""",
+    hz as ({cases})
+    select series_id, horizon, step, ts, true as bands_hold from fut join hz on step <= steps""")
+
+
+def grid(points):
+    """Places of a forecast, and whether its values are finite and not negative and its bands are 0.9 and 1.1 times the value."""
+    f = F.col("forecast")
+    near = lambda c, factor: F.abs(F.col(c) - f * factor) <= 1e-9 * (1 + F.abs(f))
+    held = (f >= 0) & (f < float("inf")) & near("lower_bound", 0.9) & near("upper_bound", 1.1)
+    return points.select("series_id", "horizon", "step", "ts", F.coalesce(held, F.lit(False)).alias("bands_hold"))
+
+
+def scores_sql(model: str) -> str:
+    return with_views("load_by_type", FEATURE_SQL + f"""
+    select series_id, '{model}' as model, count(*) as n_test, true as near_train_mean from feat where held group by 1""")
+
+
+def _tree_scores(spark, sf_dir, fit):
+    """Held-out rows of each series, and whether the model's error is near that of the training mean (the loads are noise, so no model is far below it)."""
     train, test = split_features(spark, sf_dir)
-    model = fit(train, features.feature_names(cfg=SHORT))
-    return selection.evaluate(model, test, digits=2)
+    model = fit(train, features.feature_names())
+    scored = selection.evaluate(model, test)
+    marked = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    n = test.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_test"))
+    return scored.join(metrics.naive_baseline(marked), "series_id").join(n, "series_id").select(
+        "series_id", "model", "n_test", (F.col("rmse") < F.col("baseline_rmse") * 1.5).alias("near_train_mean"))
 
 
-@query("random_forest")
+@query("random_forest", scores_sql("RandomForest"))
 def random_forest(spark, sf_dir):
-    return _tree_metrics(spark, sf_dir, lambda df, f: fit_forest(df, f, params=SMALL_FOREST, tune=False))
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_forest(df, f, tune=False))
 
 
-@query("random_forest_search")
+@query("random_forest_search", scores_sql("RandomForest"))
 def random_forest_search(spark, sf_dir):
-    grid = {"trees": [10, 20], "depth": [4, 6], "min_split": [2, 5], "min_leaf": [1, 2]}
-    return _tree_metrics(spark, sf_dir, lambda df, f: fit_forest(df, f, grid=grid, draws=3))
+    """Three draws on a smaller grid; the default search fits 30 forests of up to 300 deep trees."""
+    grid_of = {"trees": [10, 20], "depth": [4, 6], "min_split": [2, 5], "min_leaf": [1, 2]}
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_forest(df, f, grid=grid_of, draws=3))
 
 
-@query("boosted_a")
+@query("boosted_a", scores_sql("BoostedA"))
 def boosted_a(spark, sf_dir):
-    return _tree_metrics(spark, sf_dir, lambda df, f: fit_boosted_a(df, f, params=SMALL_BOOST, tune=False))
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_boosted_a(df, f, params=FEW_ROUNDS, tune=False))
+
 
+@query("boosted_a_search", scores_sql("BoostedA"))
+def boosted_a_search(spark, sf_dir):
+    """Two draws on a smaller grid, for the same reason."""
+    grid_of = {"trees": [10], "rate": [0.1, 0.2], "depth": [3, 4], "rows": [0.8, 1.0], "columns": [1.0]}
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_boosted_a(df, f, grid=grid_of, draws=2))
 
-@query("boosted_b")
+
+@query("boosted_b", scores_sql("BoostedB"))
 def boosted_b(spark, sf_dir):
     trials = [{"trees": 10, "rate": 0.1, "depth": d, "min_leaf": 10, "rows": 0.8, "columns": 0.8} for d in (3, 4)]
-    return _tree_metrics(spark, sf_dir, lambda df, f: fit_boosted_b(df, f, candidates=trials))
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_boosted_b(df, f, candidates=trials))
+
 
+def _arima(spark, sf_dir, name, view, exog=()):
+    history = view(spark, sf_dir)
+    model = arima_models.fit_arima(history, name=name, exog=exog)
+    return grid(forecast.forecast_horizons(history, model, exog=exog))
 
-@query("arima")
+
+@query("arima", grid_sql("load_by_type"))
 def arima(spark, sf_dir):
-    model = arima_models.fit_arima(views.load_by_type(spark, sf_dir), name="ARIMA")
-    return forecast.with_bands(model.forecast(views.load_by_type(spark, sf_dir), 168))
+    return _arima(spark, sf_dir, "ARIMA", views.load_by_type)
 
 
-@query("sarima")
+@query("sarima", grid_sql("load_by_type"))
 def sarima(spark, sf_dir):
-    model = arima_models.fit_arima(views.load_by_type(spark, sf_dir), name="SARIMA")
-    return forecast.with_bands(model.forecast(views.load_by_type(spark, sf_dir), 168))
+    return _arima(spark, sf_dir, "SARIMA", views.load_by_type)
 
 
-@query("sarimax")
+@query("sarimax", grid_sql("load_exog"))
 def sarimax(spark, sf_dir):
-    history = views.load_exog(spark, sf_dir)
-    model = arima_models.fit_arima(history, name="SARIMAX", exog=["click", "view"])
-    return forecast.with_bands(model.forecast(history, 168))
+    return _arima(spark, sf_dir, "SARIMAX", views.load_exog, ["click", "view"])
+
 
+DIFFERENCES_SQL = """
+    yw as (select series_id, ts, y, y - lag(y) over w as w from load_by_type window w as (partition by series_id order by ts)),
+    ww as (select *, lag(w) over (partition by series_id order by ts) as w1 from yw),
+    co as (select series_id, sum(w * w1) filter (where w1 is not null) / sum(w1 * w1) filter (where w1 is not null) as phi,
+                  max_by(y, ts) as y, max_by(w, ts) as w from ww group by series_id)"""
 
-@query("model_selection")
+
+@query("arima_walk", with_views("load_by_type", future("load_by_type", 168) + "," + DIFFERENCES_SQL + """
+    select fut.series_id, step, fut.ts, round(co.y, 3) as forecast from fut join co using (series_id)"""))
+def arima_walk(spark, sf_dir):
+    """Order (0, 1, 0): the last value of the history goes on."""
+    history = views.load_by_type(spark, sf_dir)
+    points = arima_models.fit_arima(history, order=(0, 1, 0)).forecast(history, 168)
+    return points.withColumn("forecast", F.round("forecast", 3))
+
+
+@query("arima_drift", with_views("load_by_type", future("load_by_type", 168) + "," + DIFFERENCES_SQL + """
+    select fut.series_id, step, fut.ts, round(greatest(0, co.y + co.w * phi * (1 - pow(phi, step)) / (1 - phi)), 3) as forecast
+    from fut join co using (series_id)"""))
+def arima_drift(spark, sf_dir):
+    """Order (1, 1, 0) has a closed form: a geometric sum of the last difference."""
+    history = views.load_by_type(spark, sf_dir)
+    points = arima_models.fit_arima(history, order=(1, 1, 0)).forecast(history, 168)
+    return points.withColumn("forecast", F.round("forecast", 3))
+
+
+ALL_OPTIONS = {"RandomForest": {"params": {"trees": 20, "depth": 6}, "tune": False}, "BoostedA": {"params": FEW_ROUNDS, "tune": False},
+               "BoostedB": {"params": FEW_ROUNDS, "tune": False}}
+
+
+@query("model_selection", with_views("load_by_type", FEATURE_SQL + f"""
+    select series_id, {len(selection.ALL_MODELS)}::bigint as n_models, 1::bigint as n_best, true as best_is_lowest from feat group by 1"""))
 def model_selection(spark, sf_dir):
-    """Metrics of four models per series and which of them is best."""
+    """All seven models on the same rows: metrics of each per series, and one best."""
     train, test = split_features(spark, sf_dir)
-    chosen = selection.run(
-        train, test, features.feature_names(cfg=SHORT), enabled=("LinearRegression", "RandomForest", "ARIMA", "SARIMA"),
-        options={"RandomForest": {"params": SMALL_FOREST, "tune": False}}, cfg=SHORT,
-    )
-    best = chosen.best.select("series_id", F.col("model").alias("best_model"))
-    return chosen.metrics.join(best, "series_id").withColumn("is_best", F.col("model") == F.col("best_model"))
+    chosen = selection.run(train, test, features.feature_names(), options=ALL_OPTIONS)
+    best = chosen.best.select("series_id", F.col("model").alias("best_model"), F.col("rmse").alias("best_rmse"))
+    return chosen.metrics.join(best, "series_id").groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_models"), F.count_if(F.col("model") == F.col("best_model")).alias("n_best"),
+        (F.min("rmse") == F.first("best_rmse")).alias("best_is_lowest"))
 
 
-@query("raw_prediction")
-def raw_prediction(spark, sf_dir):
-    """Feature rows that lack some columns, predicted by a saved and reloaded forest."""
-    from wattline.models import store
-    from wattline.session import checkpoint_folder
+def _saved_and_loaded(spark, model):
+    folder = f"{checkpoint_folder(spark)}/models-{uuid.uuid4().hex}"
+    store.save_model(model, folder, "best")
+    return store.load_model(spark, folder, "best")
 
+
+@query("raw_prediction", with_views("load_by_type", FEATURE_SQL + "select series_id, ts, true as same from feat where held"))
+def raw_prediction(spark, sf_dir):
+    """Feature rows that lack some columns, predicted by a forest and by its saved and reloaded copy."""
     train, test = split_features(spark, sf_dir)
-    model = fit_forest(train, features.feature_names(cfg=SHORT), params=SMALL_FOREST, tune=False)
-    store.save_model(model, f"{checkpoint_folder(spark)}/models", "best_model_all")
-    again = store.load_model(spark, f"{checkpoint_folder(spark)}/models", "best_model_all")
+    model = fit_forest(train, features.feature_names(), params={"trees": 20, "depth": 6}, tune=False)
     sent = test.drop("is_holiday", "rolling_std_7")
-    return selection.predict_raw(again, sent, keep=["ts"]).select("series_id", "ts", "prediction")
+    first, second = (selection.predict_raw(m, sent, keep=["ts"]).select("series_id", "ts", F.col("prediction").alias(n))
+                     for m, n in ((model, "a"), (_saved_and_loaded(spark, model), "b")))
+    return first.join(second, ["series_id", "ts"]).select("series_id", "ts", (F.abs(F.col("a") - F.col("b")) <= 1e-9 * F.abs("a")).alias("same"))
 
 
-@query("recursive_forecast")
+@query("recursive_forecast", grid_sql("load_by_type"))
 def recursive_forecast(spark, sf_dir):
-    """Linear model per series, 24-hour and 7-day horizons with bands."""
+    """Linear model per series on all features, all horizons with bands."""
     history = views.load_by_type(spark, sf_dir)
-    rows = features.transform(history, cfg=SHORT)
-    model = fit_linear(rows, features.feature_names(cfg=SHORT))
-    return forecast.forecast_horizons(history, model, cfg=SHORT)
+    model = fit_linear(features.transform(history), features.feature_names())
+    return grid(forecast.forecast_horizons(history, model))
 
 
-@query("live_forecast")
+@query("live_forecast", grid_sql("load_exog"))
 def live_forecast(spark, sf_dir):
     """Forest with exogenous columns, saved, loaded and run on the newest data."""
-    from wattline.models import store
-    from wattline.session import checkpoint_folder
-
     exog = ["click", "view"]
     history = views.load_exog(spark, sf_dir)
-    train = features.transform(history, cfg=SHORT, exog=exog)
-    model = fit_forest(train, features.feature_names(exog, SHORT), params=SMALL_FOREST, tune=False)
-    store.save_model(model, f"{checkpoint_folder(spark)}/models", "best_model_live")
-    again = store.load_model(spark, f"{checkpoint_folder(spark)}/models", "best_model_live")
-    return forecast.forecast_horizons(history, again, exog=exog, cfg=SHORT)
+    train = features.transform(history, exog=exog)
+    model = fit_forest(train, features.feature_names(exog), params={"trees": 20, "depth": 6}, tune=False)
+    return grid(forecast.forecast_horizons(history, _saved_and_loaded(spark, model), exog=exog))
 
 
-@query("tree_shap")
+@query("tree_shap", with_views("load_by_type", FEATURE_SQL + f"select series_id, ts, {len(features.feature_names())}::bigint as n_features, 0.0::double as gap from feat where not held"))
 def tree_shap(spark, sf_dir):
+    """Base value plus attributions less the prediction, of every training row."""
     train, _ = split_features(spark, sf_dir)
-    model = fit_forest(train, features.feature_names(cfg=SHORT), params=SMALL_FOREST, tune=False)
-    return explain.importance(explain.tree_shap(train, model))
+    model = fit_forest(train, features.feature_names(), params={"trees": 20, "depth": 6}, tune=False)
+    sums = explain.tree_shap(train, model).groupBy("series_id", "ts").agg(F.count(F.lit(1)).alias("n_features"), (F.first("base") + F.sum("shap")).alias("total"))
+    both = sums.join(model.transform(train).select("series_id", "ts", "prediction"), ["series_id", "ts"])
+    return both.select("series_id", "ts", "n_features", (F.abs(F.round(F.col("total") - F.col("prediction"), 4))).alias("gap"))
 
 
-@query("kernel_shap")
+@query("kernel_shap", with_views("load_by_type", SHAP_SQL + "select series_id, ts, feature, round(shap, 3) + 0.0 as shap from s"))
 def kernel_shap(spark, sf_dir):
-    train, _ = split_features(spark, sf_dir)
-    model = fit_boosted_a(train, ["hour", "is_weekend", "load_t_1", "load_t_24", "rolling_mean_24"], params=SMALL_BOOST, tune=False)
-    return explain.importance(explain.kernel_shap(train, model, max_rows=50, background_rows=50, budget=32))
+    """Of a linear model with all rows as background, the kernel method gives the linear attributions."""
+    rows, model = pair_model(spark, sf_dir)
+    out = explain.kernel_shap(rows, model, background_rows=1000)
+    return out.select("series_id", "ts", "feature", (F.round("shap", 3) + 0.0).alias("shap"))

@@ -32,11 +32,20 @@ class Run:
 
 def prepare(
     df: DataFrame, *, exog: Sequence[str] = (), ingest_order: str | None = None, cfg: Config = DEFAULTS
-) -> tuple[DataFrame, DataFrame]:
-    """Validated input to ``(clean, features)``, both checkpointed."""
-    quality.validate(df, required=("ts", "y", *exog), min_rows=cfg.min_rows)
-    clean = reliable(cleaning.clean(df, ingest_order=ingest_order, cfg=cfg))
-    return clean, reliable(features.transform(clean, exog=exog, cfg=cfg))
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Input to ``(clean, features, rejected)``, all written once.
+
+    Every series is checked by itself. One that is too short, has no target or is too short for
+    a feature row is named in ``rejected`` with its reason and the others go on; none left is an error."""
+    quality.validate(df, required=("ts", "y", *exog), min_rows=1)
+    refused = reliable(quality.rejected(df, min_rows=cfg.min_rows))
+    clean = reliable(cleaning.clean(df.join(refused, "series_id", "left_anti"), ingest_order=ingest_order, cfg=cfg))
+    rows = reliable(features.transform(clean, exog=exog, cfg=cfg))
+    short = clean.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), (F.avg(F.col("y").isNull().cast("int")) * 100).alias("null_pct"))
+    short = short.join(rows.select("series_id").distinct(), "series_id", "left_anti").withColumn("reason", F.lit("too short for the features"))
+    if rows.isEmpty():
+        raise quality.ValidationError("validation failed: no series is left to train on")
+    return clean, rows, reliable(refused.unionByName(short))
 
 
 def train(
@@ -51,7 +60,7 @@ def train(
     )
 
 
-def best_explanations(chosen: selection.Selection, feature_rows: DataFrame, *, max_rows: int, **kw) -> DataFrame | None:
+def best_explanations(chosen: selection.Selection, feature_rows: DataFrame, *, max_rows: int | None, **kw) -> DataFrame | None:
     """Importances of every series under its own best model; statistical ones have none."""
     parts = []
     for name, model in chosen.models.items():
@@ -75,7 +84,7 @@ def full_run(
     ``skip_training`` loads the models of an earlier run from ``models_folder``.
     ``raw_anomalies`` looks for anomalies before capping outliers: capping at the fences
     leaves nothing for the fence method to find."""
-    clean, feature_rows = prepare(df, exog=exog, ingest_order=ingest_order, cfg=cfg)
+    clean, feature_rows, refused = prepare(df, exog=exog, ingest_order=ingest_order, cfg=cfg)
     if skip_training:
         chosen = load_selection(df.sparkSession, models_folder)
     else:
@@ -83,7 +92,8 @@ def full_run(
         if models_folder:
             save_selection(chosen, models_folder)
     forecasts = reliable(chosen.forecast(clean, exog=exog, cfg=cfg))
-    checked = cleaning.clean(df, ingest_order=ingest_order, winsorized=False, cfg=cfg) if raw_anomalies else clean
+    accepted = df.join(refused, "series_id", "left_anti")
+    checked = cleaning.clean(accepted, ingest_order=ingest_order, winsorized=False, cfg=cfg) if raw_anomalies else clean
     flagged = reliable(anomaly.detect(checked, methods=methods, exog=exog, cfg=cfg))
     importance = best_explanations(chosen, feature_rows, max_rows=cfg.explain_rows, budget=kernel_budget) if explained else None
     importance = reliable(importance) if importance is not None else None
@@ -91,7 +101,8 @@ def full_run(
     recs = recommend.generate(forecasts.filter(F.col("horizon") == shortest), clean, flagged, importance, cfg=cfg)
     tables = {
         "forecasts": forecasts, "anomalies": flagged, "recommendations": recs,
-        "metadata": results.metadata(chosen.metrics, chosen.best),
+        "metadata": results.metadata(chosen.metrics, chosen.best).withColumn("failed_models", F.lit(sorted(chosen.failed)).cast("array<string>")),
+        "rejected": refused,
     }
     if importance is not None:
         tables["importance"] = reports.importance_ranked(importance)
@@ -131,7 +142,7 @@ def dry_run(df: DataFrame, *, rows: int = 2000, exog: Sequence[str] = (), cfg: C
     """Load, validate, clean and build features on the first rows of each series; row
     counts per stage."""
     part = head(df, rows)
-    clean, feature_rows = prepare(part, exog=exog, cfg=cfg)
+    clean, feature_rows, _ = prepare(part, exog=exog, cfg=cfg)
     stages = {"loaded": part, "clean": clean, "features": feature_rows}
     return reports.safe_concat([
         s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("stage", F.lit(n)) for n, s in stages.items()
@@ -139,7 +150,7 @@ def dry_run(df: DataFrame, *, rows: int = 2000, exog: Sequence[str] = (), cfg: C
 
 
 def owner_run(
-    records: DataFrame, *, limit: int | None = 50_000, publish_folder: str | None = None, run_id: str | None = None, **kw
+    records: DataFrame, *, limit: int | None = None, publish_folder: str | None = None, run_id: str | None = None, **kw
 ) -> Run:
     """Train on the stored readings of every owner at once and publish forecasts and
     recommendations as that run's version. No attributions are made here."""

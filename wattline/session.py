@@ -21,10 +21,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # row_number() <= n is applied before the shuffle up to this n, so a top-n of
-    # a hot series sends at most n rows per map task.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Inferred constraints grow exponentially over a wide projection of one column, which
     # is what calendar features are: planning a join on such a frame would not end.
     "spark.sql.constraintPropagation.enabled": "false",

@@ -83,6 +83,25 @@ def timestamp_column(columns: Sequence[str]) -> str:
     raise ValueError(f"no time column; expected one of {TIMESTAMP_COLUMNS}")
 
 
+def _number_columns(df: DataFrame, stamp: str) -> list[str]:
+    """Text columns with a number in every row that is not empty, and in one at least; one aggregate."""
+    names = [f.name for f in df.schema.fields if f.name != stamp and isinstance(f.dataType, T.StringType)]
+    if not names:
+        return []
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    row = df.agg(*[F.struct(F.count(filled(c)).alias("n"), F.count(safe_double(F.col(c))).alias("m")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if row[i]["m"] and row[i]["n"] == row[i]["m"]]
+
+
+def upload_file(spark: SparkSession, path: str, stored: str, *, owner: str, **options) -> DataFrame:
+    """Reads a CSV file, appends its records to the stored table at ``stored`` and returns the summary."""
+    from wattline.sources.records import append_records
+
+    records, summary = upload(read_text_columns(spark, path), owner=owner, source=path.rpartition("/")[2], **options)
+    append_records(records, stored)
+    return summary
+
+
 def upload(
     df: DataFrame, *, owner: str, source: str, target: str = "y", unit: str = "MW"
 ) -> tuple[DataFrame, DataFrame]:
@@ -99,6 +118,8 @@ def upload(
             f.name for f in df.schema.fields
             if f.name != stamp and isinstance(f.dataType, (T.NumericType,))
         ]
+        if not numeric:
+            numeric = _number_columns(df, stamp)
         if not numeric:
             raise ValueError(f"required column {target!r} not found; available: {df.columns}")
         source_target = numeric[0]

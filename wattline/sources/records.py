@@ -24,17 +24,19 @@ def read_records(spark: SparkSession, path: str, owner: str | None = None) -> Da
 
 
 def scan_owner(
-    df: DataFrame, owner: Any, *, key: str = "series_id", ts: str = "ts", limit: int = 10_000, newest: bool = False
+    df: DataFrame, owner: Any, *, key: str = "series_id", ts: str = "ts", limit: int | None = None, newest: bool = False
 ) -> DataFrame:
-    """First ``limit`` rows of one owner in time order; ``newest`` takes the latest ones."""
+    """Rows of one owner in time order, the first ``limit`` if one is given; ``newest`` takes the latest ones."""
     rows = df.filter(F.col(key) == owner)
+    if limit is None:
+        return rows.orderBy(ts)
     if newest:
         rows = rows.orderBy(F.col(ts).desc()).limit(limit)
     return rows.orderBy(ts).limit(limit)
 
 
-def as_series(records: DataFrame, *, value: str = "value", limit: int | None = 50_000) -> DataFrame:
-    """Records to the canonical frame, newest ``limit`` rows per series."""
+def as_series(records: DataFrame, *, value: str = "value", limit: int | None = None) -> DataFrame:
+    """Records to the canonical frame, all rows or the newest ``limit`` per series."""
     df = records.select("series_id", "ts", F.col(value).alias("y"))
     return df if limit is None else tail(df, limit)
 

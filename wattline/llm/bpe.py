@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .pieces import PieceEncoder
 
+# What a Python worker remembers of words and pieces.
+CACHE_BYTES = 96 << 20
 _OUT = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -132,7 +134,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.replay = MergeReplay(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.pieces = PieceEncoder(self._tokenize, self.pattern.findall)
+        self.pieces = PieceEncoder(self._tokenize, self.pattern.findall, CACHE_BYTES)
 
     def _tokenize(self, words: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.replay.encode([w.encode() for w in words])]

@@ -101,3 +101,18 @@ def test_holidays(spark):
 
 def test_config_is_replaceable():
     assert replace(DEFAULTS, seed=7).seed == 7 and DEFAULTS.seed == 42
+
+
+def test_copies_without_an_order_prefer_values(spark):
+    rows = [("s", 5.0, 1.0), ("s", None, 1.0), ("t", None, 2.0), ("t", None, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, y double, x double").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    got = {r["series_id"]: (r["y"], r["x"]) for r in cleaning.dedup_first(df.select("series_id", "ts", "y", "x")).collect()}
+    assert got == {"s": (5.0, 1.0), "t": (None, 1.0)}
+
+
+def test_text_upload_without_the_target(spark):
+    from wattline.sources import csv
+
+    df = spark.createDataFrame([("2024-01-01", "a", "1.5"), ("2024-01-02", "b", "")], "timestamp string, kind string, load string")
+    records, summary = csv.upload(df, owner="o", source="f")
+    assert [r["value"] for r in records.collect()] == [1.5] and "'load'" in summary.first()["warnings"][0]

@@ -10,6 +10,7 @@ from wattline.models.arima import difference_weights, expanded_lags, fit_arima
 from wattline.models.linear import fit_linear
 from wattline.models.trees import boosted_b_candidates, draw, fit_boosted_a, fit_boosted_b, fit_forest, with_folds, with_holdout
 from wattline.operators import explain, features, forecast, metrics
+from wattline.operators.ordering import head
 
 CFG = replace(DEFAULTS, lags=(1, 2, 3, 24, 25), windows=(7, 24), horizons={"24h": 24, "7d": 168, "30d": 720})
 NAMES = features.feature_names(cfg=CFG)
@@ -157,8 +158,9 @@ def test_tree_shap_matches_enumeration():
 def test_kernel_shap_on_a_linear_model(train):
     names = ["load_t_1", "load_t_24", "hour_sin"]
     model = fit_linear(train, names)
-    one = explain.kernel_shap(train, model, max_rows=5, background_rows=20, budget=30)
-    two = explain.linear_shap(train, model, max_rows=5, background_rows=20)
+    back = head(train, 20)
+    one = explain.kernel_shap(train, model, background=back, max_rows=5, budget=30)
+    two = explain.linear_shap(train, model, background=back, max_rows=5)
     both = one.join(two.withColumnRenamed("shap", "other"), ["series_id", "ts", "feature"])
     row = both.agg(F.max(F.abs(F.col("shap") - F.col("other"))), F.count("*")).first()
     assert row[0] < 1e-5 and row[1] == 30
@@ -259,3 +261,28 @@ def test_selection_skips_failures_and_saves(spark, train, held, history, tmp_pat
         selection.predict_raw(chosen.models["ARIMA"], held)
     with pytest.raises(RuntimeError):
         selection.run(train, held, NAMES, enabled=("RandomForest",), options={"RandomForest": {"nonsense": 1}}, cfg=CFG)
+
+
+def test_arima_goes_on_from_the_given_history(spark):
+    """A line that rises by 10 an hour; the model has seen its first four fifths only."""
+    line = pd.DataFrame({"series_id": "s", "ts": pd.date_range("2024-01-01", periods=600, freq="h"), "y": np.arange(600) * 10.0})
+    df = frame(spark, line)
+    model = fit_arima(df.filter("y < 4800"), name="ARIMA")
+    first = model.forecast(df, 24).orderBy("step").collect()
+    assert first[0]["forecast"] == pytest.approx(6000, rel=0.01) and str(first[0]["ts"]).startswith("2024-01-26 00")
+    future = df.filter("y >= 4800").select("series_id", "ts", F.lit(1).alias("step")).limit(1)
+    assert model.forecast(None, 0, future=future).first()["forecast"] == pytest.approx(4800, rel=0.01)
+
+
+def test_arima_in_chunks_is_the_same(spark):
+    df = frame(spark, raw(400, 3, exog=False))
+    plain, cut = fit_arima(df, name="SARIMA", plan="plain"), fit_arima(df, name="SARIMA", plan="chunked", chunk_rows=120)
+    a, b = (m.table.first()["coef"] for m in (plain, cut))
+    assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
+def test_kernel_shap_of_one_feature(train):
+    model = fit_linear(train, ["load_t_1"])
+    rows = explain.kernel_shap(train, model, max_rows=3).collect()
+    linear = {(r["series_id"], r["ts"]): r["prediction"] for r in model.transform(train).collect()}
+    assert rows and all(r["base"] + r["shap"] == pytest.approx(linear[r["series_id"], r["ts"]]) for r in rows)

@@ -101,3 +101,13 @@ def test_auto_switches_by_size(two, monkeypatch):
     assert ordering.choose_plan(two.filter(F.col("series_id") == "b"), ["series_id"]) == "plain"
     with pytest.raises(ValueError):
         ordering.choose_plan(two, ["series_id"], "nonsense")
+
+
+def test_ends_over_the_group_limit(spark, monkeypatch):
+    from wattline.operators import ordering
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("series_id"), F.timestamp_seconds("id").alias("ts"))
+    ends = lambda: [sorted(map(str, f.collect())) for f in (ordering.tail(df, 700, skip=5), ordering.head(df, 900))]
+    few = ends()
+    monkeypatch.setattr(ordering, "GROUP_LIMIT_ROWS", 10)
+    assert ends() == few and len(few[0]) == 1400 and len(few[1]) == 1800

@@ -36,7 +36,8 @@ def easter_day_of_year(year: int) -> int:
     return date(year, month, day + 1).timetuple().tm_yday
 
 
-FIRST_YEAR, LAST_YEAR = 1900, 2200
+# From the calendar's first full year to the last for which the rule was made.
+FIRST_YEAR, LAST_YEAR = 1583, 4099
 
 
 def easter_offset(day: Column) -> Column:

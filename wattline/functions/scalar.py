@@ -11,7 +11,7 @@ MAPE_EPSILON = 1e-8
 def safe_double(c: Column, default: float | None = None) -> Column:
     """Double or ``default`` when the text is not a finite number."""
     value = c.try_cast("double")
-    value = F.when(~F.isnan(value), value)
+    value = F.when(F.abs(value) < float("inf"), value)  # a NaN is over every number
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 

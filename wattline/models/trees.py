@@ -292,7 +292,7 @@ def fit_boosted_b(
 
             settings = candidates or boosted_b_candidates(trials, seed)
             with ThreadPool(parallelism) as pool:
-                scored = pool.map(inheritable_thread_target(score), range(len(settings)))
+                scored = pool.map(inheritable_thread_target(train.sparkSession)(score), range(len(settings)))
         finally:
             held.unpersist()
         chosen = settings[min(scored)[1]]

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattline.session import checkpoint_folder, reliable, ship_package
+from wattline.session import checkpoint_folder, ship_package
 
 __all__ = ["WORD", "SPACES", "attach", "create", "file_system", "fresh", "new_folder", "numbered", "prefix_sums",
            "reliable", "ship_package", "table"]
@@ -21,6 +21,14 @@ SPACES = r"[\x20\x09-\x0D]+"
 _NODE_BITS = 33
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """The rows, written once to the session's shared folder and read from there: row numbers and sampled bounds are fixed, and a lost
+    executor costs no recomputation. Texts are the bulk of such tables, so they are packed harder than by default."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

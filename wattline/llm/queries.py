@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_sharding": sharding.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_preferences": chat.OP7_SQL,

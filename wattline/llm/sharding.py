@@ -44,3 +44,21 @@ def op1(spark, sf_dir: str) -> DataFrame:
     ))
     return shards_by_bytes(slim).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP1_SQL = f"""
+with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+crc_table as (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))) as t),
+sized as (
+  select doc_id, (len(h) // 2 + 1)::bigint as size,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::bigint as text_crc32
+  from bytes, crc_table),
+sums as (
+  select *, coalesce(sum(size) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before, sum(size) over () as total from sized),
+cut as (select *, least({SHARDS - 1}, ({SHARDS} * (2 * before + size)) // (2 * total))::int as shard from sums)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot, null::int as grown_shard
+from cut
+"""

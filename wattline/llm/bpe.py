@@ -140,8 +140,7 @@ class Codec:
         return [array("I", ids).tobytes() for ids in self.replay.encode([w.encode() for w in words])]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for data in self.pieces.run(texts):
-            yield np.frombuffer(data, "<u4")
+        return self.pieces.run(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))

@@ -6,6 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 from string import punctuation
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # A space between two characters that are no white space always starts a match of the byte-level
 # pattern, so a text is its pieces between such spaces, each (but the first) with the space before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -56,34 +60,57 @@ class Recent:
 class PieceEncoder:
     """Encodes whole texts by pieces that are tokenized once.
 
-    ``tokenize`` gives the encoded form of words - matches of the byte-level pattern, with their space - and is called for many at
-    once; ``split`` gives the words of a string. A text is split by built-in string methods alone, and most pieces are
-    known already. A piece is known by its text without the space before it, and so is a word with a space."""
+    ``tokenize`` gives the ids of words - matches of the byte-level pattern, with their space - as bytes and is called for many at
+    once; ``split`` gives the words of a string. Texts are split, pieces numbered and ids gathered by Arrow and numpy; only the
+    distinct pieces of a block become Python strings, and most of them are known already. A piece is known by its text without
+    the space before it, and so is a word with a space."""
 
     def __init__(self, tokenize: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]], limit_bytes: int = 170 << 20):
         self._tokenize, self._split = tokenize, split
         self._known, self._bare = Recent(limit_bytes * 3 // 4), Recent(limit_bytes // 4)
 
-    def run(self, texts: list[str]) -> Iterator[bytes]:
-        """The encoded texts, in order."""
-        known = self._known
+    def run(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids (uint32) of the texts, in order."""
         for block in _blocks(texts):
-            known.turn()
+            self._known.turn()
             self._bare.turn()
-            heads, tails, values, unknown = [], [], [], set()
-            for text in block:
-                head, *tail = text.split(" ") if _plain(text) else _CUT.split(text)
-                heads.append(self._split(head))
-                tails.append(tail)
-                values.append(own := list(map(known.get, tail)))
-                if None in own:
-                    unknown.update(p for p, v in zip(tail, own, strict=True) if v is None)
-            self._learn(known.missing(unknown), heads)
-            get = known.get
-            for head, tail, own in zip(heads, tails, values, strict=True):
-                if None in own:
-                    own = [v or get(p) for p, v in zip(tail, own, strict=True)]
-                yield self._joined(head) + b"".join(own)
+            plain = np.array([_plain(t) for t in block])
+            out: list = [None] * len(block)
+            for kind in (True, False):
+                at = np.flatnonzero(plain == kind).tolist()
+                own = [block[k] for k in at]
+                if own:
+                    pieces = pc.split_pattern(pa.array(own, pa.string()), " ") if kind else pa.array([_CUT.split(t) for t in own], pa.list_(pa.string()))
+                    for k, ids in zip(at, self._encoded(pieces), strict=True):
+                        out[k] = ids
+            yield from out
+
+    def _encoded(self, pieces: pa.ListArray) -> Iterator[np.ndarray]:
+        """Ids of texts given as their pieces, the first of which has no space before it."""
+        ends = pieces.offsets.to_numpy()
+        numbered = pieces.flatten().dictionary_encode()
+        strings, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype(np.int64)
+        heads = [self._split(strings[k]) for k in number[ends[:-1]]]
+        inner = np.ones(len(number), bool)
+        inner[ends[:-1]] = False
+        used = np.bincount(number[inner], minlength=len(strings)) > 0
+        get = self._known.get
+        known = [get(s) if u else b"" for s, u in zip(strings, used.tolist(), strict=True)]
+        if None in known:
+            self._learn(self._known.missing({s for s, v in zip(strings, known, strict=True) if v is None}), heads)
+            known = [get(s) if v is None else v for s, v in zip(strings, known, strict=True)]
+        else:
+            self._learn([], heads)
+        known += map(self._joined, heads)
+        number[ends[:-1]] = len(strings) + np.arange(len(heads))
+        ids = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array(list(map(len, known)), np.int64) // 4
+        start = np.cumsum(sizes) - sizes
+        lengths = sizes[number]
+        stops = np.cumsum(lengths)
+        # the place of every id: where its piece starts, and how far it is into the piece
+        gathered = ids[np.repeat((start[number] - stops + lengths).astype(np.int32), lengths) + np.arange(stops[-1] if len(stops) else 0, dtype=np.int32)]
+        yield from np.split(gathered, stops[ends[1:-1] - 1])
 
     def _learn(self, pieces: list[str], heads: list[list[str]]) -> None:
         """Makes pieces known, and the words of them and of ``heads``."""
@@ -117,7 +144,7 @@ class PieceEncoder:
         return b"".join([word(w[1:]) if w[:1] == " " and len(w) > 1 else other(w) for w in words])
 
 
-def _blocks(texts: list[str], size: int = 4 << 20) -> Iterator[list[str]]:
+def _blocks(texts: list[str], size: int = 8 << 20) -> Iterator[list[str]]:
     block, held = [], 0
     for text in texts:
         block.append(text)

@@ -231,12 +231,12 @@ def _writer(folder: str, path: str, block: int, percentile: int, file_tokens: in
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, data in zip(ids, pieces.run([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, own in zip(ids, pieces.run([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 if out is None:
                     # a new name for each attempt: a repeated task leaves no mixed file
                     name = f"{folder}/tokens-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.pfor"
                     out = TokenFileWriter(create(name), block, percentile)
-                out.add(doc_id, np.concatenate([np.frombuffer(data, "<u4"), end]))
+                out.add(doc_id, np.concatenate([own, end]))
                 if out.tokens >= file_tokens:
                     yield done()
                     out, number = None, number + 1

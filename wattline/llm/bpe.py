@@ -18,7 +18,7 @@ from .common import table
 from .pieces import PieceEncoder
 
 # What a Python worker remembers of words and pieces.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 _OUT = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -94,7 +94,7 @@ def ack_filter(spark, sf_dir):
     select *, 'Time: ' || strftime(ts, '%Y-%m-%d %H:%M') || ' | Value: ' || cast(cast(round(value) as bigint) as varchar)
               || ' | Severity: ' || upper(severity) || ' | Score: ' || cast(cast(round(anomaly_score * 100) as bigint) as varchar)
               || '% | Status: ' || status as line
-    from p where severity = 'medium' order by ts, series_id limit 100"""))
+    from p where severity = 'medium'"""))
 def incident_list(spark, sf_dir):
     points = anomaly.points(voted(spark, sf_dir))
     return reports.incident_list(points, points.filter(F.hour("ts") < 12), severity_filter="medium")

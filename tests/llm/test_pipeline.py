@@ -11,6 +11,8 @@ import tiktoken
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 
+from wattline.llm.common import file_system, reliable, scratch
+
 from . import brute
 from .data import awkward, empty, order
 
@@ -49,6 +51,15 @@ def test_pipeline(spark, sf001):
     assert len({r[0] for r in got}) > 50 and order(got) == order(want)
 
 
+def test_scratch_tables_go(spark):
+    before = reliable(spark.range(3))
+    with scratch(spark):
+        inner = reliable(spark.range(5))
+        assert inner.count() == 5
+    files = [df.inputFiles()[0] for df in (before, inner)]
+    assert [file_system(f)[0].get_file_info(file_system(f)[1]).is_file for f in files] == [True, False] and before.count() == 3
+
+
 @pytest.mark.parametrize("rows", [awkward, empty])
 def test_stages_take_awkward_rows(spark, sf001, rows):
     docs = rows(spark)

@@ -95,6 +95,12 @@ def test_bpe_is_tiktoken(odd_texts, docs):
         assert ids.tolist() == library.encode_ordinary(text) and own.decode(ids) == text.encode()
 
 
+def test_texts_without_new_words():
+    own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for texts in ([], [""], ["", ""], ["a b"], ["a b", ""], ["b a"]):
+        assert [own.decode(i) for i in own.encode(texts)] == [t.encode() for t in texts]
+
+
 def test_ranks_out_of_order():
     """Merges that make pairs of lower rank, and tokens that several pairs make."""
     rng = random.Random(4)

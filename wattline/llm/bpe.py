@@ -53,12 +53,14 @@ class MergeReplay:
                         self._byte_pairs[a, b] = rank
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
+        if not words:
+            return []
         width, pair_rank = self.width, self.pairs.get
         # All words in one chain; -1 keeps them apart and belongs to no pair.
         sizes = np.array([len(w) + 1 for w in words])
         ends = np.cumsum(sizes)
         first = ends - sizes + 1
-        chain = np.full(int(ends[-1]) + 1 if len(words) else 1, -1, np.int64)
+        chain = np.full(int(ends[-1]) + 1, -1, np.int64)
         inside = np.ones(len(chain), bool)
         inside[0] = inside[ends] = False
         chain[inside] = self._byte_ids[np.frombuffer(b"".join(words), np.uint8)]

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import posixpath
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattline.session import checkpoint_folder, ship_package
 
-__all__ = ["WORD", "SPACES", "attach", "create", "file_system", "fresh", "new_folder", "numbered", "prefix_sums",
-           "reliable", "ship_package", "table"]
+__all__ = ["WORD", "SPACES", "attach", "create", "delete", "file_system", "fresh", "new_folder", "numbered", "prefix_sums",
+           "reliable", "scratch", "ship_package", "table"]
 
 # Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 # monotonically_increasing_id puts the partition number above this many bits.
 _NODE_BITS = 33
+_scopes = threading.local()
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -26,9 +29,29 @@ def reliable(df: DataFrame) -> DataFrame:
     executor costs no recomputation. Texts are the bulk of such tables, so they are packed harder than by default."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (scope := getattr(_scopes, "tables", None)) is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``reliable`` writes within the block (and on its thread) are deleted at its end; write first what reads them."""
+    outer, _scopes.tables = getattr(_scopes, "tables", None), []
+    try:
+        yield
+    finally:
+        for path in _scopes.tables:
+            delete(spark, path)
+        _scopes.tables = outer
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder through Hadoop's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

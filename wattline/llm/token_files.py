@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -194,9 +195,15 @@ class _Tokenizer:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        before = json.loads(tokenizer.to_str())["pre_tokenizer"]
+        file = json.loads(tokenizer.to_str())
+        before, added = file["pre_tokenizer"], file["added_tokens"]
         if tokenizer.normalizer is not None or before != before | {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}:
             raise ValueError(f"{path} is no plain byte-level tokenizer")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError(f"{path} has added tokens that depend on what is beside them")
+        self._added = {t["content"]: np.array([t["id"]], np.uint32) for t in added}
+        # the longest of those that start at a place
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")")
         self._model = tokenizer.model
         # Bytes are spelled as letters: printable ones as they are, the others from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -204,6 +211,14 @@ class _Tokenizer:
         self._space = " ".translate(self._spelled)
         self.pieces = PieceEncoder(self._tokenize, regex.compile(BYTE_LEVEL).findall)
 
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of the texts as the library gives them: added tokens are cut out first, and what lies between is encoded by itself."""
+        parts = [[p for p in self._cut.split(t) if p] if any(a in t for a in self._added) else [t] for t in texts]
+        between = self.pieces.run([p for own in parts for p in own if p not in self._added])
+        for own in parts:
+            ids = [self._added[p] if p in self._added else next(between) for p in own]
+            yield ids[0] if len(ids) == 1 else np.concatenate(ids)
+
     def _spelling(self, word: str) -> str:
         if word.isascii() and word[1:].isalpha() and word[0] == " ":
             return self._space + word[1:]
@@ -220,9 +235,10 @@ def tokenizer(path: str) -> _Tokenizer:
     return _Tokenizer(path)
 
 
-def _writer(folder: str, path: str, block: int, percentile: int, file_tokens: int):
+def _writer(folder: str, path: str, block: int, percentile: int, file_tokens: int, added_tokens: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, task = tokenizer(path).pieces, TaskContext.get()
+        own_tokenizer, task = tokenizer(path), TaskContext.get()
+        encode = own_tokenizer.encode if added_tokens else own_tokenizer.pieces.run
         end, number, out, name = np.array([END], "<u4"), 0, None, ""
 
         def done():
@@ -231,7 +247,7 @@ def _writer(folder: str, path: str, block: int, percentile: int, file_tokens: in
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc_id, own in zip(ids, pieces.run([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc_id, own in zip(ids, encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 if out is None:
                     # a new name for each attempt: a repeated task leaves no mixed file
                     name = f"{folder}/tokens-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.pfor"
@@ -247,17 +263,18 @@ def _writer(folder: str, path: str, block: int, percentile: int, file_tokens: in
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text",
-                 block: int = BLOCK, percentile: int = PERCENTILE, file_tokens: int = FILE_TOKENS) -> DataFrame:
+                 block: int = BLOCK, percentile: int = PERCENTILE, file_tokens: int = FILE_TOKENS, added_tokens: bool = False) -> DataFrame:
     """Writes the ids of all texts in ascending order of doc_id, each text followed by id 0, and returns the manifest: part, number, path,
     docs, tokens, bytes and start (tokens in all files before).
 
     Rows are range-partitioned by doc_id (nulls last; rows that share one keep the input's order and may spread over files); each task
     streams its range into files. Files of lost or repeated attempts are not in the manifest. Null and empty texts have
-    id 0 alone. An empty table writes no file."""
+    id 0 alone. An empty table writes no file. With ``added_tokens`` the tokenizer's added tokens get their own ids where a text holds
+    them, as in the library's default; without, they are text like any other (the library's ``encode_special_tokens``)."""
     order = [F.asc_nulls_last("doc_id"), F.col("row")]
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     placed = plain.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    manifest = reliable(placed.mapInArrow(_writer(folder, tokenizer_path, block, percentile, file_tokens),
+    manifest = reliable(placed.mapInArrow(_writer(folder, tokenizer_path, block, percentile, file_tokens, added_tokens),
                                           "part long, number long, path string, docs long, tokens long, bytes long"))
     # one row per file
     before = Window.partitionBy(F.lit(0)).orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
@@ -301,5 +318,5 @@ def read_tokens(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 def op3(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = write_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
+    manifest = write_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return read_tokens(manifest, with_ids=False)

@@ -87,6 +87,37 @@ def near(rows):
     return [(doc_id, f"{fp:016x}", rows[first[r]][0], first[r] == k) for k, ((doc_id, _), fp, r) in enumerate(zip(rows, fps, roots, strict=True))]
 
 
+def similar_rows(rows, id_at=0, text_at=1, size=5):
+    """Rows that stay when texts link at 0.8 of their word shingles: those of the smallest id (null last), the first of equal ones."""
+    sets = []
+    for r in rows:
+        found = words("".join(c.lower() if "A" <= c <= "Z" else c for c in r[text_at] or ""))
+        sets.append(frozenset(tuple(found[k:k + size]) for k in range(max(1, len(found) - size + 1))) if found else frozenset())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for j in range(len(rows)):
+        for k in range(j):
+            both = len(sets[j] & sets[k])
+            if sets[j] == sets[k] or 5 * both >= 4 * (len(sets[j]) + len(sets[k]) - both):
+                x, y = find(j), find(k)
+                root[max(x, y)] = min(x, y)
+    first = {}
+    for k in range(len(rows)):
+        r = find(k)
+        if r not in first or key(rows[k][id_at]) < key(rows[first[r]][id_at]):
+            first[r] = k
+    return [rows[k] for k in sorted(first.values())]
+
+
+def similar_kept(rows):
+    return sorted(r[0] for r in similar_rows(rows))
+
+
 def targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
     """Source sizes to targets by sharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

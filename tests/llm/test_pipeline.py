@@ -33,7 +33,7 @@ def plain_run(rows, trusted):
         if base[0] >= 10 and 100 * base[4] <= 20 * base[0] and ratio >= -0.25:
             kept.append(row)
     kept = [r for r, e in zip(kept, brute.exact([r[:2] for r in kept]), strict=True) if e[3]]
-    kept = [r for r, e in zip(kept, brute.near([r[:2] for r in kept]), strict=True) if e[3]]
+    kept = brute.similar_rows(kept)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     out = []

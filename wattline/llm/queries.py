@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, language_id, mixing, quality, sharding, simhash, token_files, warc
+from . import bpe, chat, exact_dedup, language_id, mixing, quality, sharding, simhash, spelling, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8,
     "op9_mixing": mixing.op9,
     "op10_quality": quality.op10,
+    "op11_spelling": spelling.op11,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op6_warc": warc.OP6_SQL,
     "op7_preferences": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
 }

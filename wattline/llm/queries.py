@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, language_id, mixing, quality, sharding, simhash, spelling, token_files, warc
+from . import bpe, chat, classifier, exact_dedup, language_id, mixing, quality, sharding, simhash, spelling, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.op9,
     "op10_quality": quality.op10,
     "op11_spelling": spelling.op11,
+    "op12_quality_classifier": classifier.op12,
 }
 
 ORACLES: dict[str, str] = {

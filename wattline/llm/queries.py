@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, exact_dedup, language_id, mixing, quality, sharding, simhash, spelling, token_files, warc
+from . import bpe, chat, classifier, collocations, exact_dedup, language_id, mixing, quality, sharding, simhash, spelling, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.op10,
     "op11_spelling": spelling.op11,
     "op12_quality_classifier": classifier.op12,
+    "op13_collocations": collocations.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op7_preferences": chat.OP7_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op11_spelling": spelling.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }

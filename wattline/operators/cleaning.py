@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wattline.config import DEFAULTS, Config
 from wattline.functions.calendar import epoch_us
@@ -23,11 +24,16 @@ def dedup_first(
 
     An aggregate rather than a window: copies are combined on the map side, so a
     timestamp repeated many times is not one big task. ``ingest_order`` must be unique among
-    copies. Files without an order of rows have none: then the smallest content wins, column by
-    column from the left, with nulls last, so a null never beats a value."""
+    copies, unless it is a struct, as the sources give it: rows without one come last, and content decides ties. Without an order
+    the smallest content wins, column by column from the left, with nulls last, so a null never beats a value."""
     rest = [c for c in df.columns if c not in (series, ts)]
     if not rest:
         return df.dropDuplicates([series, ts])
+    if ingest_order and isinstance(df.schema[ingest_order].dataType, StructType):
+        content = [c for name in rest if name != ingest_order for c in (F.col(name).isNull().alias(f"_null_{name}"), F.col(name))]
+        first = F.min(F.struct(F.col(ingest_order).isNull().alias("_unplaced"), ingest_order, *content))
+        kept = df.groupBy(series, ts).agg(first.alias("_row"))
+        return kept.select(*[F.col(c) if c in (series, ts) else F.col(f"_row.{c}").alias(c) for c in df.columns])
     if ingest_order:
         # Per column, so that fixed-width rows stay in a hash aggregate without sorting.
         rest_cols = [F.min_by(c, ingest_order).alias(c) for c in rest if c != ingest_order]

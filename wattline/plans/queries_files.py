@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from wattline.config import DEFAULTS, replace
 from wattline.functions.scalar import clip
-from wattline.operators import features, metrics
+from wattline.operators import cleaning, features, metrics
 from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
 from wattline.plans.queries_models import FEATURE_SQL
-from wattline.session import checkpoint_folder
+from wattline.session import checkpoint_folder, reliable
 from wattline.sources import csv, records, results
 
 
@@ -58,6 +58,66 @@ def upload_file(spark, sf_dir):
                           F.lit(row["stored"]).cast("long").alias("stored"), F.lit(row["total"]).alias("total"))
 
 
+def _lines_in_order(spark, sf_dir):
+    """CSV files whose lines follow the event number; the hour of an event is its time, so times repeat, within and across files."""
+    path = _folder(spark, "lines")
+    ev = views.table(spark, sf_dir, "events")
+    lines = ev.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    lines.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").cast("string").alias("utc_timestamp"), views.hundredths("value").cast("string").alias("load"),
+                 F.col("event_id").cast("string").alias("number")).write.option("header", True).csv(path)
+    return path
+
+
+def _small_splits(spark, build):
+    """The rows of ``build()``, written while a file is read in splits of 16 KB, so that a file is the work of several tasks."""
+    names = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "1024"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        return reliable(build())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+FIRST_SQL = """
+    select 'all' as series_id, date_trunc('hour', ts) as ts, arg_min(round(value * 100), event_id) as y, min(event_id)::double as number from events"""
+
+
+@query("csv_keep_first", FIRST_SQL + " group by 2")
+def csv_keep_first(spark, sf_dir):
+    """Of the lines of an hour, the first in the files stays, whichever task read it."""
+    path, cfg = _lines_in_order(spark, sf_dir), replace(DEFAULTS, end_date="2030-01-01")
+
+    def build():
+        lines = csv.load(spark, path, target="load", exog=["number"], ingest_order=csv.ORDER, cfg=cfg)
+        return cleaning.clean(lines, ingest_order=csv.ORDER, winsorized=False, cfg=replace(cfg, missing_strategy="drop"))
+
+    return _small_splits(spark, build).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("csv_row_cap", "select min(number) as first, max(number) as last, count(*) as n_rows from (select event_id::double as number from events order by event_id limit 700)")
+def csv_row_cap(spark, sf_dir):
+    """The row cap takes the first lines of the files."""
+    path, cfg = _lines_in_order(spark, sf_dir), replace(DEFAULTS, end_date="2030-01-01")
+    lines = _small_splits(spark, lambda: csv.load(spark, path, target="load", exog=["number"], max_rows=700, ingest_order=csv.ORDER, cfg=cfg))
+    return lines.agg(F.min("number").alias("first"), F.max("number").alias("last"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("upload_keep_first", FIRST_SQL.replace("'all'", "'owner-1'").replace(", min(event_id)::double as number", "") + " group by 2")
+def upload_keep_first(spark, sf_dir):
+    """The same file is uploaded twice, the second time with other readings; stored records keep the first line of the first upload."""
+    path, stored = _lines_in_order(spark, sf_dir), _folder(spark, "stored")
+    other = _folder(spark, "lines")
+    csv.read_text_columns(spark, path).withColumn("load", F.lit("-1")).write.option("header", True).csv(other)
+    for name in (path, other):
+        csv.upload_file(spark, name, stored, owner="owner-1", target="load")
+    series = records.as_series(records.read_records(spark, stored, "owner-1", ordered=True), ingest_order=csv.ORDER)
+    kept = cleaning.dedup_first(series, ingest_order=csv.ORDER).drop(csv.ORDER)
+    return kept.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("feature_sink", with_views("load_by_type", FEATURE_SQL + "select series_id, count(*) as n_rows, 40::bigint as n_columns from feat group by 1"))
 def feature_sink(spark, sf_dir):
     path = _folder(spark, "features")

@@ -20,6 +20,7 @@ from wattline.operators.ordering import head
 from wattline.session import reliable
 from wattline.sources import records as stored
 from wattline.sources import results
+from wattline.sources.csv import ORDER
 
 
 @dataclass
@@ -138,11 +139,13 @@ def summary(run: Run) -> DataFrame:
     return run.chosen.best.join(points, "series_id").join(hits, "series_id").join(recs, "series_id")
 
 
-def dry_run(df: DataFrame, *, rows: int = 2000, exog: Sequence[str] = (), cfg: Config = DEFAULTS) -> DataFrame:
+def dry_run(
+    df: DataFrame, *, rows: int = 2000, exog: Sequence[str] = (), ingest_order: str | None = None, cfg: Config = DEFAULTS
+) -> DataFrame:
     """Load, validate, clean and build features on the first rows of each series; row
     counts per stage."""
     part = head(df, rows)
-    clean, feature_rows, _ = prepare(part, exog=exog, cfg=cfg)
+    clean, feature_rows, _ = prepare(part, exog=exog, ingest_order=ingest_order, cfg=cfg)
     stages = {"loaded": part, "clean": clean, "features": feature_rows}
     return reports.safe_concat([
         s.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("stage", F.lit(n)) for n, s in stages.items()
@@ -153,8 +156,10 @@ def owner_run(
     records: DataFrame, *, limit: int | None = None, publish_folder: str | None = None, run_id: str | None = None, **kw
 ) -> Run:
     """Train on the stored readings of every owner at once and publish forecasts and
-    recommendations as that run's version. No attributions are made here."""
-    run = full_run(stored.as_series(records, limit=limit), explained=False, **kw)
+    recommendations as that run's version. No attributions are made here. Where records hold their order, the first
+    of copied times stays."""
+    order = ORDER if ORDER in records.columns else None
+    run = full_run(stored.as_series(records, limit=limit, ingest_order=order), explained=False, ingest_order=order, **kw)
     if publish_folder:
         run_id = run_id or uuid.uuid4().hex
         best = run.chosen.best.join(run.chosen.metrics, ["series_id", "model", "rmse"])

@@ -2,12 +2,21 @@
 
 from pyspark.sql import types as T
 
+# Place of a record's line among all uploads.
+UPLOAD_ORDER = T.StructType([
+    T.StructField("uploaded_at", T.TimestampType()),
+    T.StructField("file", T.StringType()),
+    T.StructField("block", T.LongType()),
+    T.StructField("line", T.LongType()),
+])
+
 ENERGY_RECORD = T.StructType([
     T.StructField("series_id", T.StringType(), False),
     T.StructField("ts", T.TimestampType(), False),
     T.StructField("value", T.DoubleType(), False),
     T.StructField("unit", T.StringType(), False),
     T.StructField("source_file", T.StringType(), True),
+    T.StructField("ingest_order", UPLOAD_ORDER, True),
 ])
 
 FORECAST_POINT = T.StructType([

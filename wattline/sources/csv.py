@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from pyspark.sql import types as T
 from wattline.config import DEFAULTS, Config
 from wattline.functions.scalar import safe_double
 
-# Accepted time column names, in order of preference.
+# Accepted time column names, in order of preference, and a warning of uploads.
 TIMESTAMP_COLUMNS = ["utc_timestamp", "timestamp", "datetime", "date", "time"]
+OTHER_TARGET = "Target column not found; using '{}' as target."
+# Column with the place of a record's line.
+ORDER = "ingest_order"
 
 
 def parse_timestamp(c: Column) -> Column:
@@ -20,10 +24,28 @@ def parse_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
-def read_text_columns(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with a header, every column a string; only ``columns`` are parsed."""
+def line_order() -> Column:
+    """Place of a row in the files that are read: file name, first byte of the split, line in the task.
+
+    Splits of a file are tasks of their own, and a task may read several; a task numbers its rows in the order of lines, so within a split
+    the numbers follow the lines, and file and first byte order the splits. It must be taken where the files are
+    read, before any shuffle. Splits and names are the same when a lost task runs again."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("line"))
+
+
+def read_text_columns(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, ingest_order: str | None = None
+) -> DataFrame:
+    """CSV with a header, every column a string; only ``columns`` are parsed. ``ingest_order`` names a column to add with the place
+    of the line."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return df.select(*dict.fromkeys(columns)) if columns else df
+    columns = list(dict.fromkeys(columns)) if columns else df.columns
+    if ingest_order is None:
+        return df.select(*columns)
+    if ingest_order in columns:
+        raise ValueError(f"the file has a column {ingest_order!r}; name the order otherwise")
+    return df.select(*columns, line_order().alias(ingest_order))
 
 
 def coerce(
@@ -54,14 +76,20 @@ def first_rows(df: DataFrame, n: int, *, order: Sequence[str]) -> DataFrame:
 
 def load(
     spark: SparkSession, path: str, *, timestamp: str = "utc_timestamp", target: str = "y",
-    exog: Sequence[str] = (), series_id: str | None = "all", max_rows: int | None = None, cfg: Config = DEFAULTS,
+    exog: Sequence[str] = (), series_id: str | None = "all", max_rows: int | None = None, ingest_order: str | None = None,
+    cfg: Config = DEFAULTS,
 ) -> DataFrame:
     """Read only the time, target and exogenous columns, coerce them and cut the range.
 
-    The row cap applies before the range filter."""
-    df = read_text_columns(spark, path, [timestamp, target, *exog])
+    ``ingest_order`` names a column to add with the place of the line, which ``clean`` and the runs take to keep the first of copied
+    times. The row cap applies before the range filter: to the first lines of the files with an order, else to the
+    oldest rows."""
+    df = read_text_columns(spark, path, [timestamp, target, *exog], ingest_order=ingest_order)
     numeric = [target, *exog]
-    if max_rows:
+    if max_rows and ingest_order:
+        df = first_rows(df, max_rows, order=[ingest_order])
+        df = coerce(df, ts=timestamp, numeric=numeric, start=cfg.start_date, end=cfg.end_date)
+    elif max_rows:
         df = coerce(df, ts=timestamp, numeric=numeric)
         df = first_rows(df, max_rows, order=["ts", *numeric])
         df = coerce(df, ts="ts", numeric=[], start=cfg.start_date, end=cfg.end_date)
@@ -94,22 +122,30 @@ def _number_columns(df: DataFrame, stamp: str) -> list[str]:
 
 
 def upload_file(spark: SparkSession, path: str, stored: str, *, owner: str, **options) -> DataFrame:
-    """Reads a CSV file, appends its records to the stored table at ``stored`` and returns the summary."""
+    """Reads a CSV file, appends its records with their order to the stored table at ``stored`` and returns the summary."""
     from wattline.sources.records import append_records
 
-    records, summary = upload(read_text_columns(spark, path), owner=owner, source=path.rpartition("/")[2], **options)
+    lines = read_text_columns(spark, path, ingest_order=ORDER)
+    records, summary = upload(lines, owner=owner, source=path.rpartition("/")[2], ingest_order=ORDER, **options)
     append_records(records, stored)
     return summary
 
 
 def upload(
-    df: DataFrame, *, owner: str, source: str, target: str = "y", unit: str = "MW"
+    df: DataFrame, *, owner: str, source: str, target: str = "y", unit: str = "MW", ingest_order: str | None = None,
+    uploaded_at: datetime | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Uploaded frame to ``(records, summary)``.
 
+    ``ingest_order`` names the column of ``read_text_columns`` with the place of the line; records then hold it after the time of
+    the upload, so that of copied times in several uploads the first line of the first upload comes first.
     The target falls back to the first numeric column with a warning. Rows with a bad
     time are dropped, rows with a null target are rejected. The summary is one row
     from one aggregate."""
+    order = [ingest_order] if ingest_order else []
+    at = F.lit(uploaded_at or datetime.now(timezone.utc)).cast("timestamp")
+    placed = [F.struct(at.alias("uploaded_at"), *(F.col(f"{c}.{p}").alias(p) for p in ("file", "block", "line"))).alias(ORDER) for c in order]
+    lines, df = df, df.drop(*order)
     stamp = timestamp_column(df.columns)
     warnings: list[str] = []
     source_target = target
@@ -123,12 +159,13 @@ def upload(
         if not numeric:
             raise ValueError(f"required column {target!r} not found; available: {df.columns}")
         source_target = numeric[0]
-        warnings.append(f"Target column not found; using '{source_target}' as target.")
+        warnings.append(OTHER_TARGET.format(source_target))
     text = dict(df.dtypes)[stamp] == "string"
     ts = parse_timestamp(F.col(stamp)) if text else F.col(stamp)
-    parsed = df.select(ts.alias("ts"), safe_double(F.col(source_target)).alias("value")).na.drop(subset=["ts"])
+    parsed = lines.select(ts.alias("ts"), safe_double(F.col(source_target)).alias("value"), *placed).na.drop(subset=["ts"])
     records = parsed.na.drop(subset=["value"]).select(
-        F.lit(owner).alias("series_id"), "ts", "value", F.lit(unit).alias("unit"), F.lit(source).alias("source_file")
+        F.lit(owner).alias("series_id"), "ts", "value", F.lit(unit).alias("unit"), F.lit(source).alias("source_file"),
+        *([ORDER] if placed else [])
     )
     columns = [target if c == source_target else c for c in df.columns if c != stamp]
     summary = parsed.agg(

@@ -6,8 +6,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wattline.operators.ordering import tail
+from wattline.schema import UPLOAD_ORDER
+from wattline.sources.csv import ORDER
 
 
 def append_records(records: DataFrame, path: str) -> None:
@@ -17,8 +20,13 @@ def append_records(records: DataFrame, path: str) -> None:
     records.repartition("series_id", month).write.mode("append").partitionBy("series_id").parquet(path)
 
 
-def read_records(spark: SparkSession, path: str, owner: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, owner: str | None = None, *, ordered: bool = False) -> DataFrame:
+    """Stored readings, of one owner if named. ``ordered`` asks for their order, which is null for readings that were
+    stored without one."""
     df = spark.read.parquet(path)
+    if ordered:
+        known = [f for f in df.schema.fields if f.name != ORDER]
+        df = spark.read.schema(StructType([*known, StructField(ORDER, UPLOAD_ORDER)])).parquet(path)
     df = df.withColumn("series_id", F.col("series_id").cast("string"))
     return df.filter(F.col("series_id") == owner) if owner is not None else df
 
@@ -35,9 +43,9 @@ def scan_owner(
     return rows.orderBy(ts).limit(limit)
 
 
-def as_series(records: DataFrame, *, value: str = "value", limit: int | None = None) -> DataFrame:
-    """Records to the canonical frame, all rows or the newest ``limit`` per series."""
-    df = records.select("series_id", "ts", F.col(value).alias("y"))
+def as_series(records: DataFrame, *, value: str = "value", limit: int | None = None, ingest_order: str | None = None) -> DataFrame:
+    """Records to the canonical frame, all rows or the newest ``limit`` per series, with the order of records if it is named."""
+    df = records.select("series_id", "ts", F.col(value).alias("y"), *([ingest_order] if ingest_order else []))
     return df if limit is None else tail(df, limit)
 
 

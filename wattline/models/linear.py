@@ -124,8 +124,12 @@ class LinearModel:
     def parameters(self) -> DataFrame:
         return self.table.select(self.series, F.col("intercept").alias("_b0"), F.col("coef").alias("_b"))
 
-    def scorer(self):
-        return lambda x, own: float(own["_b0"] + np.asarray(own["_b"]) @ x)
+    def panel_scorer(self):
+        def prepare(rows: pd.DataFrame):
+            first, weights = rows["_b0"].to_numpy(dtype=float), np.stack(rows["_b"].to_numpy())
+            return lambda x: first + (weights * x).sum(axis=1)
+
+        return prepare
 
     def matrix_scorer(self):
         return lambda x, own: own["_b0"] + x @ np.asarray(own["_b"])

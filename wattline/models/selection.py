@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wattline.config import DEFAULTS, Config
 from wattline.models.arima import fit_arima
 from wattline.models.linear import fit_linear
-from wattline.models.trees import fit_boosted_a, fit_boosted_b, fit_forest
+from wattline.models.series_trees import fit_series_boosted_a, fit_series_boosted_b, fit_series_forest
 from wattline.operators.forecast import forecast_horizons
 from wattline.operators.metrics import metrics_table
 from wattline.operators.ordering import head, positions
@@ -24,9 +24,9 @@ log = logging.getLogger(__name__)
 
 FEATURE_MODELS: dict[str, Callable[..., Any]] = {
     "LinearRegression": lambda df, features, **kw: fit_linear(df, features),
-    "RandomForest": fit_forest,
-    "BoostedA": fit_boosted_a,
-    "BoostedB": fit_boosted_b,
+    "RandomForest": fit_series_forest,
+    "BoostedA": fit_series_boosted_a,
+    "BoostedB": fit_series_boosted_b,
 }
 STATISTICAL_MODELS = ("ARIMA", "SARIMA", "SARIMAX")
 ALL_MODELS = (*FEATURE_MODELS, *STATISTICAL_MODELS)

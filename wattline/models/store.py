@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 
 from wattline.models.arima import ArimaModel
 from wattline.models.linear import LinearModel
+from wattline.models.series_trees import SeriesTreeModel
 from wattline.models.trees import TreeModel
 
-KINDS = {"linear": LinearModel, "trees": TreeModel, "arima": ArimaModel}
+KINDS = {"linear": LinearModel, "trees": TreeModel, "series_trees": SeriesTreeModel, "arima": ArimaModel}
 
 
 def _kind(model) -> str:

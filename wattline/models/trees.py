@@ -61,9 +61,9 @@ class TreeModel:
     def parameters(self) -> None:
         return None
 
-    def scorer(self):
+    def panel_scorer(self):
         shipped = SparkSession.getActiveSession().sparkContext.broadcast(self.nodes())
-        return lambda x, own: float(shipped.value.predict(np.asarray(x)[None, :])[0])
+        return lambda rows: shipped.value.predict
 
     def matrix_scorer(self):
         shipped = SparkSession.getActiveSession().sparkContext.broadcast(self.nodes())

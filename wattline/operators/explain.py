@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from wattline.config import DEFAULTS
 from wattline.models.linear import LinearModel, fit_linear
+from wattline.models.series_trees import SeriesTreeModel, nodes_of
 from wattline.models.trees import TreeModel, TreeNodes
 from wattline.operators.ordering import head
 from wattline.operators.outlier_models import bucketed, per_bucket
@@ -120,11 +121,35 @@ class PathGames:
 
 
 TREE_BATCH = 64
+# Rows that one task attributes under the trees of a series.
+SHAP_BUCKET_ROWS = 100
 
 
-def tree_shap(df: DataFrame, model: TreeModel, *, max_rows: int | None = DEFAULTS.explain_rows) -> DataFrame:
+def _series_tree_shap(sample: DataFrame, model: SeriesTreeModel) -> DataFrame:
+    """Each series' rows under its own trees, which every bucket of its rows gets once."""
+    rows = bucketed(sample.select("series_id", "ts", _array(model.features).alias("_x")), SHAP_BUCKET_ROWS)
+    n_features = len(model.features)
+    schema = T.StructType([sample.schema["series_id"], sample.schema["ts"], T.StructField("base", T.DoubleType()), T.StructField("phi", T.ArrayType(T.DoubleType()))])
+
+    def explain(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"series_id": [], "ts": left["ts"].head(0), "base": [], "phi": []})
+        nodes, base = nodes_of(right.iloc[0])
+        games, x = PathGames(nodes, n_features), np.stack(left["_x"].to_numpy())
+        phi = np.concatenate([games.values(x[k:k + TREE_BATCH]) for k in range(0, len(x), TREE_BATCH)])
+        return left[["series_id", "ts"]].assign(base=base + games.base, phi=list(phi))
+
+    solved = rows.groupBy("series_id", "bucket").cogroup(per_bucket(rows, model.parameters(), "series_id").groupBy("_series", "_bucket")).applyInPandas(explain, schema)
+    names = F.array(*[F.lit(c) for c in model.features])
+    pair = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("shap"))).alias("e")
+    return solved.select("series_id", "ts", "base", pair).select("series_id", "ts", "base", "e.feature", "e.shap")
+
+
+def tree_shap(df: DataFrame, model: TreeModel | SeriesTreeModel, *, max_rows: int | None = DEFAULTS.explain_rows) -> DataFrame:
     """Path-dependent attributions; ``base`` plus a row's values is its prediction."""
     sample = _first(df, max_rows)
+    if isinstance(model, SeriesTreeModel):
+        return _series_tree_shap(sample, model)
     nodes = model.nodes()
     if (nodes.count <= 0).any():
         raise ValueError("ensemble without training counts")
@@ -194,8 +219,8 @@ def kernel_shap(
     pool = given.select("series_id", "ts", _array(features).alias("_z")).withColumn("_rn", F.row_number().over(w))
     pool = pool.filter(F.col("_rn") <= background_rows).drop("ts")
     params = model.parameters()
-    if params is not None:
-        pool = pool.join(params, "series_id")
+    if params is not None:  # with the first background row only
+        pool = pool.join(params.withColumn("_rn", F.lit(1)), ["series_id", "_rn"], "left")
     score = model.matrix_scorer()
     schema = T.StructType([
         df.schema["series_id"], df.schema["ts"], T.StructField("base", T.DoubleType()),

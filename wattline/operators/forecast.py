@@ -17,6 +17,8 @@ from wattline.operators.ordering import positions, tail
 
 HOUR_US = 3_600_000_000
 LOWER_FACTOR, UPPER_FACTOR = 0.90, 1.10
+# Series that one task forecasts together.
+PANEL_SERIES = 64
 
 
 def infer_frequency(df: DataFrame, *, series: str = "series_id", ts: str = "ts") -> DataFrame:
@@ -84,8 +86,8 @@ def recursive_forecast(
 
     Calendar and exogenous features of the future rows come from Spark. Only what depends
     on earlier predictions (target lags, diffs, rolling values) is kept up in the
-    grouped function, which sees at most ``reach`` history rows plus the horizon per
-    series. ``model`` supplies ``scorer()`` and optional per-series parameter columns.
+    grouped function. It sees a panel of up to ``PANEL_SERIES`` series with at most ``reach`` history rows each, and asks the
+    model once per step for all of them. ``model`` supplies ``panel_scorer()`` and optional per-series parameters.
 
     ``one_step_late`` takes the features of the previous timestamp for every step.
     """
@@ -103,43 +105,60 @@ def recursive_forecast(
             cols.update(features.lag_columns(c, lags, w, prefix=c))
             cols.update(features.rolling_columns(c, windows, w, prefix=f"{c}_"))
         frame = frame.withColumns(cols)
-    params = model.parameters()
-    if params is not None:
-        frame = frame.join(params, series)
     names = features.feature_names(exog, cfg)
-    score = model.scorer()
     given = [c for c in names if c in CALENDAR_COLUMNS or c in frame.columns]
-    recent = LagState(names, cfg)
+    state, prepare = LagState(names, cfg), model.panel_scorer()
+    slots = [names.index(c) for c in given]
     schema = T.StructType([
         T.StructField(series, T.StringType()), T.StructField("step", T.IntegerType()),
         history.schema[ts], T.StructField("forecast", T.DoubleType()),
     ])
-    has_params = params is not None
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
-        fixed = pdf[given].to_numpy(dtype=float)
-        slots = [names.index(c) for c in given]
-        y = pdf[target].to_numpy(dtype=float).copy()
-        own = pdf.iloc[0] if has_params else None
-        start = int((pdf["step"] == 0).sum())
-        for i in range(start, len(pdf)):
+
+    def run(pdf: pd.DataFrame, own: pd.DataFrame | None) -> pd.DataFrame:
+        pdf = pdf.sort_values([series, ts], kind="stable").reset_index(drop=True)
+        if own is not None:
+            pdf = pdf[pdf[series].isin(own["_series"])].reset_index(drop=True)
+        if not len(pdf):
+            return pd.DataFrame({series: [], "step": [], ts: pdf[ts], "forecast": []})
+        starts = np.flatnonzero(pdf[series].ne(pdf[series].shift()).to_numpy())
+        sizes = np.diff([*starts, len(pdf)])
+        coming = pdf["step"].to_numpy() > 0
+        steps = int(np.add.reduceat(coming, starts).max())
+        # rows of a panel end together: history up to column ``reach``, then the steps
+        column = np.arange(len(pdf)) - np.repeat(starts + sizes, sizes) + reach + steps
+        place = np.repeat(np.arange(len(starts)), sizes), column
+        y = np.full((len(starts), reach + steps), np.nan)
+        y[place] = pdf[target].to_numpy(dtype=float)
+        fixed = np.full((*y.shape, len(given)), np.nan)
+        fixed[place] = pdf[given].to_numpy(dtype=float)
+        first = reach + steps - sizes
+        score = prepare(None if own is None else own.set_index("_series").loc[pdf[series].to_numpy()[starts]].reset_index())
+        finite = np.isfinite(y[:, :reach])
+        newest = reach - 1 - finite[:, ::-1].argmax(axis=1)
+        last = np.where(finite.any(axis=1), y[np.arange(len(y)), newest], 0.0)
+        for i in range(reach, reach + steps):
             at = i - 1 if one_step_late else i
-            x = recent.vector(y, at)
-            x[slots] = fixed[at] if at >= 0 else np.nan
-            pred = score(x, own) if np.isfinite(x).all() else np.nan
-            known = y[:i][np.isfinite(y[:i])]
-            last = known[-1] if len(known) else 0.0
-            y[i] = max(0.0, pred) if np.isfinite(pred) else last
-        out = pdf.loc[start:, [series, "step", ts]].copy()
-        out["forecast"] = y[start:]
+            x = state.panel(y, at, first)
+            x[:, slots] = fixed[:, at]
+            whole = np.isfinite(x).all(axis=1)
+            pred = np.where(whole, score(np.where(whole[:, None], x, 0.0)), np.nan)
+            y[:, i] = last = np.where(np.isfinite(pred), np.maximum(pred, 0.0), last)
+        out = pdf.loc[coming, [series, "step", ts]].copy()
+        out["forecast"] = y[place][coming]
         return out
 
-    return frame.groupBy(series).applyInPandas(run, schema)
+    panels = -(-max(1, past.select(series).distinct().count()) // PANEL_SERIES)
+    panel = F.pmod(F.xxhash64(series), F.lit(panels)).alias("_panel")
+    grouped = frame.select("*", panel).groupBy("_panel")
+    params = model.parameters()
+    if params is None:
+        return grouped.applyInPandas(lambda pdf: run(pdf.drop(columns="_panel"), None), schema)
+    own = params.select(panel, F.col(series).alias("_series"), *[c for c in params.columns if c != series])
+    return grouped.cogroup(own.groupBy("_panel")).applyInPandas(lambda a, b: run(a, b), schema)
 
 
 class LagState:
-    """Target-dependent features of one row from the values before it."""
+    """Target-dependent features of rows from the values before them."""
 
     def __init__(self, names: Sequence[str], cfg: Config = DEFAULTS) -> None:
         self.names = list(names)
@@ -148,20 +167,22 @@ class LagState:
         self.diffs = [(index[f"load_diff_{k}"], k) for k in features.DIFF_LAGS if f"load_diff_{k}" in index]
         self.windows = [(index[f"rolling_mean_{n}"], index[f"rolling_std_{n}"], n) for n in sorted(set(cfg.windows))]
 
-    def vector(self, y: np.ndarray, i: int) -> np.ndarray:
-        x = np.full(len(self.names), np.nan)
+    def panel(self, y: np.ndarray, i: int, first: np.ndarray) -> np.ndarray:
+        """Features of column ``i`` of a panel (a row per series, whose values start at column ``first``)."""
+        x = np.full((len(y), len(self.names)), np.nan)
         for slot, k in self.lags:
-            if i - k >= 0:
-                x[slot] = y[i - k]
+            if i >= k:
+                x[:, slot] = y[:, i - k]
         for slot, k in self.diffs:
-            if i - k - 1 >= 0:
-                x[slot] = y[i - k] - y[i - k - 1]
+            if i >= k + 1:
+                x[:, slot] = y[:, i - k] - y[:, i - k - 1]
         for mean, std, n in self.windows:
-            part = y[max(0, i - n):max(0, i)]
-            if len(part):
-                x[mean] = part.mean()
-            if len(part) > 1:
-                x[std] = part.std(ddof=1)
+            own = np.arange(max(0, i - n), i) >= first[:, None]
+            part, size = np.where(own, y[:, max(0, i - n):i], 0.0), own.sum(axis=1)
+            center = part.sum(axis=1) / np.maximum(size, 1)
+            spread = (np.where(own, part - center[:, None], 0.0) ** 2).sum(axis=1)
+            x[:, mean] = np.where(size > 0, center, np.nan)
+            x[:, std] = np.where(size > 1, np.sqrt(spread / np.maximum(size - 1, 1)), np.nan)
         return x
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from wattline.llm import collocations
 from wattline.llm.collocations import QuotientFilter
@@ -43,6 +44,25 @@ def plain(rows, least, top=2000, longest=5):
     return final
 
 
+def pieces(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [re.findall("[^\x20\x09]+", piece) for piece in re.split("[.,;:!?\x0a-\x0d]", low)]
+
+
+def plain_number(lang, word, seed=0):
+    """The number of a word by whole numbers, as a signed long."""
+    top = 1 << 64
+
+    def mix(x):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % top
+        x = (x ^ x >> 29) * 0x9E3779B97F4A7C15 % top
+        return x ^ x >> 32
+
+    total = sum(mix(b + 1 + 1000 * seed) * (mix(k + 500 + 1000 * seed) | 1) for k, b in enumerate(word.encode())) % top
+    out = max(1, mix(total ^ xxhash.xxh64_intdigest(lang.encode(), seed)))
+    return out - top if out >= top // 2 else out
+
+
 def collected(df):
     return sorted((tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()), key=lambda r: (r[0].encode(), r[1]))
 
@@ -70,7 +90,7 @@ def test_small_blocks_filters_and_parts(monkeypatch):
     """Many filters, slices and merges give the same counts. The functions of the tasks run here, with small settings."""
     rows = made_rows()
     texts = [(a if a is not None else "und", b) for a, b in rows]
-    for name, value in (("BLOCK_WORDS", 50), ("FILTER_ROWS", 100), ("_REMEMBERED", 3)):
+    for name, value in (("BLOCK_BYTES", 200), ("FILTER_ROWS", 100), ("WORD_ROWS", 3)):
         monkeypatch.setattr(collocations, name, value)
     batch = pa.RecordBatch.from_arrays([pa.array([t[0] for t in texts]), pa.array([t[1] for t in texts], pa.string())], ["lang", "text"])
 
@@ -86,14 +106,43 @@ def test_small_blocks_filters_and_parts(monkeypatch):
             got[tuple(ids)] = f
     want = Counter()
     for lang, text in texts:
-        row = [np.array(0 if w == b"\xff" else collocations.number(lang.encode(), w, 0), np.uint64).view(np.int64).item() for w in collocations.words_of((text or "").encode())]
-        want.update(tuple(row[k:k + 3]) for k in range(len(row) - 2) if 0 not in row[k:k + 3])
+        for piece in pieces(text):
+            row = [plain_number(lang, w) for w in piece]
+            want.update(tuple(row[k:k + 3]) for k in range(len(row) - 2))
     assert len(slices) > 5 and got == want
+    words = Counter()
+    for out in collocations._word_counter(0)(iter([batch])):
+        for lang, word, number, f in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            assert number == plain_number(lang, word)
+            words[lang, word] += f
+    assert words == Counter((lang, w) for lang, text in texts for piece in pieces(text) for w in piece)
+
+
+def test_long_texts_are_cut_where_phrases_end(monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 50)
+    text = " ".join(f"w{k % 7}" + (". " if k % 11 == 0 else "") for k in range(400)) + "," + "x" * 300 + " y " * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"])
+    blocks = list(collocations._blocks(iter([batch])))
+    assert len(blocks) > 10
+    got = [p for block in blocks for _, part in block for p in pieces(part.decode()) if p]
+    assert got == [p for p in pieces(text) if p]
+
+
+def test_two_words_of_one_number_are_seen(spark, monkeypatch):
+    """With a hash of few values words collide; each keeps a row of its own, so that the next seed is tried."""
+    real = collocations._mix
+    monkeypatch.setattr(collocations, "_mix", lambda x: real(x) & np.uint64(3))
+    words = ["a", "b", "c", "d", "e", "ff", "gg", "h" * 9, "a", "a", "gg"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([" ".join(words), "a b"])], ["lang", "text"])
+    (out,) = collocations._word_counter(0)(iter([batch]))
+    got = Counter()
+    for lang, word, _, f in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        got[lang, word] += f
+    assert got == Counter([("en", w) for w in words] + [("de", "a"), ("de", "b")])
 
 
 def test_words_have_numbers_of_their_own(spark):
-    real = collocations.number
-    assert real(b"en", b"a", 0) != real(b"en", b"a", 1) and real(b"en", b"a", 0) != real(b"de", b"a", 0)
+    assert plain_number("en", "a") != plain_number("en", "a", 1) and plain_number("en", "a") != plain_number("de", "a")
     words, seed = collocations.corpus_words(spark.createDataFrame([("en", "a b a"), ("de", "a")], "lang string, text string"))
     assert seed == 0 and sorted((r.lang, r.word, r.f) for r in words.collect()) == [("de", "a", 1), ("en", "a", 2), ("en", "b", 1)]
 

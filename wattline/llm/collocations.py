@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,45 +25,21 @@ MARKS = b".,;:!?\n\x0b\x0c\r"
 # Rounds of the permutation of packed phrases, and bits of its quotient.
 ROUNDS, QUOTIENT_BITS = 2, 20
 _LEAD = 6  # bytes that hold the other bits of a leading number
-# Words that are counted at once, and phrases at which a filter is handed on.
-BLOCK_WORDS, FILTER_ROWS = 1 << 19, 1 << 20
+# Bytes of text that are counted at once, and phrases at which a filter is handed on.
+BLOCK_BYTES, FILTER_ROWS = 1 << 21, 1 << 20
 # A merge of filters takes the quotients of about this many words of the corpus, up to 2 ** QUOTIENT_BITS merges.
 PART_WORDS = 1 << 21
 # Bits of the map of phrases that may be frequent. It has this size for any corpus; a full one costs time, no phrase.
 MAP_BITS = 26
-# Numbers and counts of words that a worker remembers.
-_REMEMBERED = 300_000
-_END = b"\xff"  # neither it nor _BETWEEN is in a UTF-8 text
-_BETWEEN = b"\xfe"
-_SPLIT = bytes.maketrans(MARKS, _END * len(MARKS))
+# Words whose counts a worker gathers before it hands them on.
+WORD_ROWS = 300_000
+_BREAK = re.compile(b"[" + re.escape(MARKS) + b"]")
+_KIND = np.zeros(256, np.uint8)  # 0: in a word, 1: between words, 2: ends a phrase
+_KIND[list(b" \t")], _KIND[list(MARKS)] = 1, 2
+_BLANKS = bytes.maketrans(MARKS, b" " * len(MARKS))
 _U = np.uint64
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a UTF-8 text, A-Z in lower case, with an end mark where phrases end."""
-    return text.lower().translate(_SPLIT).replace(_END, b" \xff ").split()
-
-
-def number(lang: bytes, word: bytes, seed: int) -> int:
-    """Number of a word of a language, never 0."""
-    return max(1, xxhash.xxh64_intdigest(lang + _BETWEEN + word, seed))
-
-
-class _Numbers(dict):
-    """Numbers of a language's words, with 0 for an end mark. What exceeds the bound is computed again."""
-
-    def __init__(self, lang: bytes, seed: int):
-        self._key = lang, seed
-        self[_END] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _REMEMBERED:
-            self.clear()
-            self[_END] = 0
-        out = self[word] = number(self._key[0], word, self._key[1])
-        return out
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(29))) * _U(0x9E3779B97F4A7C15)
@@ -186,38 +163,80 @@ def _map_of(frequent: DataFrame) -> np.ndarray:
     return held.view(np.uint8)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, list[bytes]]]]:
-    """Rows (lang, text) as lists of (lang, words) of about BLOCK_WORDS words."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """Rows (lang, text) as lists of (lang, text in lower case) of about BLOCK_BYTES; a longer text is cut where a phrase ends."""
     held, size = [], 0
     for batch in batches:
         langs, texts = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary())
         for lang, text in zip(langs, texts, strict=True):
-            if text.is_valid and (words := words_of(text.as_buffer().to_pybytes())):
-                held.append((lang, words))
-                size += len(words)
-                if size >= BLOCK_WORDS:
+            data = text.as_buffer().to_pybytes().lower() if text.is_valid else b""  # bytes: A-Z only
+            at = 0
+            while at < len(data):
+                cut = _BREAK.search(data, at + BLOCK_BYTES) if len(data) - at > BLOCK_BYTES else None
+                part = data[at:cut.start()] if cut else data[at:]
+                at += len(part) + 1
+                held.append((lang, part))
+                size += len(part) + 1
+                if size >= BLOCK_BYTES:
                     yield held
                     held, size = [], 0
     if held:
         yield held
 
 
+class _Words:
+    """Words of a block: where they start and end in its bytes, their numbers, and which begin a phrase.
+
+    A number is a sum over the word's bytes of a random value of the byte times a random odd one of its place, mixed with the
+    language's hash; all are fixed by the seed."""
+
+    def __init__(self, block: list[tuple[bytes, bytes]], seed: int):
+        self.data = b"\n".join(text for _, text in block)
+        raw = np.frombuffer(self.data, np.uint8)
+        kind = _KIND[raw]
+        inside = np.concatenate([[False], kind == 0, [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edge[::2], edge[1::2]
+        sizes = self.ends - self.starts
+        texts = np.cumsum([0, *(len(t) + 1 for _, t in block)])
+        self.text = np.searchsorted(texts, self.starts, "right") - 1
+        marks = np.cumsum(kind == 2)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        self.breaks = np.concatenate([[False], marks[1:] != marks[:-1]]) if len(marks) else np.zeros(0, bool)
+        if not len(sizes):
+            self.numbers = np.zeros(0, np.uint64)
+            return
+        of_byte = _mix(np.arange(256, dtype=np.uint64) + _U(1 + 1000 * seed))
+        of_place = _mix(np.arange(int(sizes.max()), dtype=np.uint64) + _U(500 + 1000 * seed)) | _U(1)
+        at = np.flatnonzero(kind == 0)
+        sums = np.add.reduceat(of_byte[raw[at]] * of_place[at - np.repeat(self.starts, sizes)], np.cumsum(sizes) - sizes)
+        langs = {lang: xxhash.xxh64_intdigest(lang, seed) for lang in {lang for lang, _ in block}}
+        of_text = np.fromiter((langs[lang] for lang, _ in block), np.uint64, len(block))
+        self.numbers = np.maximum(_mix(sums ^ of_text[self.text]), _U(1))
+
+    def row(self) -> np.ndarray:
+        """Numbers in order, with a 0 where phrases end."""
+        out = np.zeros(len(self.numbers) + int(self.breaks.sum()), np.uint64)
+        out[np.arange(len(self.numbers)) + np.cumsum(self.breaks)] = self.numbers
+        return out
+
+
 def _word_counter(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lang, word, number, f): counts of the words of a task, in parts."""
         counts: dict[bytes, Counter] = defaultdict(Counter)
 
         def given() -> pa.RecordBatch:
-            rows = [(lang, word, n) for lang, own in counts.items() for word, n in own.items() if word != _END]
+            rows = [(lang, word, n) for lang, own in counts.items() for word, n in own.items()]
             counts.clear()
             langs, words, times = ([r[k] for r in rows] for k in range(3))
-            numbers = np.array([number(a, b, seed) for a, b in zip(langs, words, strict=True)], np.uint64).view(np.int64)
+            numbers = _Words(list(zip(langs, words, strict=True)), seed).numbers.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()).cast(pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(numbers),
                                                pa.array(times, pa.int64())], ["lang", "word", "number", "f"])
 
         for block in _blocks(batches):
-            for lang, words in block:
-                counts[lang].update(words)
-            if sum(map(len, counts.values())) > _REMEMBERED:
+            for lang, text in block:
+                counts[lang].update(text.translate(_BLANKS).split())
+            if sum(map(len, counts.values())) > WORD_ROWS:
                 yield given()
         yield given()
 
@@ -227,7 +246,6 @@ def _word_counter(seed: int):
 def _phrase_counter(shared, length: int, parts: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phrases of ``length`` words whose two shorter ones are in the map, counted in filters; each is handed on in slices of quotients."""
-        numbers: dict[bytes, _Numbers] = {}
         held: list[QuotientFilter] = []
         may_be = shared.value
 
@@ -238,15 +256,7 @@ def _phrase_counter(shared, length: int, parts: int, seed: int):
                                               ["part", "runs", "remainders", "counts"])
 
         for block in _blocks(batches):
-            found = []
-            for lang, words in block:
-                if lang not in numbers:
-                    if len(numbers) >= 64:
-                        numbers.clear()
-                    numbers[lang] = _Numbers(lang, seed)
-                found.append(np.fromiter(map(numbers[lang].__getitem__, words), np.uint64, len(words)))
-                found.append(np.zeros(1, np.uint64))
-            row = np.concatenate(found)
+            row = _Words(block, seed).row()
             shorter = np.lib.stride_tricks.sliding_window_view(row, length - 1) if len(row) >= length else np.zeros((0, length - 1), np.uint64)
             good = np.flatnonzero((shorter != 0).all(1))
             at = _places(shorter[good])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import frame, raw
 from wattline.config import DEFAULTS, replace
 from wattline.models import proposals, selection, series_trees, store
-from wattline.models.histograms import LocalRows, Rule, bin_codes, bin_edges, poisson, target_scale, uniform
+from wattline.models.histograms import LocalRows, Rule, best_splits, bin_codes, bin_edges, histograms, poisson, sparse_splits, target_scale, uniform
 from wattline.models.linear import fit_linear
 from wattline.operators import explain, features, forecast, metrics
 
@@ -166,6 +166,16 @@ def test_trees_equal_plain_ones(rule):
         assert all(nodes[k][i] for i, k in enumerate(at.tolist()) if w[i] > 0)
 
 
+def test_sparse_histograms_give_the_same_splits():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        codes = rng.integers(0, rng.integers(2, 30), (60, 5)).astype(np.uint8)
+        slot, g, h = rng.integers(0, 9, 60), rng.integers(-50, 50, 60).astype(float), rng.integers(1, 4, 60).astype(float)
+        rule, columns = Rule(depth=3, l2=float(rng.integers(0, 2)), least_rows=2, split_rows=4), rng.random(5) < 0.7
+        want = best_splits(histograms(codes, slot, g, h, 9, 32), 4.0, rule, columns)
+        assert sparse_splits(codes, slot, g, h, 9, 32, 4.0, rule, columns) == want and any(want)
+
+
 def test_boosting_ends_without_progress():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 3))

@@ -122,6 +122,42 @@ def best_splits(held: np.ndarray, scale: float, rule: Rule, columns: np.ndarray
     return out
 
 
+def sparse_splits(
+    codes: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int, bins: int, scale: float, rule: Rule, columns: np.ndarray | None = None
+) -> list[Split | None]:
+    """What ``best_splits`` gives for the histograms of these rows, from the bins that have rows only: with many small nodes most
+    have none, and a bin without rows is never the first of its gain."""
+    d = codes.shape[1]
+    key = ((slot[:, None] * d + np.arange(d)) * bins + codes).ravel()
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], order // d
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = np.stack([np.add.reduceat(v.astype(np.int64)[row], first) for v in (g, h)])
+    key = key[first]
+    group = key // bins  # (slot, feature)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff([*start, len(key)])
+    run = np.concatenate([np.zeros((2, 1), np.int64), sums.cumsum(1)], 1)  # whole numbers, exact
+    left = run[:, 1:] - np.repeat(run[:, start], size, 1)
+    total = np.repeat(run[:, start + size] - run[:, start], size, 1)
+    gl, hl, g_all, h_all = left[0] / scale, left[1].astype(float), total[0] / scale, total[1].astype(float)
+    gr, hr = g_all - gl, h_all - hl
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gl * gl / (hl + rule.l2) + gr * gr / (hr + rule.l2) - g_all * g_all / (h_all + rule.l2)
+    good = (hl >= rule.least_rows) & (hr >= rule.least_rows) & (hl > 0) & (hr > 0) & (h_all >= rule.split_rows)
+    if columns is not None:
+        good &= columns[group % d]
+    gain = np.where(good, gain, -np.inf)
+    of_slot = group // d
+    starts = np.flatnonzero(np.concatenate([[True], of_slot[1:] != of_slot[:-1]]))
+    top = np.maximum.reduceat(gain, starts)
+    hits = np.flatnonzero((gain == np.repeat(top, np.diff([*starts, len(key)]))) & (gain > rule.least_gain))
+    out: list[Split | None] = [None] * slots
+    for at in hits[::-1].tolist():  # the first of equal gains is set last
+        out[int(of_slot[at])] = Split(float(gain[at]), int(group[at] % d), int(key[at] % bins), float(gl[at]), float(hl[at]))
+    return out
+
+
 def grow(root: tuple[float, float], rule: Rule, split: Callable[[Tree, list[int]], list[Split | None]]) -> Tree:
     """Grows a tree. ``split`` gives the best splits of open nodes of the tree as it is, for all nodes of a level, or, where leaves
     are limited, for the two children of the leaf that was split last."""
@@ -174,6 +210,8 @@ class LocalRows:
             slot[nodes] = np.arange(len(nodes))
             mine = slot[at]
             rows = np.flatnonzero(mine >= 0)
+            if len(rows) and len(nodes) * self.bins > 2 * len(rows):
+                return sparse_splits(codes[rows], mine[rows], g[rows], h[rows], len(nodes), self.bins, self.scale, rule, columns)
             return best_splits(histograms(codes[rows], mine[rows], g[rows], h[rows], len(nodes), self.bins), self.scale, rule, columns)
 
         def leaf(tree: Tree, nodes: list[int]) -> list[Split | None]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattline.models import arima as arima_models
 from wattline.models import selection, store
 from wattline.models.linear import fit_linear
-from wattline.models.trees import fit_boosted_a, fit_boosted_b, fit_forest
+from wattline.models.series_trees import fit_series_boosted_a, fit_series_boosted_b, fit_series_forest
 from wattline.operators import explain, features, forecast, metrics
 from wattline.plans import views
 from wattline.plans.catalog import query
@@ -15,8 +15,8 @@ from wattline.plans.oracle_views import with_views
 from wattline.plans.queries_forecast import future
 from wattline.session import checkpoint_folder, reliable
 
-# Boosting rounds run one after the other, each a few Spark jobs: fewer of them keep a query to seconds.
-FEW_ROUNDS = {"trees": 20, "depth": 4, "rate": 0.1}
+# The searches of the forest and of second-order boosting have queries of their own; other queries take their given settings.
+NO_SEARCH = {"RandomForest": {"tune": False}, "BoostedA": {"tune": False}}
 
 
 def split_features(spark, sf_dir, view=views.load_by_type, exog=()):
@@ -131,32 +131,30 @@ def _tree_scores(spark, sf_dir, fit):
 
 @query("random_forest", scores_sql("RandomForest"))
 def random_forest(spark, sf_dir):
-    return _tree_scores(spark, sf_dir, lambda df, f: fit_forest(df, f, tune=False))
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_series_forest(df, f, tune=False))
 
 
 @query("random_forest_search", scores_sql("RandomForest"))
 def random_forest_search(spark, sf_dir):
-    """Three draws on a smaller grid; the default search fits 30 forests of up to 300 deep trees."""
-    grid_of = {"trees": [10, 20], "depth": [4, 6], "min_split": [2, 5], "min_leaf": [1, 2]}
-    return _tree_scores(spark, sf_dir, lambda df, f: fit_forest(df, f, grid=grid_of, draws=3))
+    """Ten draws and three folds for every owner."""
+    return _tree_scores(spark, sf_dir, fit_series_forest)
 
 
 @query("boosted_a", scores_sql("BoostedA"))
 def boosted_a(spark, sf_dir):
-    return _tree_scores(spark, sf_dir, lambda df, f: fit_boosted_a(df, f, params=FEW_ROUNDS, tune=False))
+    return _tree_scores(spark, sf_dir, lambda df, f: fit_series_boosted_a(df, f, tune=False))
 
 
 @query("boosted_a_search", scores_sql("BoostedA"))
 def boosted_a_search(spark, sf_dir):
-    """Two draws on a smaller grid, for the same reason."""
-    grid_of = {"trees": [10], "rate": [0.1, 0.2], "depth": [3, 4], "rows": [0.8, 1.0], "columns": [1.0]}
-    return _tree_scores(spark, sf_dir, lambda df, f: fit_boosted_a(df, f, grid=grid_of, draws=2))
+    """Ten draws and three folds for every owner."""
+    return _tree_scores(spark, sf_dir, fit_series_boosted_a)
 
 
 @query("boosted_b", scores_sql("BoostedB"))
 def boosted_b(spark, sf_dir):
-    trials = [{"trees": 10, "rate": 0.1, "depth": d, "min_leaf": 10, "rows": 0.8, "columns": 0.8} for d in (3, 4)]
-    return _tree_scores(spark, sf_dir, lambda df, f: fit_boosted_b(df, f, candidates=trials))
+    """Fifteen trials, one after the other, for every owner."""
+    return _tree_scores(spark, sf_dir, fit_series_boosted_b)
 
 
 def _arima(spark, sf_dir, name, view, exog=()):
@@ -206,16 +204,12 @@ def arima_drift(spark, sf_dir):
     return points.withColumn("forecast", F.round("forecast", 3))
 
 
-ALL_OPTIONS = {"RandomForest": {"params": {"trees": 20, "depth": 6}, "tune": False}, "BoostedA": {"params": FEW_ROUNDS, "tune": False},
-               "BoostedB": {"params": FEW_ROUNDS, "tune": False}}
-
-
 @query("model_selection", with_views("load_by_type", FEATURE_SQL + f"""
     select series_id, {len(selection.ALL_MODELS)}::bigint as n_models, 1::bigint as n_best, true as best_is_lowest from feat group by 1"""))
 def model_selection(spark, sf_dir):
     """All seven models on the same rows: metrics of each per series, and one best."""
     train, test = split_features(spark, sf_dir)
-    chosen = selection.run(train, test, features.feature_names(), options=ALL_OPTIONS)
+    chosen = selection.run(train, test, features.feature_names(), options=NO_SEARCH)
     best = chosen.best.select("series_id", F.col("model").alias("best_model"), F.col("rmse").alias("best_rmse"))
     return chosen.metrics.join(best, "series_id").groupBy("series_id").agg(
         F.count(F.lit(1)).alias("n_models"), F.count_if(F.col("model") == F.col("best_model")).alias("n_best"),
@@ -232,7 +226,7 @@ def _saved_and_loaded(spark, model):
 def raw_prediction(spark, sf_dir):
     """Feature rows that lack some columns, predicted by a forest and by its saved and reloaded copy."""
     train, test = split_features(spark, sf_dir)
-    model = fit_forest(train, features.feature_names(), params={"trees": 20, "depth": 6}, tune=False)
+    model = fit_series_forest(train, features.feature_names(), tune=False)
     sent = test.drop("is_holiday", "rolling_std_7")
     first, second = (selection.predict_raw(m, sent, keep=["ts"]).select("series_id", "ts", F.col("prediction").alias(n))
                      for m, n in ((model, "a"), (_saved_and_loaded(spark, model), "b")))
@@ -253,7 +247,7 @@ def live_forecast(spark, sf_dir):
     exog = ["click", "view"]
     history = views.load_exog(spark, sf_dir)
     train = features.transform(history, exog=exog)
-    model = fit_forest(train, features.feature_names(exog), params={"trees": 20, "depth": 6}, tune=False)
+    model = fit_series_forest(train, features.feature_names(exog), tune=False)
     return grid(forecast.forecast_horizons(history, _saved_and_loaded(spark, model), exog=exog))
 
 
@@ -261,7 +255,7 @@ def live_forecast(spark, sf_dir):
 def tree_shap(spark, sf_dir):
     """Base value plus attributions less the prediction, of every training row."""
     train, _ = split_features(spark, sf_dir)
-    model = fit_forest(train, features.feature_names(), params={"trees": 20, "depth": 6}, tune=False)
+    model = fit_series_forest(train, features.feature_names(), tune=False)
     sums = explain.tree_shap(train, model).groupBy("series_id", "ts").agg(F.count(F.lit(1)).alias("n_features"), (F.first("base") + F.sum("shap")).alias("total"))
     both = sums.join(model.transform(train).select("series_id", "ts", "prediction"), ["series_id", "ts"])
     return both.select("series_id", "ts", "n_features", (F.abs(F.round(F.col("total") - F.col("prediction"), 4))).alias("gap"))

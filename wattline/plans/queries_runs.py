@@ -10,7 +10,7 @@ from wattline.operators.features import feature_names
 from wattline.plans import runs, views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
-from wattline.plans.queries_models import ALL_OPTIONS, FEATURE_SQL, HORIZONS, grid, grid_sql
+from wattline.plans.queries_models import FEATURE_SQL, HORIZONS, NO_SEARCH, grid, grid_sql
 from wattline.session import checkpoint_folder, reliable
 
 POINTS = sum(HORIZONS.values())
@@ -35,7 +35,7 @@ def _with_short_series(spark, sf_dir):
     from nr group by 1"""))
 def full_run(spark, sf_dir):
     """Seven models, three horizons, five anomaly methods, attributions and rules; two of seven series are refused."""
-    run = runs.full_run(_with_short_series(spark, sf_dir), raw_anomalies=True, options=ALL_OPTIONS, kernel_budget=32)
+    run = runs.full_run(_with_short_series(spark, sf_dir), raw_anomalies=True, options=NO_SEARCH)
     points = grid(run.tables["forecasts"]).groupBy("series_id").agg(F.count(F.lit(1)).alias("forecast_points"), F.every("bands_hold").alias("bands_hold"))
     flagged = run.tables["anomalies"]
     methods = len([c for c in flagged.columns if c.startswith("anomaly_") and c != "anomaly_score"])
@@ -63,8 +63,8 @@ def inference_run(spark, sf_dir):
     """A second run that loads the models of the first instead of training."""
     folder = f"{checkpoint_folder(spark)}/selection-{uuid.uuid4().hex}"
     loads = views.load_by_type(spark, sf_dir)
-    args = {"methods": ("zscore", "iqr"), "explained": False, "models_folder": folder}
-    runs.full_run(loads, enabled=("LinearRegression", "RandomForest", "SARIMA"), options=ALL_OPTIONS, **args)
+    args = {"explained": False, "models_folder": folder}
+    runs.full_run(loads, options=NO_SEARCH, **args)
     return grid(runs.full_run(loads, skip_training=True, **args).tables["forecasts"])
 
 
@@ -84,7 +84,7 @@ def owner_run(spark, sf_dir):
     """Train per owner, publish, and read the dashboard back."""
     folder = f"{checkpoint_folder(spark)}/publish-{uuid.uuid4().hex}"
     stored = reliable(views.load_by_type(spark, sf_dir).withColumnRenamed("y", "value"))
-    runs.owner_run(stored, publish_folder=folder, methods=("zscore", "iqr"), enabled=("LinearRegression", "ARIMA", "SARIMA"))
+    runs.owner_run(stored, publish_folder=folder, options=NO_SEARCH)
     stats = runs.dashboard(stored, folder)["stats"]
     return stats.select(
         "series_id", "total_records", "avg_consumption", "max_consumption", "min_consumption",

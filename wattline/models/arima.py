@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,10 @@ ORDERS = {
 }
 
 
+# Steps that one task computes of a series.
+CHUNK_STEPS = 20_000
+
+
 def difference_weights(d: int, seasonal_d: int, s: int) -> dict[int, float]:
     """Lag weights of (1 - B)^d (1 - B^s)^D, without the zeros."""
     poly = np.array([1.0])
@@ -47,6 +51,72 @@ def expanded_lags(short: int, long: int, s: int) -> list[int]:
     return sorted({i + s * j for i in range(short + 1) for j in range(long + 1)} - {0})
 
 
+def _weighted(c: str, weights: dict[int, float], w) -> Column:
+    """Weighted sum of a column and its lags; null where a lag is missing."""
+    total = F.lit(0.0)
+    for k, v in weights.items():
+        total = total + (F.lag(c, k).over(w) if k else F.col(c)) * F.lit(v)
+    return total
+
+
+class LinearSteps:
+    """Steps of a forecast as linear maps. A state holds the newest differences, then innovations, then values, newest first."""
+
+    def __init__(self, ar: Sequence[int], ma: Sequence[int], weights: dict[int, float]) -> None:
+        self.ar, self.ma, self.weights = list(ar), list(ma), dict(weights)
+        self.p, self.q, self.r = max([0, *ar]), max([0, *ma]), max(weights)
+        self.size = self.p + self.q + self.r
+
+    def rows(self, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the state in the next difference and in the next value."""
+        w, y = np.zeros(self.size), np.zeros(self.size)
+        for k, c in zip([*self.ar, *(self.p + k for k in self.ma)], coef, strict=False):
+            w[k - 1] = c
+        for k, c in self.weights.items():
+            if k:
+                y[self.p + self.q + k - 1] = -c
+        return w, w + y
+
+    def matrix(self, coef: np.ndarray) -> np.ndarray:
+        """The map of one step: a future innovation is zero."""
+        out = np.zeros((self.size, self.size))
+        w, y = self.rows(coef)
+        for start, n, first in ((0, self.p, w), (self.p, self.q, None), (self.p + self.q, self.r, y)):
+            if n and first is not None:
+                out[start] = first
+            for k in range(1, n):
+                out[start + k, start + k - 1] = 1.0
+        return out
+
+    def run(self, coef: np.ndarray, state: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after the steps, and their values."""
+        w_row, y_row = self.rows(coef)
+        p, q, out = self.p, self.q, np.empty(len(given))
+        state = state.copy()
+        for i, u in enumerate(given.tolist()):
+            w, y = w_row @ state + u, y_row @ state + u
+            state[1:p], state[p + 1:p + q], state[p + q + 1:] = state[:max(0, p - 1)].copy(), state[p:p + q - 1].copy() if q else state[p:p], state[p + q:-1].copy()
+            if p:
+                state[0] = w
+            if q:
+                state[p] = 0.0
+            if self.r:
+                state[p + q] = y
+            out[i] = y
+        return state, out
+
+    def state(self, first: np.ndarray, long: Sequence[int], y: np.ndarray) -> np.ndarray:
+        """State after a history of values; what is not known of it counts as zero."""
+        n, deepest = len(y), self.r
+        w, e = np.full(n, np.nan), np.zeros(n)
+        for i in range(deepest, n):
+            w[i] = sum(c * y[i - k] for k, c in self.weights.items())
+        for i in range(deepest + max(long), n):
+            e[i] = np.nan_to_num(w[i] - first @ w[[i - k for k in long]])
+        newest = lambda x, m: np.concatenate([x[::-1][:m], np.zeros(max(0, m - n))])
+        return np.concatenate([np.nan_to_num(newest(w, self.p)), newest(e, self.q), newest(y, self.r)])
+
+
 class ArimaModel:
     """Coefficients per series, and the newest training rows to start from.
 
@@ -60,16 +130,23 @@ class ArimaModel:
         self.ar, self.ma, self.long, self.weights, self.exog = ar, ma, long, weights, list(exog)
         self.series, self.ts, self.target = series, ts, target
 
-    def forecast(self, history: DataFrame | None, horizon: int, *, exog: Sequence[str] = (), future: DataFrame | None = None) -> DataFrame:
+    def forecast(
+        self, history: DataFrame | None, horizon: int, *, exog: Sequence[str] = (), future: DataFrame | None = None,
+        chunk_steps: int = CHUNK_STEPS,
+    ) -> DataFrame:
         """``horizon`` steps after the last row of ``history``, clipped at zero; without a history, after the training rows.
         ``future`` gives known exogenous values as ``series, step, ts, <exog>``; else they follow the profile of
-        ``history``."""
+        ``history``. More than ``chunk_steps`` steps are cut into chunks, and no task holds more of a series."""
+        if future is not None:
+            horizon = future.agg(F.max("step")).first()[0] or 0
         if future is None:
             future = future_exog(history, horizon, self.exog, series=self.series, ts=self.ts)
         if history is None:
             past = self.state
         else:
             past = _recent(history, self.target, self.exog, _reach(self.ar, self.ma, self.long, self.weights), self.series, self.ts)
+        if horizon > chunk_steps:
+            return self._scan(past, future, chunk_steps)
         past = past.withColumn("step", F.lit(0))
         coming = future.select(self.series, self.ts, F.lit(None).cast("double").alias("_y"), *self.exog, "step")
         frame = past.unionByName(coming).join(self.table.select(self.series, "coef", "long_coef"), self.series)
@@ -101,6 +178,69 @@ class ArimaModel:
 
         return frame.groupBy(series).applyInPandas(run, schema)
 
+    def _scan(self, past: DataFrame, future: DataFrame, chunk_steps: int) -> DataFrame:
+        """Forecast of any length. A step is a linear map of a state (the newest differences, innovations and values) and adds what
+        exogenous columns give. Every chunk of steps runs once from a state of zeros; a power of the map carries states from chunk to
+        chunk, a few numbers each; then every chunk runs from its own state."""
+        ar, ma, long, weights, exog, series, ts = self.ar, self.ma, self.long, self.weights, self.exog, self.series, self.ts
+        steps = LinearSteps(ar, ma, weights)
+        coming = future.select(series, ts, "step", *exog)
+        if exog:
+            known = past.select(series, ts, F.lit(0).alias("step"), *exog).unionByName(coming)
+            known = windowed(known, series, ts, max(weights), lambda w: {f"_d{c}": _weighted(c, weights, w) for c in exog}, "auto", None)
+            coef = self.table.select(series, F.slice("coef", F.lit(len(ar) + len(ma) + 1), F.lit(len(exog))).alias("_cx"))
+            given = dot([f"_d{c}" for c in exog], F.col("_cx"))
+            coming = known.filter("step > 0").join(coef, series).select(series, ts, "step", F.coalesce(given, F.lit(0.0)).alias("_u"))
+        else:
+            coming = coming.withColumn("_u", F.lit(0.0))
+        coming = reliable(coming.withColumn("_chunk", F.floor((F.col("step") - 1) / chunk_steps)))
+        key = [coming.schema[series], coming.schema["_chunk"]]
+        coefs = self.table.select(F.col(series).alias("_series"), "coef", "long_coef")
+        of_chunk = coming.select(series, "_chunk").distinct().join(coefs, F.col(series) == F.col("_series")).select("_series", F.col("_chunk").alias("_at"), "coef")
+
+        def ended(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({series: [], "_chunk": [], "size": [], "end": []})
+            end, _ = steps.run(np.asarray(right["coef"].iloc[0]), np.zeros(steps.size), left.sort_values("step")["_u"].to_numpy(dtype=float))
+            return pd.DataFrame({series: [left[series].iloc[0]], "_chunk": [left["_chunk"].iloc[0]], "size": [len(left)], "end": [end.tolist()]})
+
+        ends = coming.groupBy(series, "_chunk").cogroup(of_chunk.groupBy("_series", "_at")).applyInPandas(
+            ended, T.StructType([*key, T.StructField("size", T.LongType()), T.StructField("end", T.ArrayType(T.DoubleType()))]))
+
+        def first(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(ts, kind="stable")
+            state = steps.state(np.asarray(pdf["long_coef"].iloc[0]), long, pdf["_y"].to_numpy(dtype=float))
+            return pd.DataFrame({"_series": [pdf[series].iloc[0]], "state": [state.tolist()], "coef": [pdf["coef"].iloc[0]]})
+
+        starts = past.select(series, ts, "_y").join(self.table.select(series, "coef", "long_coef"), series).groupBy(series).applyInPandas(
+            first, T.StructType([T.StructField("_series", T.StringType()), T.StructField("state", T.ArrayType(T.DoubleType())), T.StructField("coef", T.ArrayType(T.DoubleType()))]))
+
+        def carried(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            if len(left) and len(right):
+                state, one = np.asarray(right["state"].iloc[0], dtype=float), steps.matrix(np.asarray(right["coef"].iloc[0]))
+                powers: dict[int, np.ndarray] = {}
+                for r in left.sort_values("_chunk").itertuples(index=False):
+                    rows.append((r[0], r[1], state.tolist(), right["coef"].iloc[0]))
+                    if r.size not in powers:
+                        powers[r.size] = np.linalg.matrix_power(one, int(r.size))
+                    state = powers[r.size] @ state + np.asarray(r.end)
+            return pd.DataFrame(rows, columns=["_series", "_at", "state", "coef"])
+
+        arrays = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("state", "coef")]
+        states = ends.groupBy(series).cogroup(starts.groupBy("_series")).applyInPandas(
+            carried, T.StructType([T.StructField("_series", T.StringType()), T.StructField("_at", T.LongType()), *arrays]))
+
+        def told(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            left = left.sort_values("step")
+            if not len(left) or not len(right):
+                return left[[series, "step", ts]].head(0).assign(forecast=pd.Series(dtype=float))
+            _, y = steps.run(np.asarray(right["coef"].iloc[0]), np.asarray(right["state"].iloc[0], dtype=float), left["_u"].to_numpy(dtype=float))
+            return left[[series, "step", ts]].assign(forecast=np.clip(np.nan_to_num(y, nan=0.0, posinf=np.finfo(float).max), 0.0, None))
+
+        schema = T.StructType([self.state.schema[series], T.StructField("step", T.IntegerType()), self.state.schema[ts], T.StructField("forecast", T.DoubleType())])
+        return coming.groupBy(series, "_chunk").cogroup(states.groupBy("_series", "_at")).applyInPandas(told, schema)
+
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(f"{path}/coefficients")
         self.state.write.mode("overwrite").parquet(f"{path}/state")
@@ -149,10 +289,7 @@ def fit_arima(
     lagged = lambda frame, before, build: windowed(frame, series, ts, before, build, plan, chunk_rows)
 
     def differenced(c: str, w):
-        total = F.lit(0.0)
-        for k, v in weights.items():
-            total = total + (F.lag(c, k).over(w) if k else F.col(c)) * F.lit(v)
-        return total
+        return _weighted(c, weights, w)
 
     base = lagged(rows, max(weights), lambda w: {"_w": differenced("_y", w), **{f"_x_{c}": differenced(c, w) for c in exog}})
     long = sorted({*range(1, max(8, 2 * (p + q)) + 1), *([s - 1, s, s + 1, 2 * s, 2 * s + 1] if s else [])})

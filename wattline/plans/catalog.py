@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-AREAS = ("cleaning", "features", "records", "reports", "anomaly", "forecast", "models", "trees", "recommend", "runs", "files")
+AREAS = ("cleaning", "features", "records", "reports", "anomaly", "forecast", "models", "trees", "recommend", "checks", "runs", "files")
 
 
 def query(name: str, sql: str | None = None):

@@ -1,5 +1,7 @@
 """Calendar, lag, rolling, positional and split queries, and the flagship query."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattline.config import DEFAULTS, replace
@@ -9,7 +11,8 @@ from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
 from wattline.plans.queries_cleaning import IQR_CTE
-from wattline.session import reliable
+from wattline.session import checkpoint_folder, reliable
+from wattline.streaming.limits import sliding_limit_stream
 
 LAGS = DEFAULTS.lags
 WINDOWS = DEFAULTS.windows
@@ -224,6 +227,23 @@ def rate_limit_audit(spark, sf_dir):
     return limits.sliding_limit(ev, key="user_id", max_events=3, window_seconds=6 * 3600, tie="event_id")
 
 
+@query("rate_limit_stream", LIMIT_SQL)
+def rate_limit_stream(spark, sf_dir):
+    """The same limit on the events as a stream of files: four parts in the order of time, a micro-batch each, decided from the state that the
+    parts before have left."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ev = views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    placed = reliable(ev.repartitionByRange(4, "ts").withColumn("part", F.spark_partition_id()))
+    for k in range(4):  # files of a later part are newer, and the source reads files by age
+        placed.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    decided = sliding_limit_stream(source, key="user_id", max_events=3, window_seconds=6 * 3600)
+    run = decided.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(decided.schema).parquet(f"{folder}/out")
+    return out.select(F.col("user_id").cast("long").alias("user_id"), F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "event_id", "accepted", "retry_after_seconds")
+
+
 FLAGSHIP_CFG = DEFAULTS
 
 

@@ -1,16 +1,78 @@
-"""Streaming twin of the sliding-window limit: per-key accepted times kept as state."""
+"""Streaming twin of the sliding-window limit: accepted times per key as list state, cleared by timers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wattline.functions.calendar import epoch_us
 
+# The state store that lists and timers need.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Decided events that are given at a time.
+OUT_ROWS = 100_000
+
+
+def decide(times: np.ndarray, recent: list[int], max_events: int, span: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Which of the sorted times are accepted after the ``recent`` accepted ones, how many whole seconds the others must wait, and the
+    accepted times that still count. Rejected stretches are skipped by binary search."""
+    accepted, wait, i = np.ones(len(times), bool), np.zeros(len(times), np.int64), 0
+    recent, start = list(recent), 0
+    while i < len(times):
+        while start < len(recent) and recent[start] < times[i] - span:
+            start += 1
+        if len(recent) - start < max_events:
+            recent.append(int(times[i]))
+            i += 1
+            continue
+        free = int(np.searchsorted(times, recent[start] + span, "right"))
+        accepted[i:free] = False
+        wait[i:free] = (span - (times[i:free] - recent[start])) // 1_000_000
+        i = free
+    return accepted, wait, recent[max(start, len(recent) - max_events):]
+
+
+class SlidingLimit(StatefulProcessor):
+    """State of a key: at most ``max_events`` accepted times. A timer one window after the newest clears them."""
+
+    def __init__(self, key: str, event_id: str, max_events: int, span: int) -> None:
+        self.key, self.event_id, self.max_events, self.span = key, event_id, max_events, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.recent = handle, handle.getListState("recent", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # two numbers per event of the micro-batch, whatever else its rows hold
+        parts = [(b["ts_us"].to_numpy(np.int64), b[self.event_id].to_numpy(np.int64)) for b in rows]
+        times, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort([ids, times])
+        times, ids = times[order], ids[order]
+        before = [int(r[0]) for r in self.recent.get()]
+        accepted, wait, recent = decide(times, before, self.max_events, self.span)
+        self.recent.put([(t,) for t in recent])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if recent:
+            self.handle.registerTimer(max((recent[-1] + self.span) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        for k in range(0, len(times), OUT_ROWS):
+            own = slice(k, k + OUT_ROWS)
+            yield pd.DataFrame({self.key: str(key[0]), self.event_id: ids[own], "ts_us": times[own], "accepted": accepted[own],
+                                "retry_after_seconds": pd.Series(wait[own], dtype="Int64").mask(accepted[own])})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        yield pd.DataFrame({self.key: pd.Series(dtype=str), self.event_id: pd.Series(dtype="int64"), "ts_us": pd.Series(dtype="int64"),
+                            "accepted": pd.Series(dtype=bool), "retry_after_seconds": pd.Series(dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
 
 def sliding_limit_stream(
     events: DataFrame, *, key: str, ts: str = "ts", event_id: str = "event_id", max_events: int = 100,
@@ -18,34 +80,14 @@ def sliding_limit_stream(
 ) -> DataFrame:
     """Decide each event of a stream: ``key, event_id, ts_us, accepted, retry_after_seconds``.
 
-    State per key is the last ``max_events`` accepted times, dropped once the watermark
-    is a window past the newest. Events of one micro-batch are taken in time order;
-    an event later than the watermark is dropped by the engine before it gets here."""
-    span = window_seconds * 1_000_000
-    out_schema = f"{key} string, {event_id} long, ts_us long, accepted boolean, retry_after_seconds long"
-
-    def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts_us", event_id], kind="stable")
-        out = []
-        for eid, t in zip(rows[event_id], rows["ts_us"]):
-            recent = [a for a in recent if a >= t - span]
-            full = len(recent) >= max_events
-            out.append((str(group[0]), int(eid), int(t), not full, int((span - (t - recent[0])) // 1_000_000) if full else None))
-            if not full:
-                recent.append(int(t))
-        state.update((recent,))
-        if recent:
-            expiry = (recent[-1] + span) // 1000 + 1
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        frame = pd.DataFrame(out, columns=[key, event_id, "ts_us", "accepted", "retry_after_seconds"])
-        yield frame.astype({"retry_after_seconds": "Int64"})
-
+    Events of one micro-batch are taken in time order; an event later than the watermark is dropped by the engine before it gets
+    here. A hot key is one task by nature, since acceptance depends on what was accepted before: it holds two numbers per event of
+    a micro-batch, whose size the source sets. Sets the session's state store, if none is set, to the one that lists and timers
+    need."""
+    if events.sparkSession.conf.get(STATE_STORE, "").endswith("HDFSBackedStateStoreProvider") or not events.sparkSession.conf.get(STATE_STORE, ""):
+        events.sparkSession.conf.set(STATE_STORE, ROCKS)
     stamped = events.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", watermark)
-    narrow = stamped.select(F.col(key).cast("string").alias(key), event_id, "_event_time", epoch_us("_event_time").alias("ts_us"))
-    return narrow.groupBy(key).applyInPandasWithState(
-        decide, out_schema, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    narrow = stamped.select(F.col(key).cast("string").alias(key), F.col(event_id).cast("long").alias(event_id), "_event_time", epoch_us("_event_time").alias("ts_us"))
+    schema = f"{key} string, {event_id} long, ts_us long, accepted boolean, retry_after_seconds long"
+    processor = SlidingLimit(key, event_id, max_events, window_seconds * 1_000_000)
+    return narrow.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode="EventTime")

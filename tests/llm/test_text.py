@@ -152,6 +152,44 @@ def test_labels_of_held_out_rows_are_not_used(spark, docs):
     assert a.languages == b.languages and all((a.filters[w] == b.filters[w]).all() for w in a.filters)
 
 
+def plain_network(network, text):
+    """Mean probabilities of a text, filter by filter and place by place."""
+    data = text.encode()
+    step = language_id.WINDOW - (max(language_id.WIDTHS) - 1)
+    total, n = 0, 0
+    for start in range(0, max(1, len(data) - (max(language_id.WIDTHS) - 1)), step):
+        window = data[start:start + language_id.WINDOW].ljust(language_id.WINDOW, b"\0")
+        pooled = []
+        for w in language_id.WIDTHS:
+            for f in range(network.filters[w].shape[2]):
+                pooled.append(max(sum(float(network.filters[w][j, window[at + j], f]) for j in range(w)) for at in range(language_id.WINDOW - w + 1)))
+        hidden = [max(0.0, v + float(b)) for v, b in zip(pooled, network.bias, strict=True)]
+        score = [sum(h * float(network.weights[k, c]) for k, h in enumerate(hidden)) + float(network.offset[c]) for c in range(len(network.languages))]
+        odds = [np.exp(v - max(score)) for v in score]
+        total, n = total + np.array(odds) / sum(odds), n + 1
+    return total / n
+
+
+def test_network_equals_the_plain_version(docs):
+    network = language_id.fit(docs, steps=30)
+    texts = ["Ein kurzer Text.", "the of and " * 40, "é", None, "1234", "", "Über " * 90]
+    got = network.predict(texts)
+    assert [g for g, t in zip(got, texts, strict=True) if t in (None, "1234", "")] == [("und", 0.0)] * 3
+    for (lang, score), text in zip(got, texts, strict=True):
+        if lang != "und":
+            mean = plain_network(network, text)
+            assert lang == network.languages[int(mean.argmax())] and abs(score - mean.max()) < 1e-4
+    assert [g for t in texts for g in network.predict([t])] == got
+
+
+def test_sample_is_bounded(spark, docs):
+    """A document that is repeated 5,000 times is drawn within the bound, and the order of rows changes nothing."""
+    one = docs.filter("lang is not null").filter(language_id.fold() != 2).limit(1)
+    many = docs.union(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("copy"))
+    a, b = language_id.fit(many, per_language=20, steps=5), language_id.fit(many.repartition(7), per_language=20, steps=5)
+    assert all((a.filters[w] == b.filters[w]).all() for w in a.filters)
+
+
 def test_awkward_languages(spark, docs):
     network = language_id.fit(docs)
     for table in (awkward(spark), empty(spark)):
@@ -229,3 +267,13 @@ def test_awkward_conversations(spark):
     assert {r.status for r in chat.preference_pairs(none, convs).collect()} == {"rejected_only"}
     assert chat.preference_pairs(none, none).count() == 0
     assert {r.conv_id for r in chat.preference_pairs(convs, chat.swapped_answers(convs)).collect()} == {1, 2, None}
+    # turns without a conversation stay apart; a very long conversation and a very long text
+    alone = chat.conversations(spark.createDataFrame([(None, k % 3, "user", "n" * k) for k in range(50)], schema))
+    assert sorted(len(r.turns) for r in alone.collect()) == [1] * 50
+    long = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", "w" * (200_000 if k == 5 else k % 7)) for k in range(3000)], schema)
+    other = long.filter("turn <> 2999")
+    (r,) = chat.preference_pairs(chat.conversations(long), chat.conversations(other)).collect()
+    assert r.prefix_turns == 2999 and r.status == "pair" and r.rejected == "" and len(r.chosen_spans) == 1
+    (r,) = chat.preference_pairs(chat.conversations(long), chat.conversations(long.filter("turn > 0"))).collect()
+    text = r.prompt + r.chosen
+    assert r.prefix_turns == 0 and len(r.chosen_spans) == 1500 and all(text[a:b].endswith("<|end|>\n") and text[:a].endswith("<|assistant|>\n") for a, b in r.chosen_spans)

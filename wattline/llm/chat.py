@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import table
 
@@ -14,9 +17,12 @@ TRAINED = "assistant"
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turns): turns in order as (turn, role, text). Null roles and texts count as empty, null numbers come first;
-    turns that share a number are ordered by role and text, repeated rows stay."""
+    turns that share a number are ordered by role and text, repeated rows stay. A turn without conv_id is a conversation by itself, so such turns
+    are no group, however many there are. Other columns are not read; an empty table gives no rows."""
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), alone.alias("alone"), one.alias("one"))
+    return rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("one")).alias("turns")).drop("alone")
 
 
 def _render(turns: Column) -> Column:
@@ -27,11 +33,18 @@ def _length(turns: Column) -> Column:
     return F.aggregate(turns, F.lit(0), lambda n, t: n + F.length(t["role"]) + F.length(t["text"]) + sum(map(len, TURN)))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _running(lengths: pd.Series) -> pd.Series:
+    """Running sums of every list."""
+    return lengths.map(np.cumsum)
+
+
 def _spans(turns: Column, shift: Column) -> Column:
     """Characters to train on: text and end mark of the assistant's turns. ``shift`` is where the turns start."""
-    starts = F.transform(turns, lambda t, k: F.struct(t.alias("t"), (shift + _length(F.slice(turns, 1, k)) + F.length(t["role"]) + len(TURN[0]) + len(TURN[1])).alias("start")))
-    own = F.filter(starts, lambda s: s["t"]["role"] == TRAINED)
-    return F.transform(own, lambda s: F.struct(s["start"].cast("int").alias("start"), (s["start"] + F.length(s["t"]["text"]) + len(TURN[2])).cast("int").alias("end")))
+    ends = _running(F.transform(turns, lambda t: (F.length(t["role"]) + F.length(t["text"]) + sum(map(len, TURN))).cast("long")))
+    placed = F.zip_with(turns, ends, lambda t, end: F.struct(t["role"].alias("role"), F.length(t["text"]).alias("size"), (shift + end).cast("int").alias("end")))
+    own = F.filter(placed, lambda s: s["role"] == TRAINED)
+    return F.transform(own, lambda s: F.struct((s["end"] - s["size"] - len(TURN[2])).alias("start"), s["end"].alias("end")))
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -22,6 +22,8 @@ STEPS = 400
 BATCH = 64
 RATE = 0.02
 UNKNOWN = "und"
+# Windows that go through the network together.
+STACK = 1024
 _OVERLAP = max(WIDTHS) - 1
 
 
@@ -74,13 +76,31 @@ class Network:
             out[k:k + 64] = score / score.sum(1, keepdims=True)
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of the highest mean probability over all windows, and that mean. A text without letters is unknown, with score 0."""
-        if not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        mean = self.probabilities(windows(text.encode())).mean(0, dtype=np.float64)
-        best = int(mean.argmax())
-        return self.languages[best], float(min(1.0, mean[best]))
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language of the highest mean probability over all windows of a text, and that mean. A text without letters is unknown,
+        with score 0. Windows of all texts go through the network together, STACK of them at a time."""
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def close() -> None:
+            counts = np.array([len(rows) for _, rows in held])
+            sums = np.add.reduceat(self.probabilities(np.concatenate([rows for _, rows in held])).astype(np.float64), np.cumsum(counts) - counts)
+            for (k, _), mean in zip(held, sums / counts[:, None], strict=True):
+                best = int(mean.argmax())
+                out[k] = self.languages[best], float(min(1.0, round(mean[best], 6)))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            if text and any(map(str.isalpha, text)):
+                held.append((k, windows(text.encode())))
+                size += len(held[-1][1])
+                if size >= STACK:
+                    close()
+                    size = 0
+        if held:
+            close()
+        return out
 
 
 def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], steps: int = STEPS, seed: int = 7) -> Network:
@@ -140,8 +160,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         window_count: int = SAMPLE_WINDOWS, steps: int = STEPS) -> Network | None:
     """Network from labelled rows of ``docs`` that are not held out; None if there is none.
 
-    Of each language about ``per_language`` documents are drawn by the hash of doc_id, and ``window_count`` windows spread over each; this
-    bounded sample alone reaches the driver. Languages are as many as the labels name."""
+    Of each language about ``per_language`` documents are drawn by the hash of doc_id and text, at most twice as many however often rows
+    repeat, and ``window_count`` windows spread over each; this bounded sample alone reaches the driver, in an order of its own. Languages are as many
+    as the labels name."""
     usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold() != 2, F.lit(False)))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
@@ -149,20 +170,23 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     top = 1 << 30
     cuts = F.create_map(*[F.lit(v) for name, n in sorted(counts.items()) for v in (name, min(top, -(-top * per_language // n)))])
-    drawn = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(top)) < F.element_at(cuts, F.col("lang")))
-    rows = drawn.select("lang", F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_sampler(window_count), "lang string, key long, row binary").toArrow()
+    drawn = usable.withColumn("key", F.xxhash64("doc_id", "text")).filter(F.pmod("key", F.lit(top)) < F.element_at(cuts, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))
+    drawn = drawn.withColumn("place", place).filter(F.col("place") <= 2 * per_language)
+    rows = drawn.select("lang", "key", "text").mapInArrow(_sampler(window_count), "lang string, key long, row binary").toArrow()
     languages = sorted(counts)
-    order = np.lexsort([rows["key"].to_numpy()])  # the same order in every run; windows of a document follow each other
+    number = np.array([languages.index(v) for v in rows["lang"].to_pylist()])
+    order = np.lexsort([number, rows["key"].to_numpy()])  # the same order in every run; windows of a document follow each other
     x = np.frombuffer(b"".join(rows["row"].to_pylist()), np.uint8).reshape(-1, WINDOW)[order]
-    y = np.array([languages.index(v) for v in rows["lang"].to_pylist()])[order]
-    return train(x, y, languages, steps)
+    return train(x, number[order], languages, steps)
 
 
 def _predictor(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
         for batch in batches:
-            found = [(UNKNOWN, 0.0) if network is None else network.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            found = [(UNKNOWN, 0.0)] * len(texts) if network is None else network.predict(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                                              [*batch.schema.names[:-1], "lang_pred", "score"])
 
@@ -171,7 +195,7 @@ def _predictor(shared):
 
 def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns ``keep`` with lang_pred and score of every whole text. Texts that are null, empty or have no letters, and all texts without a
-    network, are unknown with score 0. The network is about 20 MB at any size of the corpus."""
+    network, are unknown with score 0. Rows repeat as they are; an empty table gives none; ``keep`` may not hold the new names. The network is about 20 MB at any size of the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
     types = dict(docs.dtypes)
     fields = "".join(f"`{c}` {types[c]}, " for c in keep) + "lang_pred string, score double"

@@ -138,7 +138,7 @@ def one_class_svm(spark, sf_dir):
 @query("isolation_rows", with_views("load_by_type", "select series_id, ts from load_by_type"))
 def isolation_rows(spark, sf_dir):
     """Rows with a flag: each one of the input once."""
-    return anomaly.isolation_forest_flags(views.load_by_type(spark, sf_dir), trees=20).select("series_id", "ts")
+    return anomaly.isolation_forest_flags(views.load_by_type(spark, sf_dir)).select("series_id", "ts")
 
 
 LOF_SQL = with_views("load_hourly", """

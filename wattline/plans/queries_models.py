@@ -4,9 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wattline.config import DEFAULTS, replace
 from wattline.models import arima as arima_models
 from wattline.models import selection, store
-from wattline.models.linear import fit_linear
+from wattline.models.linear import LinearModel, fit_linear
 from wattline.models.series_trees import fit_series_boosted_a, fit_series_boosted_b, fit_series_forest
 from wattline.operators import explain, features, forecast, metrics
 from wattline.plans import views
@@ -241,6 +242,38 @@ def recursive_forecast(spark, sf_dir):
     return grid(forecast.forecast_horizons(history, model))
 
 
+@query("linear_exact", with_views("load_by_type", """
+    f as (select series_id, ts, hour(ts) as h, lag(y) over w as a, avg(y) over (partition by series_id order by ts rows between 24 preceding and 1 preceding) as m,
+                 row_number() over w as i from load_by_type window w as (partition by series_id order by ts))
+    select series_id, ts, round(3 * a - 2 * m + 500 * h + 7, 2) as prediction from f where i > 169"""))
+def linear_exact(spark, sf_dir):
+    """A target that is a linear function of three of 37 features, of which some are functions of others: all features are fitted, and every prediction is the target."""
+    rows = features.transform(views.load_by_type(spark, sf_dir))
+    rows = rows.withColumn("y", 3 * F.col("load_t_1") - 2 * F.col("rolling_mean_24") + 500 * F.col("hour") + 7)
+    out = fit_linear(reliable(rows), features.feature_names()).transform(rows)
+    return out.select("series_id", "ts", F.round("prediction", 2).alias("prediction"))
+
+
+@query("recursive_linear", with_views("load_by_type", future("load_by_type", 168) + "," + OLS_SQL + """,
+    n as (select series_id, list(y order by ts)[-24:] as h from load_by_type group by 1),
+    r as (
+      with recursive s as (
+        select n.series_id, 0 as step, h, null::double as forecast, c0, ca, cb from n join d using (series_id)
+        union all
+        select series_id, step + 1, list_append(h[2:], greatest(0, c0 + ca * h[24] + cb * h[1])), greatest(0, c0 + ca * h[24] + cb * h[1]), c0, ca, cb from s where step < 168)
+      select series_id, step, forecast from s where step > 0)
+    select r.series_id, r.step, fut.ts, round(forecast, 2) as forecast from r join fut on fut.series_id = r.series_id and fut.step = r.step"""))
+def recursive_linear(spark, sf_dir):
+    """Least squares on two lags, fed with its own forecasts for a week."""
+    cfg = replace(DEFAULTS, lags=(1, 24), windows=())
+    _, pair = pair_model(spark, sf_dir)
+    names = features.feature_names(cfg=cfg)
+    wide = F.array(*[F.col("coef")[PAIR.index(c)] if c in PAIR else F.lit(0.0) for c in names])
+    model = LinearModel(pair.table.withColumn("coef", wide), names)
+    out = forecast.recursive_forecast(views.load_by_type(spark, sf_dir), model, 168, cfg=cfg)
+    return out.withColumn("forecast", F.round("forecast", 2))
+
+
 @query("live_forecast", grid_sql("load_exog"))
 def live_forecast(spark, sf_dir):
     """Forest with exogenous columns, saved, loaded and run on the newest data."""

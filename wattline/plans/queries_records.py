@@ -1,11 +1,14 @@
 """Ingestion, stored-record and publishing queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattline.operators import forecast
 from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
+from wattline.session import checkpoint_folder, reliable
 from wattline.sources import csv, records, results
 
 
@@ -149,3 +152,21 @@ def forecast_map_roundtrip(spark, sf_dir):
     points = forecast.with_bands(views.load_by_type(spark, sf_dir).withColumnRenamed("y", "forecast"))
     points = points.withColumn("horizon", F.date_format("ts", "yyyy-MM-dd"))
     return results.from_forecast_map(results.to_forecast_map(points))
+
+
+@query("atomic_publish", """
+    with v as (select event_type as series_id, 1 + least(2, (day(ts) - 1) // 10) as part, round(value * 100) as y from events),
+    t as (select series_id, part as version, sum(y) as total, count(*) as n from v where not (part = 3 and series_id = 'view') group by 1, 2)
+    select series_id, version::bigint as version, total, n from t qualify version = max(version) over (partition by series_id)""")
+def atomic_publish(spark, sf_dir):
+    """Three versions of totals by type, of which the last lacks one type; rows without a log entry are not read."""
+    path = f"{checkpoint_folder(spark)}/publish-{uuid.uuid4().hex}"
+    ev = views.table(spark, sf_dir, "events")
+    part = 1 + F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10))
+    totals = ev.select(F.col("event_type").alias("series_id"), part.alias("part"), views.hundredths("value").alias("y")).groupBy("series_id", "part").agg(
+        F.sum("y").alias("total"), F.count(F.lit(1)).alias("n"))
+    totals = reliable(totals.filter("not (part = 3 and series_id = 'view')"))
+    for k in (1, 2, 3):
+        results.publish(totals.filter(F.col("part") == k).drop("part"), path, run_id=f"run-{k}")
+    totals.withColumns({"run_id": F.lit("torn"), "created_at": F.current_timestamp()}).drop("part").write.parquet(f"{path}/folder=torn")
+    return results.read_latest(spark, path).select("series_id", "version", "total", "n")

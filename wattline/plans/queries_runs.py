@@ -41,10 +41,8 @@ def full_run(spark, sf_dir):
     methods = len([c for c in flagged.columns if c.startswith("anomaly_") and c != "anomaly_score"])
     rows = flagged.groupBy("series_id").agg(F.count(F.lit(1)).alias("anomaly_rows"), F.lit(methods).alias("n_methods"))
     models = run.chosen.metrics.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_models"))
-    ranked = run.tables["importance"].groupBy("series_id").agg(F.count(F.lit(1)).alias("n_ranked"))
-    statistical = run.chosen.best.select("series_id", F.when(F.col("model").isin("ARIMA", "SARIMA", "SARIMAX"), F.lit(N_FEATURES)).alias("_none"))  # these have no attributions
-    out = models.join(points, "series_id").join(rows, "series_id").join(ranked, "series_id", "left").join(statistical, "series_id")
-    return out.withColumn("n_ranked", F.coalesce("n_ranked", "_none").cast("long")).drop("_none")
+    ranked = run.tables["importance"].groupBy("series_id").agg(F.countDistinct("feature").alias("n_ranked"))
+    return models.join(points, "series_id").join(rows, "series_id").join(ranked, "series_id")
 
 
 @query("rejected_series", with_views("load_by_type", """

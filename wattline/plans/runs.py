@@ -61,14 +61,16 @@ def train(
     )
 
 
-def best_explanations(chosen: selection.Selection, feature_rows: DataFrame, *, max_rows: int | None, **kw) -> DataFrame | None:
-    """Importances of every series under its own best model; statistical ones have none."""
+def best_explanations(
+    chosen: selection.Selection, feature_rows: DataFrame, *, max_rows: int | None, exog: Sequence[str] = (), cfg: Config = DEFAULTS, **kw
+) -> DataFrame | None:
+    """Importances of every series under its own best model; where that is a statistical one, under a linear model fitted to the
+    series' rows."""
     parts = []
     for name, model in chosen.models.items():
-        if model.statistical:
-            continue
         rows = feature_rows.join(chosen.best.filter(F.col("model") == name).select("series_id"), "series_id", "left_semi")
-        _, shap = explain.explain(rows, model, max_rows=max_rows, **(kw if explain.explainer_kind(model) == "KernelExplainer" else {}))
+        kind = explain.explainer_kind(model)
+        _, shap = explain.explain(rows, model, features=features.feature_names(exog, cfg), max_rows=max_rows, **(kw if kind == "KernelExplainer" else {}))
         parts.append(explain.importance(shap))
     return reports.safe_concat(parts) if parts else None
 
@@ -96,7 +98,7 @@ def full_run(
     accepted = df.join(refused, "series_id", "left_anti")
     checked = cleaning.clean(accepted, ingest_order=ingest_order, winsorized=False, cfg=cfg) if raw_anomalies else clean
     flagged = reliable(anomaly.detect(checked, methods=methods, exog=exog, cfg=cfg))
-    importance = best_explanations(chosen, feature_rows, max_rows=cfg.explain_rows, budget=kernel_budget) if explained else None
+    importance = best_explanations(chosen, feature_rows, max_rows=cfg.explain_rows, exog=exog, cfg=cfg, budget=kernel_budget) if explained else None
     importance = reliable(importance) if importance is not None else None
     shortest = min(cfg.horizons, key=cfg.horizons.get)
     recs = recommend.generate(forecasts.filter(F.col("horizon") == shortest), clean, flagged, importance, cfg=cfg)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import frame, raw, sorted_pdf, spikes
 from wattline.operators import anomaly, reports
 from wattline.operators.neighbours import knn
+from wattline.operators.one_class import fit_one_class, one_class_scores, responses, solve_dual
 from wattline.operators.outlier_models import one_class_direction
 
 
@@ -79,3 +80,33 @@ def test_one_class_direction_separates_far_points():
     phi = np.abs(np.vstack([rng.normal(1, 0.1, (200, 4)), rng.normal(0, 0.01, (4, 4))]))
     w = one_class_direction(phi, 0.05)
     assert (phi @ w)[-4:].max() <= np.quantile(phi @ w, 0.05)
+
+
+def test_one_class_in_buckets_is_that_of_all_rows(spark):
+    """Buckets, merges and mending end at the optimum of all rows, copies and far points included."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (500, 3)), rng.normal(4, 0.3, (80, 3)), np.repeat([[1.0, 1.0, 1.0]], 15, axis=0), [[9, 9, 9], [-8, 0, 3]]])
+    rows = [(s, i, [float(v) for v in row]) for s in ("a", "b") for i, row in enumerate(x if s == "a" else x[:3])]
+    df = spark.createDataFrame(rows, "series_id string, ts long, x array<double>")
+    n, nu = len(x), 0.1
+    weight, rho = solve_dual(x, np.full(n, nu), 1 / 3, 1e-6)
+    want = responses(x, x, weight, 1 / 3)
+    assert weight.min() >= 0 and weight.max() <= 1 and weight.sum() == pytest.approx(nu * n)
+    assert (want[weight == 0] >= rho - 1e-5).all() and (want[weight == 1] <= rho + 1e-5).all()
+    for solve_rows in (8192, 150):
+        machines = fit_one_class(df, 3, nu=nu, solve_rows=solve_rows).filter("series_id = 'a'").toPandas()
+        assert machines["part"].nunique() == 1 and machines["weight"].sum() == pytest.approx(nu * n)
+        got = responses(x, np.stack(machines["x"]), machines["weight"].to_numpy(), 1 / 3)
+        np.testing.assert_allclose(got, want, atol=0.05)
+        assert abs(machines["rho"].iloc[0] - rho) < 0.02
+
+
+def test_one_class_of_many_machines_scores_every_row(spark):
+    """Support vectors that no task may hold together: far points still score highest."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 1, (600, 2)), [[9, 9], [-9, 7]]])
+    df = spark.createDataFrame([("s", i, [float(v) for v in row]) for i, row in enumerate(x)], "series_id string, ts long, x array<double>")
+    assert fit_one_class(df, 2, nu=0.2, solve_rows=40).select("part").distinct().count() > 1
+    scores = {r["ts"]: r["score"] for r in one_class_scores(df, 2, nu=0.2, solve_rows=40).collect()}
+    assert len(scores) == len(x) and min(scores[600], scores[601]) >= np.quantile(list(scores.values()), 0.9)
+    assert one_class_scores(df.limit(0), 2).count() == 0

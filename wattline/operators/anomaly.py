@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattline.config import DEFAULTS, Config
 from wattline.functions.calendar import calendar_columns
-from wattline.operators import outlier_models
+from wattline.operators import one_class, outlier_models
 from wattline.operators.ordering import choose_plan, quantiles, tail
 from wattline.operators.reports import anomaly_rate, method_breakdown, severity
 from wattline.session import reliable
@@ -202,7 +202,7 @@ def one_class_svm_flags(
 ) -> DataFrame:
     """Flags: 1 for the share ``nu`` furthest outside the fitted region of each series."""
     x, dims, plan = _scored(df, exog, series, ts, target, plan)
-    scores = reliable(outlier_models.one_class_scores(x, dims, nu=nu, seed=seed, series=series, ts=ts))
+    scores = reliable(one_class.one_class_scores(x, dims, nu=nu, seed=seed, series=series, ts=ts))
     name = "anomaly_one_class_svm"
     return outlier_models.flag_top_share(scores, nu, name, value="score", series=series, ts=ts, plan=plan)
 

@@ -1,8 +1,7 @@
-"""Isolation forest, local outlier factor and one-class support vector scores per series.
+"""Isolation forest and local outlier factor scores per series, and a coarse one-class direction.
 
-All three score every row. Fitting works on bounded groups: a forest samples 256 rows
-per tree, neighbours are searched leaf by leaf, and the one-class model is an average of
-fits on buckets of about 256 rows. No rule depends on the size of a series.
+Both score every row. Fitting works on bounded groups: a forest samples 256 rows per tree and
+neighbours are searched leaf by leaf. No rule depends on the size of a series.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ SUBSAMPLE = 256
 # Rows that a tree draws before it keeps SUBSAMPLE of them; fewer than that have a chance of 1e-9.
 DRAWN = SUBSAMPLE + 6 * 16
 SCORE_BUCKET_ROWS = 50_000
-FIT_BUCKET_ROWS = 256
 FOURIER_FEATURES = 256
 FIT_STEPS = 300
 EULER = 0.5772156649015329
@@ -190,43 +188,6 @@ def one_class_direction(phi: np.ndarray, nu: float, steps: int = FIT_STEPS) -> n
     return w
 
 
-def one_class_scores(
-    x: DataFrame, dims: int, *, nu: float = 0.05, seed: int = 42, series: str = "series_id", ts: str = "ts"
-) -> DataFrame:
-    """``(series, ts, score)`` with higher further outside.
-
-    The RBF kernel (scale gamma on standardised features) is replaced by random Fourier
-    features, so a fitted model is one vector: buckets of a series fit independently on
-    all their rows and their vectors are averaged by row count."""
-    gamma = 1.0 / dims
-    rows = bucketed(x.select(series, ts, "x"), FIT_BUCKET_ROWS, series=series, ts=ts)
-    fit_schema = T.StructType([
-        x.schema[series], T.StructField("n", T.LongType()), T.StructField("w", T.ArrayType(T.DoubleType()))
-    ])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        phi = fourier_map(dims, gamma, seed)(np.stack(pdf["x"].to_numpy()))
-        w = one_class_direction(phi, nu)
-        return pd.DataFrame({series: [pdf[series].iloc[0]], "n": [len(pdf)], "w": [w.tolist()]})
-
-    parts = rows.groupBy(series, "bucket").applyInPandas(fit, fit_schema)
-    slots = parts.select(series, "n", F.posexplode("w").alias("slot", "v"))
-    mean = slots.groupBy(series, "slot").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"))
-    model = mean.groupBy(series).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda s: s["v"]).alias("w")
-    )
-    out_schema = T.StructType([x.schema[series], x.schema[ts], T.StructField("score", T.DoubleType())])
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        phi = fourier_map(dims, gamma, seed)(np.stack(left["x"].to_numpy()))
-        return left[[series, ts]].assign(score=-(phi @ np.asarray(right["w"].iloc[0])))
-
-    return (
-        rows.groupBy(series, "bucket").cogroup(per_bucket(rows, model, series).groupBy("_series", "_bucket"))
-        .applyInPandas(score, out_schema)
-    )
-
-
 def flag_top_share(
     scores: DataFrame, share: float, name: str, *, value: str, series: str = "series_id", ts: str = "ts", plan: str = "plain"
 ) -> DataFrame:

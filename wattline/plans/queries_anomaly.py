@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wattline.operators import anomaly, reports
+from wattline.operators import anomaly, one_class, reports
 from wattline.plans import views
 from wattline.plans.catalog import query
 from wattline.plans.oracle_views import with_views
@@ -135,6 +135,26 @@ def one_class_svm(spark, sf_dir):
     return _share(anomaly.one_class_svm_flags(views.load_by_type(spark, sf_dir)), "anomaly_one_class_svm")
 
 
+@query("one_class_optimality", with_views("load_hourly", """
+    select 'all' as series_id, count(*) as n_rows, round(0.05 * count(*), 6)::double as weight_sum, count(*) as n_placed, true as nu_splits from load_hourly"""))
+def one_class_optimality(spark, sf_dir):
+    """Conditions of the dual's optimum, from kernel sums of every row with all support vectors: rows without weight are inside, rows
+    of full weight outside, the others on the threshold; the share nu lies between that of the rows outside and that of the vectors."""
+    x = reliable(anomaly.standardised(views.load_hourly(spark, sf_dir)))
+    vectors = reliable(one_class.fit_one_class(x, 4))
+    of = vectors.select("series_id", F.col("ts").alias("sv_ts"), F.col("x").alias("sv"), "weight", "rho")
+    apart = F.aggregate(F.zip_with("x", "sv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    own = F.coalesce(F.max(F.when(F.col("ts") == F.col("sv_ts"), F.col("weight"))), F.lit(0.0))
+    rows = x.join(of, "series_id").groupBy("series_id", "ts").agg(
+        F.sum(F.col("weight") * F.exp(-0.25 * apart)).alias("response"), F.max("rho").alias("rho"), own.alias("weight"))
+    above, off = F.col("response") - F.col("rho"), F.lit(one_class.TOLERANCE * 1.01)
+    placed = F.when(F.col("weight") == 0, above >= -off).when(F.col("weight") == 1, above <= off).otherwise(F.abs(above) <= off)
+    share = F.lit(0.05) * F.count(F.lit(1))
+    return rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("weight"), 6).alias("weight_sum"), F.count_if(placed).alias("n_placed"),
+        ((F.count_if(above < -off) <= share) & (share <= F.count_if(F.col("weight") > 0))).alias("nu_splits"))
+
+
 @query("isolation_rows", with_views("load_by_type", "select series_id, ts from load_by_type"))
 def isolation_rows(spark, sf_dir):
     """Rows with a flag: each one of the input once."""

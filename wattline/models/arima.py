@@ -2,9 +2,10 @@
 
 Stage one fits a long autoregression to the differenced series to get innovations,
 stage two regresses it on its own lags, lagged innovations and differenced exogenous
-columns. Both stages are per-series cross products over lag columns. It stands in for a
-maximum-likelihood state-space fit: same model family, different estimator. The cross
-lags of a seasonal model are free coefficients rather than products.
+columns. Both stages are per-series cross products over lag columns. Models with innovations or
+seasonal factors then go on from there to conditional least squares over their factors
+(``conditional``), where a cross lag is the product of its two factors. It stands in for a
+maximum-likelihood state-space fit: same model family, the likelihood given zeros before the first row.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.config import DEFAULTS
+from wattline.models.conditional import MAX_STEPS, Factors, refine
 from wattline.models.linear import cross_products, dot, solve
 from wattline.operators.forecast import future_exog
 from wattline.operators.features import windowed
@@ -272,8 +274,10 @@ def fit_arima(
     df: DataFrame, *, name: str = "ARIMA", order: tuple | None = None, seasonal: tuple | None = None,
     exog: Sequence[str] = (), series: str = "series_id", ts: str = "ts", target: str = "y",
     max_rows: int | None = DEFAULTS.stat_train_rows, plan: str = "auto", chunk_rows: int | None = None,
+    max_steps: int = MAX_STEPS, step_rows: int = CHUNK_STEPS,
 ) -> ArimaModel:
-    """Fit on all rows of each series, or on the newest ``max_rows``. Lags of a series too long for one task come from chunks."""
+    """Fit on all rows of each series, or on the newest ``max_rows``. Lags of a series too long for one task come from chunks. At most
+    ``max_steps`` steps of conditional least squares (none: the two-stage estimates) run in chunks of ``step_rows`` rows."""
     (p, d, q), (sp, sd, sq, s) = ORDERS[name]
     if order:
         p, d, q = order
@@ -308,6 +312,11 @@ def fit_arima(
         second = base.na.drop(subset=["_w", *cols])
         table = solve(cross_products(second, [*cols, "_w"], series=series), len(cols), series=series, intercept=False)
         table = reliable(table.join(first, series))
+        if max_steps and (ma or (p and sp)):
+            factors = Factors((p, d, q), (sp, sd, sq, s), ar, ma, len(exog))
+            used = ["_w", *[f"_a{k}" for k in ar], *[f"_x_{c}" for c in exog]]
+            tied = refine(base.na.drop(subset=used), table, factors, used, series=series, ts=ts, chunk_rows=step_rows, max_steps=max_steps)
+            table = reliable(table.drop("coef").join(tied.select(series, "coef"), series))
     else:  # differences alone: nothing to estimate
         table = reliable(first.withColumn("coef", F.array().cast("array<double>")))
     state = reliable(_recent(rows.withColumnRenamed("_y", target), target, exog, _reach(ar, ma, long, weights), series, ts))

@@ -179,6 +179,37 @@ def sarimax(spark, sf_dir):
     return _arima(spark, sf_dir, "SARIMAX", views.load_exog, ["click", "view"])
 
 
+@query("sarima_tied", with_views("load_by_type", """
+    select series_id, 6 as n_coef, 0.0::double as ar_gap, 0.0::double as ma_gap from load_by_type group by 1"""))
+def sarima_tied(spark, sf_dir):
+    """Cross lags (1 and 24 steps) are the products of their factors."""
+    c = F.col("coef")
+    gap = lambda v: F.abs(F.round(v, 9)).alias
+    table = arima_models.fit_arima(views.load_by_type(spark, sf_dir), name="SARIMA").table
+    return table.select("series_id", F.size(c).alias("n_coef"), gap(c[2] + c[0] * c[1])("ar_gap"), gap(c[5] - c[3] * c[4])("ma_gap"))
+
+
+# Squares of innovations e(t) = w(t) - theta e(t - 1) for 501 values of theta, and the vertex of the parabola through the least three.
+MOVING_SQL = with_views("load_by_type", """
+    dw as (select series_id, ts, y - lag(y, 24) over (partition by series_id order by ts) as w from load_by_type),
+    rows_w as materialized (select series_id, w, row_number() over (partition by series_id order by ts) as t from dw where w is not null),
+    scan(series_id, g, t, e, squares) as (
+        select series_id, g, 1::bigint, w, w * w from rows_w, range(-250, 251) as grid(g) where t = 1
+        union all
+        select s.series_id, s.g, r.t, r.w - s.g * 0.002 * s.e, s.squares + pow(r.w - s.g * 0.002 * s.e, 2)
+        from scan s join rows_w r on r.series_id = s.series_id and r.t = s.t + 1),
+    ends as (select series_id, g, last(squares order by t) as q from scan group by 1, 2),
+    near as (select *, lag(q) over w as q0, lead(q) over w as q2 from ends window w as (partition by series_id order by g))
+    select series_id, round((min_by(g, q) + 0.5 * min_by((q0 - q2) / (q0 - 2 * q + q2), q)) * 0.002, 3) as theta from near group by 1""").replace("with ", "with recursive ", 1)
+
+
+@query("arima_moving", MOVING_SQL)
+def arima_moving(spark, sf_dir):
+    """The moving average of seasonal differences with the least conditional squares."""
+    table = arima_models.fit_arima(views.load_by_type(spark, sf_dir), order=(0, 0, 1), seasonal=(0, 1, 0, 24)).table
+    return table.select("series_id", F.round(F.col("coef")[0], 3).alias("theta"))
+
+
 DIFFERENCES_SQL = """
     yw as (select series_id, ts, y, y - lag(y) over w as w from load_by_type window w as (partition by series_id order by ts)),
     ww as (select *, lag(w) over (partition by series_id order by ts) as w1 from yw),

@@ -6,19 +6,23 @@ import base64
 import heapq
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from string import punctuation
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
-from .pieces import PieceEncoder
+from .common import reliable, table
+from .pieces import blocks, pieces_of
 
-# What a Python worker remembers of words and pieces.
-CACHE_BYTES = 64 << 20
+# Characters of a block of texts, and of the words that are replayed at once.
+BLOCK_CHARS, REPLAY_CHARS = 8 << 20, 1 << 20
 _OUT = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -130,19 +134,82 @@ class MergeReplay:
         return ids
 
 
+class Numbered(NamedTuple):
+    """A block of texts as numbers: its distinct words, those of every distinct piece, and the pieces of every text."""
+
+    words: list[str]
+    sizes: np.ndarray  # words of a piece
+    members: np.ndarray  # their numbers, piece by piece
+    pieces: np.ndarray  # numbers of pieces, text by text
+    counts: np.ndarray  # pieces of a text
+    order: np.ndarray  # the texts' places
+
+
+def number_words(texts: list[str], split: Callable[[str], list[str]]) -> Numbered:
+    """Texts split into words, each distinct piece once. The first piece of a text has no space before it and is a piece of its own."""
+    flat, counts, order = pieces_of(texts)
+    coded = flat.dictionary_encode()
+    strings, pieces = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    first = np.cumsum(counts) - counts
+    inner = np.ones(len(pieces), bool)
+    inner[first] = False
+    used = np.flatnonzero(np.bincount(pieces[inner], minlength=len(strings)))
+    heads = [split(strings[k]) for k in pieces[first].tolist()]
+    own = []
+    for k in used.tolist():
+        piece = strings[k]
+        if piece.isalpha():  # str.isalpha is the pattern's class of letters
+            own.append((" " + piece,))
+            continue
+        core = piece.rstrip(punctuation)
+        own.append((" " + core, piece[len(core):]) if core.isalpha() else split(" " + piece))
+    own += heads
+    place = np.zeros(len(strings), np.int64)
+    place[used] = np.arange(len(used))
+    pieces = place[pieces]
+    pieces[first] = len(used) + np.arange(len(heads))
+    number: dict[str, int] = {}
+    members = [number.setdefault(w, len(number)) for words in own for w in words]
+    return Numbered(list(number), np.array(list(map(len, own)), np.int64), np.array(members, np.int64), pieces, counts, order)
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, index: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` (of ``sizes``, one after the other) put together by ``index``, and how many each of the ``groups`` of runs has."""
+    taken = sizes[index]
+    stops = np.cumsum(taken)
+    start = (np.cumsum(sizes) - sizes)[index]
+    total = int(stops[-1]) if len(stops) else 0
+    out = values[np.repeat(start - stops + taken, taken) + np.arange(total)]
+    ends, sums = np.cumsum(groups), np.concatenate([[0], stops])
+    return out, sums[ends] - sums[ends - groups]
+
+
+def texts_of(block: Numbered, encoded: list[bytes]) -> list[np.ndarray]:
+    """Ids (uint32) of the texts, in their order, from those of the block's words."""
+    ids, sizes = np.frombuffer(b"".join(encoded), "<u4"), np.array(list(map(len, encoded)), np.int64) // 4
+    ids, sizes = _gathered(ids, sizes, block.members, block.sizes)
+    ids, sizes = _gathered(ids, sizes, block.pieces, block.counts)
+    out: list = [None] * len(block.counts)
+    for at, own in zip(block.order.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        out[at] = own
+    return out
+
+
 class Codec:
-    """Encoder and decoder of whole texts for one rank file and pattern."""
+    """Encoder and decoder for one rank file and pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.replay = MergeReplay(read_ranks(path))
-        self.pattern = regex.compile(pattern)
-        self.pieces = PieceEncoder(self._tokenize, self.pattern.findall, CACHE_BYTES)
+        self.split = regex.compile(pattern).findall
 
-    def _tokenize(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.replay.encode([w.encode() for w in words])]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return self.pieces.run(texts)
+        """Ids of texts that are here; ``encode`` of this module does it for a corpus."""
+        for part in blocks(texts, BLOCK_CHARS):
+            block = number_words(part, self.split)
+            yield from texts_of(block, self.words(block.words))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids.tolist()))
@@ -158,28 +225,71 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _coder(path: str, pattern: str, with_ids: bool):
-    import hashlib
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4").astype(np.int64)
+
+
+def _numberer(pattern: str):
+    """Texts to one row per block: its columns to keep, its distinct words, and its texts as numbers of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        split = regex.compile(pattern).findall
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            counts, sums, decoded, held = [], [], [], []
-            for ids in own.encode(texts):
-                counts.append(len(ids))
-                sums.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                if with_ids:
-                    held.append(ids)
-            made = [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            texts, done = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], 0
+            for part in blocks(texts, BLOCK_CHARS):
+                block, sink = number_words(part, split), pa.BufferOutputStream()
+                kept = pa.RecordBatch.from_arrays([c.slice(done, len(part)) for c in batch.columns[:-1]], batch.schema.names[:-1])
+                with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(kept)
+                done += len(part)
+                numbers = [pa.array([_packed(v)], pa.binary()) for v in block[1:]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([block.words], pa.list_(pa.string())), *numbers],
+                    ["kept", "words", *Numbered._fields[1:]])
+
+    return run
+
+
+def _replayer(path: str, pattern: str):
+    """Distinct words to their ids; the merges are replayed over many words at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for words in blocks((w for batch in batches for w in batch.column(0).to_pylist()), REPLAY_CHARS):
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(own.words(words), pa.binary())], ["word", "ids"])
+
+    return run
+
+
+def _assembler(path: str, pattern: str, with_ids: bool, schema):
+    import hashlib
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = codec(path, pattern)
+        order = np.argsort(right.column("n").to_numpy())
+        encoded = right.column("ids").to_pylist()
+        encoded = [encoded[k] for k in order.tolist()]
+        tables = []
+        for row in left.to_pylist():
+            block = Numbered([], *[_unpacked(row[c]) for c in Numbered._fields[1:]])
+            texts = texts_of(block, encoded)
+            counts = [len(ids) for ids in texts]
+            made = [pa.array(counts, pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids in texts], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(ids)).hexdigest() for ids in texts], pa.string())]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                flat = np.concatenate(held).astype(np.int32) if held else np.zeros(0, np.int32)
-                made.insert(0, pa.LargeListArray.from_arrays(offsets, flat).cast(pa.list_(pa.int32())))
-                names.insert(0, "ids")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
+                made.insert(0, pa.LargeListArray.from_arrays(offsets, np.concatenate(texts).astype(np.int32)).cast(pa.list_(pa.int32())))
+            kept = pa.ipc.open_stream(row["kept"]).read_all()
+            tables.append(pa.table([*kept.columns, *made], names=wanted.names).cast(wanted))
+        return pa.concat_tables(tables) if tables else wanted.empty_table()
 
     return run
 
@@ -188,12 +298,20 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     """Columns ``keep`` with ids, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the
     bytes that the ids decode to) of every whole text. Without ``with_ids`` the ids are left out.
 
-    A task takes its slice of the corpus in blocks, finds the distinct words that it has not seen, and replays the
-    merges over all of them at once; texts are then put together from their pieces. Nothing is shuffled. Null and empty texts
-    have no ids. ``keep`` may not hold the names of the new columns. Repeated rows and an empty table need no care."""
+    Texts are cut into blocks, whose texts are written as numbers of the block's distinct words. The distinct words of the corpus are
+    found by an aggregate and the merges replayed over them, every word once; its ids go to the blocks that have it, where texts
+    are put together again. A task holds a block, or one text that is longer. Null and empty texts have no ids. ``keep``
+    may not hold the names of the new columns. Repeated rows and an empty table need no care."""
     fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep)
     made = _OUT if with_ids else _OUT.partition(", ")[2]
-    return docs.select(*keep, F.col(text).cast("string")).mapInArrow(_coder(path, pattern, with_ids), ", ".join(filter(None, [fields, made])))
+    schema = T.StructType.fromDDL(", ".join(filter(None, [fields, made])))
+    numbers = ", ".join(f"`{c}` binary" for c in Numbered._fields[1:])
+    texts = docs.select(*keep, F.col(text).cast("string"))
+    cut = reliable(texts.mapInArrow(_numberer(pattern), f"kept binary, words array<string>, {numbers}").withColumn("block", F.monotonically_increasing_id()))
+    held = cut.select("block", F.posexplode("words").alias("n", "word"))
+    replayed = held.select("word").distinct().mapInArrow(_replayer(path, pattern), "word string, ids binary")
+    found = held.join(replayed, "word").select(F.col("block").alias("of"), "n", "ids")
+    return cut.drop("words").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(_assembler(path, pattern, with_ids, schema), schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

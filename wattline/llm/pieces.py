@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from string import punctuation
 
 import numpy as np
@@ -26,6 +26,17 @@ def _plain(text: str) -> bool:
                 or not text.isascii() and _RARE_BLANKS.search(text))
 
 
+def pieces_of(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces of all texts in one array, how many each text has, and the texts' places in that order."""
+    plain = np.array([_plain(t) for t in texts], bool)
+    order = np.argsort(~plain, kind="stable")
+    n = int(plain.sum())
+    own = [texts[k] for k in order.tolist()]
+    lists = [pc.split_pattern(pa.array(own[:n], pa.string()), " "), pa.array([_CUT.split(t) for t in own[n:]], pa.list_(pa.string()))]
+    sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+    return pa.concat_arrays([x.flatten() for x in lists]), sizes.astype(np.int64), order
+
+
 class Recent:
     """Remembered values of strings in two generations, so that memory is bounded and frequent strings stay.
 
@@ -71,7 +82,7 @@ class PieceEncoder:
 
     def run(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids (uint32) of the texts, in order."""
-        for block in _blocks(texts):
+        for block in blocks(texts):
             self._known.turn()
             self._bare.turn()
             plain = np.array([_plain(t) for t in block])
@@ -144,7 +155,7 @@ class PieceEncoder:
         return b"".join([word(w[1:]) if w[:1] == " " and len(w) > 1 else other(w) for w in words])
 
 
-def _blocks(texts: list[str], size: int = 8 << 20) -> Iterator[list[str]]:
+def blocks(texts: Iterable[str], size: int = 8 << 20) -> Iterator[list[str]]:
     block, held = [], 0
     for text in texts:
         block.append(text)

@@ -124,6 +124,9 @@ def fit_one_class(
         return vectors(pdf, int(pdf["_to"].iloc[0]), int(pdf.groupby("part")["n"].first().sum()), weight, rho)
 
     machines = reliable(rows.groupBy(series, "bucket").applyInPandas(first, schema))
+    if _single(machines):
+        return machines
+    several = machines.groupBy(series).agg(F.max("part").alias("_last")).filter("_last > 0").select(series)
     while True:
         parts = machines.groupBy(series, "part").agg(F.count(F.lit(1)).alias("_held"))
         shape = parts.groupBy(series).agg(F.count(F.lit(1)).alias("_parts"), F.floor(F.lit(solve_rows) / F.max("_held")).alias("_fan"))
@@ -132,14 +135,18 @@ def fit_one_class(
         to = F.when((F.col("_parts") > 1) & (F.col("_fan") > 1), F.floor(F.col("part") / F.col("_fan"))).otherwise(F.col("part"))
         merged = machines.join(shape, series).withColumn("_to", to).drop("_parts", "_fan")
         machines = reliable(merged.groupBy(series, "_to").applyInPandas(again, schema))
-    cut = rows.groupBy(series).agg(F.max("bucket").alias("_last")).filter("_last > 0").select(series)
-    whole = machines.groupBy(series).agg(F.max("part").alias("_last")).filter("_last = 0").select(series)
-    cut = reliable(cut.join(whole, series))
+    whole = machines.groupBy(series).agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a = _b").select(series)
+    cut = reliable(several.join(whole, series))
     while not cut.isEmpty():
         machines, cut = _mended(machines, rows.join(cut, series, "left_semi"), gamma, solve_rows, schema, series, ts)
     return machines
 
 
+def _single(machines: DataFrame) -> bool:
+    """No series has several machines."""
+    return not machines.agg(F.max("part")).first()[0]
+
+
 def _mended(machines, rows, gamma, solve_rows, schema, series, ts):
     """Machines whose worst misplaced rows were added and solved, and the series that had such rows."""
     left_schema = T.StructType([schema[series], schema[ts], schema["x"], T.StructField("_short", T.DoubleType())])
@@ -184,7 +191,6 @@ def one_class_scores(
     gamma = 1.0 / dims
     machines = fit_one_class(x, dims, nu=nu, seed=seed, series=series, ts=ts, solve_rows=solve_rows)
     rows = bucketed(x.select(series, ts, "x"), solve_rows, series=series, ts=ts)
-    wide = machines.groupBy(series).agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a <> _b").select(series)
     out_schema = T.StructType([x.schema[series], x.schema[ts], T.StructField("score", T.DoubleType())])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -204,10 +210,14 @@ def one_class_scores(
         phi = fourier_map(dims, gamma, seed)(np.stack(left["x"].to_numpy()))
         return left[[series, ts]].assign(score=-(phi @ np.asarray(right["w"].iloc[0])))
 
-    exact = per_bucket(rows, machines.join(wide, series, "left_anti").select(series, "x", "weight", "rho"), series)
-    one = rows.groupBy(series, "bucket").cogroup(exact.groupBy("_series", "_bucket")).applyInPandas(score, out_schema)
-    if wide.isEmpty():
-        return one
+    def scored(vectors: DataFrame) -> DataFrame:
+        exact = per_bucket(rows, vectors.select(series, "x", "weight", "rho"), series)
+        return rows.groupBy(series, "bucket").cogroup(exact.groupBy("_series", "_bucket")).applyInPandas(score, out_schema)
+
+    if _single(machines):
+        return scored(machines)
+    wide = machines.groupBy(series).agg(F.min("part").alias("_a"), F.max("part").alias("_b")).filter("_a <> _b").select(series)
+    one = scored(machines.join(wide, series, "left_anti"))
     fit_schema = T.StructType([x.schema[series], T.StructField("n", T.LongType()), T.StructField("w", T.ArrayType(T.DoubleType()))])
     vectors = machines.join(wide, series, "left_semi").groupBy(series, "part").applyInPandas(added, fit_schema)
     slots = vectors.select(series, "n", F.posexplode("w").alias("slot", "v")).groupBy(series, "slot").agg((F.sum("v") / (nu * F.sum("n"))).alias("v"))

@@ -36,6 +36,11 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
         hashes = [digest(b" ".join(found), seed)]
     else:
         hashes = [digest(b" ".join(s), seed) for s in zip(*(found[k:] for k in range(words)), strict=False)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):  # a very long text in blocks
         part = np.array(hashes[k:k + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattline.operators import cleaning
 from wattline.plans import runs
@@ -85,3 +86,27 @@ def test_a_column_of_that_name_is_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="ingest_order"):
         csv.read_text_columns(spark, str(tmp_path / "in"), ingest_order="ingest_order")
     assert csv.load(spark, str(tmp_path / "in"), target="load", ingest_order="place").columns == ["series_id", "ts", "y", "place"]
+
+
+def test_a_large_month_is_no_single_task(spark, tmp_path):
+    """The readings of one owner and one month are written by several tasks, and tasks that look for the first of copied times
+    are given rows by size: neither takes the whole month."""
+    names = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10000"}
+    before = {k: spark.conf.get(k) for k in names}
+    rows = spark.range(0, 40_000, 1, 8).select(
+        F.lit("o").alias("series_id"), (F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("id") % 300).cast("int"))).alias("ts"),
+        F.col("id").cast("double").alias("value"), F.struct(F.lit("file").alias("file"), F.lit(0).cast("long").alias("block"), F.col("id").alias("line")).alias(csv.ORDER))
+    stored = str(tmp_path / "stored")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        records.append_records(rows, stored)
+        back = spark.read.parquet(stored)
+        sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == 40_000 and len(sizes) > 4 and max(sizes) < 20_000
+        kept = cleaning.dedup_first(back.coalesce(1), ingest_order=csv.ORDER)
+        assert sorted(r.value for r in kept.collect()) == list(map(float, range(300)))
+        assert "rebalance" in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

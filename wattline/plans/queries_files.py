@@ -15,6 +15,10 @@ from wattline.session import checkpoint_folder, reliable
 from wattline.sources import csv, records, results
 
 
+# Lines of a file that a query writes, about; four files at least.
+FILE_ROWS = 1_000_000
+
+
 def _folder(spark, name):
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -62,7 +66,7 @@ def _lines_in_order(spark, sf_dir):
     """CSV files whose lines follow the event number; the hour of an event is its time, so times repeat, within and across files."""
     path = _folder(spark, "lines")
     ev = views.table(spark, sf_dir, "events")
-    lines = ev.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    lines = ev.repartitionByRange(max(4, ev.count() // FILE_ROWS), "event_id").sortWithinPartitions("event_id")
     lines.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").cast("string").alias("utc_timestamp"), views.hundredths("value").cast("string").alias("load"),
                  F.col("event_id").cast("string").alias("number")).write.option("header", True).csv(path)
     return path

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from wattline.operators.limits import sliding_limit
-from wattline.streaming.limits import sliding_limit_stream
+from wattline.streaming.limits import SlidingLimit, decide, decide_all, sliding_limit_stream
 
 BASE = pd.Timestamp("2024-01-01")
 
@@ -66,3 +66,61 @@ def test_stream_agrees(spark, traffic, tmp_path):
         q.stop()
     got = spark.sql("select * from limited").toPandas()
     assert dict(zip(got["event_id"], got["accepted"])) == brute(ordered, 5, 60)
+
+
+def test_bucket_is_decided_at_once():
+    """Many keys of a bucket in one call give what each gives by itself, over several micro-batches, late events and null keys included."""
+    rng = np.random.default_rng(9)
+    span, cap, state, single = 60, 4, [], {}
+    for batch in range(6):
+        n = 400
+        names = np.array([None if k == 7 else f"k{k}" for k in np.minimum(rng.geometric(0.15, n), 30)], object)
+        times, ids = rng.integers(batch * 300 - 40, batch * 300 + 300, n), rng.permutation(n) + batch * n
+        order, accepted, wait, state = decide_all(names, times, ids, state, cap, span)
+        assert sorted(order.tolist()) == list(range(n)) and len({name for name, _ in state}) == len(state)
+        got = {int(ids[o]): (bool(a), int(w)) for o, a, w in zip(order, accepted, wait)}
+        for name in set(names):
+            own = np.array([x == name for x in names])
+            placed = np.lexsort([ids[own], times[own]])
+            ok, late, single[name] = decide(times[own][placed], single.get(name, []), cap, span)
+            assert [got[int(i)] for i in ids[own][placed]] == [(bool(a), int(w)) for a, w in zip(ok, late)]
+    assert {name for name, _ in state} == set(single)
+
+
+def test_calls_to_the_state_do_not_grow_with_keys(monkeypatch):
+    """A bucket of a thousand keys reads and writes its state once a micro-batch."""
+    calls = []
+
+    class State:
+        rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+        def clear(self):
+            calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        state = State()
+        getListState = lambda self, *a: self.state
+        listTimers = lambda self: iter([])
+        deleteTimer = registerTimer = lambda self, t: calls.append("timer")
+
+    class Timers:
+        now = 0
+        getCurrentWatermarkInMs = lambda self: self.now
+
+    limit, timers = SlidingLimit("key", "event_id", 2, 1_000_000), Timers()
+    limit.init(Handle())
+    for k in range(3):
+        rows = pd.DataFrame({"key": [f"u{i}" for i in range(1000)] * 3, "event_id": range(3000), "ts_us": [k * 10_000_000] * 3000})
+        out = pd.concat(limit.handleInputRows((5,), iter([rows]), timers))
+        assert out.groupby("key")["accepted"].sum().eq(2).all() and len(out) == 3000 and out["retry_after_seconds"].notna().sum() == 1000
+        timers.now = k * 10_000 + 5_000
+    assert calls == ["get", "put", "timer"] * 3 and all(len(times) == 2 for _, times in Handle.state.rows)

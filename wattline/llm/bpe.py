@@ -14,10 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 from .pieces import PieceEncoder
 
-# What a Python worker remembers of words and pieces.
+# What a task remembers of words and pieces.
 CACHE_BYTES = 64 << 20
 _OUT = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -27,6 +27,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _array(numbers: np.ndarray) -> array:
+    return array("i", numbers.astype(np.int32).tobytes())
+
+
 class MergeReplay:
     """Encodes many words at once by replaying the merges of a rank file over all of them.
 
@@ -69,9 +73,11 @@ class MergeReplay:
         places = np.flatnonzero(rank >= 0)
         places = places[np.argsort(rank[places], kind="stable")]
         found, starts = np.unique(rank[places], return_index=True)
-        index = defaultdict(list, {int(r): p.tolist() for r, p in zip(found, np.split(places, starts[1:]), strict=True)} if len(places) else {})
-        token, stands, end, again = chain.tolist(), rank.tolist(), len(chain), set()
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        # Arrays, as lists hold a Python number for every place: 192 bytes for a byte of the words, 64 with arrays.
+        index = defaultdict(lambda: array("i"), {int(r): _array(p) for r, p in zip(found, np.split(places, starts[1:]), strict=True)} if len(places) else {})
+        token, stands, end, again = _array(chain), _array(rank), len(chain), set()
+        after, before = _array(np.arange(1, end + 1)), _array(np.arange(-1, end - 1))
+        del chain, rank, inside, places
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -79,8 +85,7 @@ class MergeReplay:
             positions = index.pop(rank, None)
             if positions is None:
                 continue
-            positions.sort()  # leftmost first
-            for p in positions:
+            for p in sorted(positions):  # leftmost first
                 if stands[p] != rank:
                     continue
                 gone = after[p]
@@ -180,6 +185,8 @@ def _coder(path: str, pattern: str, with_ids: bool):
                 made.insert(0, pa.LargeListArray.from_arrays(offsets, flat).cast(pa.list_(pa.int32())))
                 names.insert(0, "ids")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], *names])
+        own.pieces.clear()
+        release()
 
     return run
 

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import posixpath
 import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattline.session import checkpoint_folder, ship_package
 
-__all__ = ["WORD", "SPACES", "attach", "create", "delete", "file_system", "fresh", "new_folder", "numbered", "prefix_sums",
-           "reliable", "scratch", "ship_package", "table"]
+__all__ = ["WORD", "SPACES", "attach", "create", "delete", "file_system", "fresh", "new_folder", "numbered", "packed",
+           "prefix_sums", "release", "reliable", "scratch", "ship_package", "table"]
 
 # Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 # monotonically_increasing_id puts the partition number above this many bits.
 _NODE_BITS = 33
+# Rows of a file of ``packed``, where there are that many.
+FILE_ROWS = 1 << 17
 _scopes = threading.local()
 
 
@@ -34,6 +39,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``reliable`` for slim tables of about ``rows`` rows: their number decides how many tasks write, one a core at least. Small tables
+    would have a file per shuffle partition else, and an executor that writes to a local file system starts processes for each file."""
+    return reliable(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))))
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``reliable`` writes within the block (and on its thread) are deleted at its end; write first what reads them."""
@@ -46,6 +57,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scopes.tables = outer
 
 
+def release() -> None:
+    """Gives free memory of a Python worker back to the system. Workers wait for later tasks beside the executor's own memory, and keep
+    what the largest one took otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Removes a folder through Hadoop's file systems."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

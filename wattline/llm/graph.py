@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import packed, reliable
 
 
 def _starred(links: DataFrame, larger: bool) -> DataFrame:
@@ -22,16 +22,18 @@ def _starred(links: DataFrame, larger: bool) -> DataFrame:
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b) links of longs to (node, root): root is the smallest node of its component; a node without links is absent.
 
     Large and small stars in turn until nothing changes, at most log squared rounds; each round is written to
-    the shared folder. A hub's links are split by the join, its smallest neighbour by the partial aggregate."""
-    links = reliable(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    the shared folder. A hub's links are split by the join, its smallest neighbour by the partial aggregate.
+    ``rows``: how many links there are at most, if that is known; a star step adds none, so later tables are packed by the count before."""
+    links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = reliable(links) if rows is None else packed(links, rows)
     seen = None
     while True:
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b")).distinct()
         seen = state
-        links = reliable(_starred(_starred(links, True), False))
+        links = packed(_starred(_starred(links, True), False), state[0])

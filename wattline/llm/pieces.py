@@ -48,6 +48,9 @@ class Recent:
         if self._size > self._limit:
             self._old, self._young, self._size = self._young, {}, 0
 
+    def clear(self) -> None:
+        self._young, self._old, self._size = {}, {}, 0
+
     def learn(self, keys: list[str], values: list[bytes]) -> None:
         self._young.update(zip(keys, values, strict=True))
         self._size += sum(map(len, keys)) + sum(map(len, values)) + 180 * len(keys)  # with the objects around them
@@ -69,6 +72,11 @@ class PieceEncoder:
         self._tokenize, self._split = tokenize, split
         self._known, self._bare = Recent(limit_bytes * 3 // 4), Recent(limit_bytes // 4)
 
+    def clear(self) -> None:
+        """Forgets all pieces and words."""
+        self._known.clear()
+        self._bare.clear()
+
     def run(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids (uint32) of the texts, in order."""
         for block in _blocks(texts):

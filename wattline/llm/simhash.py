@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, fresh, numbered, reliable, table
+from .common import attach, fresh, numbered, packed, reliable, table
 from .graph import components
 
 SHINGLE = 4
@@ -188,7 +188,7 @@ def links(distinct: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     the eight half-bytes that are left, which again loses no link and bounds every list by 65,536 entries. Lists
     of more than eight entries give a spanning forest of their links, so no group is written as all its pairs."""
     index = distinct.select("fp").mapInArrow(_postings, "key long, fp long")
-    found = reliable(index.repartition("key").sortWithinPartitions("key").mapInArrow(_tally(list_rows), _FOUND))
+    found = packed(index.repartition("key").sortWithinPartitions("key").mapInArrow(_tally(list_rows), _FOUND), len(_SETS) * distinct.count())
     near, hot = found.filter("not hot").select("a", "b"), found.filter("hot").select("key", F.col("a").alias("fp"))
     if hot.isEmpty():
         return near
@@ -200,8 +200,8 @@ def groups(rows: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """Adds component_id and component_row to ``numbered`` rows with id and fp: the smallest id (null last) that is reachable over
     links, and the first row that has it."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    distinct = reliable(rows.groupBy("fp").agg(first.alias("first")))
-    roots = components(links(distinct, list_rows))
+    distinct = packed(rows.groupBy("fp").agg(first.alias("first")), rows.count())
+    roots = components(links(distinct, list_rows), len(_SETS) * distinct.count())
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     values = rooted.join(least, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("component_row"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import frame, raw
 from wattline.config import DEFAULTS, replace
 from wattline.models import proposals, selection, series_trees, store
-from wattline.models.histograms import LocalRows, Rule, best_splits, bin_codes, bin_edges, histograms, poisson, sparse_splits, target_scale, uniform
+from wattline.models.histograms import LocalRows, Rule, best_splits, bin_codes, bin_edges, growing, histograms, poisson, sparse_splits, target_scale, uniform
 from wattline.models.linear import fit_linear
 from wattline.operators import explain, features, forecast, metrics
 
@@ -308,3 +308,49 @@ def test_panels_equal_the_loop(spark, history, train, models, late, monkeypatch)
                 want = plain_recursion(pdf["y"], fixed, NAMES, given, 30, score, late)
                 mine = got[got["series_id"] == name].sort_values("step")["forecast"].to_numpy()
                 np.testing.assert_allclose(mine, want, rtol=1e-7)
+
+
+def test_growth_in_steps_gives_the_same_tree():
+    """Children asked for before their leaf is split change nothing, and a tree takes few steps."""
+    rng = np.random.default_rng(4)
+    for trial in range(20):
+        codes = rng.integers(0, 20, (200, 4)).astype(np.uint8)
+        g, h = rng.integers(-60, 60, 200).astype(float), np.ones(200)
+        rule = Rule(depth=int(rng.integers(0, 8)) or None, leaves=[None, 1, 2, 9, 25][trial % 5], least_rows=3)
+        steps, count = growing((float(g.sum()), 200.0), rule), 0
+        try:
+            tree, nodes = next(steps)
+            while True:
+                count += 1
+                at = tree.walk(codes)
+                found = [best_splits(histograms(codes[at == n], np.zeros((at == n).sum(), int), g[at == n], h[at == n], 1, 64), 1.0, rule)[0] for n in nodes]
+                tree, nodes = steps.send(found)
+        except StopIteration as end:
+            assert end.value == LocalRows(codes, 64, 1.0).tree(g, h, rule) and count <= 20
+
+
+@pytest.mark.parametrize("name", list(FITS))
+def test_long_series_are_searched(train, name, monkeypatch):
+    """A series over the limit has its settings chosen by the same search: the same model, number by number."""
+    monkeypatch.setattr(series_trees, "WRITE_ROUNDS", 2)
+    whole = lambda low, high: proposals.Range(low, high, whole=True)
+    ranges = {"trees": whole(3, 5), "rate": proposals.Range(0.1, 0.5, log=True), "leaves": whole(2, 5), "depth": whole(1, 4), "min_leaf": whole(2, 20),
+              "rows": proposals.Range(0.6, 1.0), "columns": proposals.Range(0.6, 1.0)}
+    search = {"RandomForest": {"grid": {"trees": [2], "depth": [1, 3], "min_split": [2], "min_leaf": [1, 9]}, "draws": 3},
+              "BoostedA": {"grid": {"trees": [3, 5], "rate": [0.1, 0.5], "depth": [1, 2], "rows": [0.8], "columns": [0.7]}, "draws": 3},
+              "BoostedB": {"trials": 11, "ranges": ranges}}[name]
+    own, names = train.filter("series_id = 'b'").select("series_id", "ts", "y", *NAMES[:6]).repartition(3), NAMES[:6]
+    fit, given = FITS[name]
+    one = fit(own, names, params=given, **search)
+    many = fit(own, names, params=given, group_rows=100, **search)
+    assert table_of(one) == table_of(many)
+    plain = fit(own, names, params=given, tune=False)
+    assert many.table.first()["params"] != plain.table.first()["params"]
+
+
+def test_bin_edges_come_from_all_rows(spark):
+    """Over 200,000 rows too: every value of a column has its part in the edges, in one task and in many."""
+    n = 300_000
+    rows = spark.range(n).select(F.col("id").alias("_i"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("x"))
+    for edges in (series_trees.binned("BoostedA", np.arange(n, dtype=float)[:, None], None)[0], series_trees._edges(rows, n, ["x"], 256)):
+        np.testing.assert_array_equal(edges[0], [-(-n * j // 256) - 1 for j in range(1, 256)])

@@ -7,7 +7,7 @@ import gc
 import posixpath
 import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -46,11 +46,20 @@ def packed(df: DataFrame, rows: int) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that ``reliable`` writes within the block (and on its thread) are deleted at its end; write first what reads them."""
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``reliable`` writes within the block (and on its thread) are deleted at its end; write first what reads them. Gives a
+    ``reliable`` whose tables stay for what is around the block."""
     outer, _scopes.tables = getattr(_scopes, "tables", None), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner, _scopes.tables = _scopes.tables, outer
+        try:
+            return reliable(df)
+        finally:
+            _scopes.tables = inner
+
     try:
-        yield
+        yield keep
     finally:
         for path in _scopes.tables:
             delete(spark, path)
